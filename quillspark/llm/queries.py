@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import leakage, mixing, splitting, top_items, visual_form
+from quillspark.llm import broken_pairs, leakage, mixing, split_overlap, splitting, top_items, visual_form
 from quillspark.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return split_overlap.question_overlaps(table(spark, sf, "training_records"), F.col("record_id"), F.col("question"), F.col("split"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _overlaps(spark, sf).select(F.least("train_id", "other_id").alias("record_id_a"), F.greatest("train_id", "other_id").alias("record_id_b"))
+
+
+def p1_report(spark: SparkSession, sf: str) -> DataFrame:
+    return split_overlap.overlap_report(_overlaps(spark, sf), table(spark, sf, "training_records"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return top_items.best_chunks(table(spark, sf, "retrieval_results")).select("question_id", "rank_no", "chunk_id")
 
@@ -35,6 +47,11 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.dropDuplicates(["chunk_id", "piece_no", "text"])
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "training_records").where("coalesce(split, '') not in ('public', 'private')")
+    return broken_pairs.broken_pairs(rows, F.col("record_id"), F.col("question"), F.col("answer"), F.col("lang")).select(F.col("id").alias("record_id"), "defect")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for name, key, text in (("documents", "doc_id", "cleaned_text"), ("legal_chunks", "chunk_id", "search_text")):
@@ -77,4 +94,4 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_top_chunks, p3_found, p3_pieces, p5_found, p5_forms, p6_found, p6_report, p7_mix, p7_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_top_chunks, p3_found, p3_pieces, p4_found, p5_found, p5_forms, p6_found, p6_report, p7_mix, p7_shares)}
