@@ -1,8 +1,8 @@
 """One form for texts that look alike but are coded differently (problem 5).
 
 A quick check finds the code points that can be part of an unstable segment; only such segments,
-with the character before them as boundary context, are normalised and spliced back. Stable texts
-never leave the JVM.
+with the character before them as boundary context, are normalised and spliced back. Texts without
+one are passed on as they are.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from quillspark.functions.unicode_text import code_ranges, is_invisible
 from quillspark.session import cut_lineage
 
 # Letters of other scripts drawn like a Latin letter, and the Latin letter, pair by pair.
-CYRILLIC_LOOKALIKES = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ҮY ХX ԚQ ԜW аa сc ԁd еe һh іi јj оo рp ԛq ѕs уy үγ ԝw хx ӏl ӀI"
+CYRILLIC_LOOKALIKES = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ҮY ХX ԚQ ԜW аa сc ԁd еe һh іi јj оo рp ԛq ѕs уy үy ԝw хx ӏl ӀI"
 GREEK_LOOKALIKES = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ϳj αa ιi κк νv οo ρp υu χx ϲc"
 LATIN_LOOKALIKES = "ÐĐ ƉĐ ıi ɑa ɡg ſf ǀl"
 HYPHENS = "‐‑"
@@ -66,22 +67,6 @@ def _segments(visual: bool) -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _classes()[visual]) + "]+")
 
 
-#: Stable stretches shorter than this are left to the exact check in Python.
-STABLE_STRETCH = 16
-
-
-@lru_cache(None)
-def unstable_class() -> str:
-    """The quick check as a Java character class: all but ASCII and the long stretches of stable code points."""
-    exact, stable, at = _classes()[True], [], 0xA1
-    for a, b in [*exact, (0x20000, 0x20000)]:
-        if a - at >= STABLE_STRETCH:
-            stable.append((at, a - 1))
-        at = max(at, b + 1)
-    stable.sort(key=lambda r: (r[0] > 0x1FF and not 0x1E00 <= r[0] <= 0x1EFF, r[0]))  # the usual ones first
-    return "[^\\x20-\\x7e\\n" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in stable) + "]"
-
-
 def _spliced(text: str, visual: bool, form) -> str:
     """Unstable segments, each with the character before it, replaced by their form; the rest as it is."""
     out, at = [], 0
@@ -138,23 +123,25 @@ def one_form(text: str) -> str:
     return coded if coded.isascii() else _WORD.sub(_settle, coded)
 
 
-def _mapped(function) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = pa.array([None if t is None else function(t) for t in b.column("text").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("raw"), out], names=["key", "raw", "form"])
+def _hash(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
-    return run
+
+def _classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unstable = _segments(True).search
+    for b in batches:
+        raw, seen = [], []
+        for t in b.column("text").to_pylist():
+            h = _hash(t)
+            raw.append(h)
+            seen.append(h if t.isascii() or not unstable(t) else _hash(skeleton(t)))
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(raw, pa.binary()), pa.array(seen, pa.binary())], names=["key", "raw", "class_id"])
 
 
 def visual_classes(df: DataFrame, key: Column, text: Column) -> DataFrame:
     """``key, raw, class_id``: 128-bit hashes of the text as coded and of its skeleton. Rows with null text are left out."""
     src = df.select(key.cast("string").alias("key"), text.alias("text")).where("text is not null")
-    flag = F.col("text").rlike(unstable_class())
-    hashed = F.unhex(F.md5(F.col("text").cast("binary")))
-    stable = src.where(~flag).select("key", hashed.alias("raw"), hashed.alias("class_id"))
-    other = src.where(flag).select("key", hashed.alias("raw"), "text").mapInArrow(_mapped(skeleton), "key string, raw binary, form string")
-    return stable.unionByName(other.select("key", "raw", F.unhex(F.md5(F.col("form").cast("binary"))).alias("class_id")))
+    return src.mapInArrow(_classes_of, "key string, raw binary, class_id binary")
 
 
 def lookalike_pairs(df: DataFrame, key: Column, text: Column) -> DataFrame:
@@ -173,10 +160,19 @@ def lookalike_pairs(df: DataFrame, key: Column, text: Column) -> DataFrame:
     return a.join(b, "class_id").where("key_a < key_b and raw_a <> raw_b").select("key_a", "key_b").distinct()
 
 
+def _forms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unstable = _segments(True).search
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        forms = [t if t is None or t.isascii() or not unstable(t) else one_form(t) for t in texts]
+        changed = [f != t for f, t in zip(forms, texts, strict=True)]
+        classes = [None if t is None else _hash(skeleton(t)) for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(forms, pa.string()), pa.array(changed, pa.bool_()), pa.array(classes, pa.binary())], names=["key", "form", "changed", "class_id"])
+
+
 def canonical_texts(df: DataFrame, key: Column, text: Column) -> DataFrame:
-    """``key, form, changed, class_id`` for every row; null texts stay null, unchanged and without a class."""
-    src = df.select(key.cast("string").alias("key"), text.alias("raw"))
-    flag = F.coalesce(F.col("raw").rlike(unstable_class()), F.lit(False))
-    other = src.where(flag).select("key", "raw", F.col("raw").alias("text")).mapInArrow(_mapped(one_form), "key string, raw string, form string")
-    out = src.where(~flag).select("key", "raw", F.col("raw").alias("form")).unionByName(other)
-    return out.select("key", "form", F.coalesce(F.col("raw") != F.col("form"), F.lit(False)).alias("changed"), F.md5(F.col("form").cast("binary")).alias("class_id"))
+    """``key, form, changed, class_id`` for every row; null texts stay null, unchanged and without a class.
+
+    Rows with equal ``class_id`` look the same; ``form`` is what each reads as.
+    """
+    return df.select(key.cast("string").alias("key"), text.alias("text")).mapInArrow(_forms_of, "key string, form string, changed boolean, class_id binary")
