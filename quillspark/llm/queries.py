@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import broken_pairs, leakage, mixing, split_overlap, splitting, top_items, visual_form
+from quillspark.llm import broken_pairs, leakage, mixing, sentences, split_overlap, splitting, top_items, visual_form
 from quillspark.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,4 +94,12 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_top_chunks, p3_found, p3_pieces, p4_found, p5_found, p5_forms, p6_found, p6_report, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"), F.col("lang")).select(F.col("id").alias("doc_id"), "end_char")
+
+
+def p8_model(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.learn(table(spark, sf, "documents"), F.col("text"), F.col("lang"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_top_chunks, p3_found, p3_pieces, p4_found, p5_found, p5_forms, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_model)}

@@ -66,8 +66,8 @@ def signature(words: list[str]) -> list[int]:
     return [int.from_bytes((bits >> s & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big"), "big", signed=True) for s in (0, 64, 128, 192)]
 
 
-def leading_keys(words: list[str], digits: str, ranks: dict[str, int], threshold: float) -> list[bytes]:
-    """Keys of the suffixes by which this text can meet a similar one."""
+def leading_keys(words: list[str], digits: str, ranks: dict[str, int], threshold: float) -> list[int]:
+    """Keys (signed 64-bit hashes) of the suffixes by which this text can meet a similar one."""
     text = sorted(words, key=lambda w: (ranks.get(w, -1), w))
     n, keys = len(text), []
     if n <= SHORT:
@@ -75,7 +75,7 @@ def leading_keys(words: list[str], digits: str, ranks: dict[str, int], threshold
     if n >= math.floor(threshold * (SHORT + 1)):
         reach = min(n, math.ceil(3 * (1 - threshold) * n - 1e-9) + SPAN)
         keys += [f"{SPAN}\n{digits}\n" + "\n".join(text[i : i + SPAN]) for i in range(reach - SPAN + 1)]
-    return [xxhash.xxh3_128_digest(k) for k in keys]
+    return [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys]
 
 
 def _suffixes(frequent: tuple[str, ...], threshold: float):
@@ -85,7 +85,7 @@ def _suffixes(frequent: tuple[str, ...], threshold: float):
             words, digits = b.column("words").to_pylist(), b.column("digits").to_pylist()
             keys = [leading_keys(w, d, ranks, threshold) for w, d in zip(words, digits, strict=True)]
             sigs = list(zip(*map(signature, words), strict=True)) or [(), (), (), ()]
-            out = [b.column("class_id"), b.column("train"), b.column("other"), pa.array(keys, pa.list_(pa.binary())), pa.array([len(w) for w in words], pa.int32()), *(pa.array(s, pa.int64()) for s in sigs)]
+            out = [b.column("class_id"), b.column("train"), b.column("other"), pa.array(keys, pa.list_(pa.int64())), pa.array([len(w) for w in words], pa.int32()), *(pa.array(s, pa.int64()) for s in sigs)]
             yield pa.RecordBatch.from_arrays(out, names=["class_id", "train", "other", "keys", "n", "s0", "s1", "s2", "s3"])
 
     return run
@@ -109,7 +109,7 @@ def question_overlaps(records: DataFrame, record_id: Column, question: Column, s
     counts = parts.select(F.explode("words").alias("w")).groupBy("w").count()
     frequent = tuple(r.w for r in reversed(counts.orderBy(F.col("count").desc(), "w").limit(ORDERED_WORDS).collect()))
     classes = parts.groupBy("class_id").agg(F.first("words").alias("words"), F.first("digits").alias("digits"), F.max("is_train").alias("train"), F.max(~F.col("is_train")).alias("other"))
-    suffixes = classes.select("class_id", "train", "other", "words", "digits").mapInArrow(_suffixes(frequent, threshold), "class_id binary, train boolean, other boolean, keys array<binary>, n int, s0 long, s1 long, s2 long, s3 long")
+    suffixes = classes.select("class_id", "train", "other", "words", "digits").mapInArrow(_suffixes(frequent, threshold), "class_id binary, train boolean, other boolean, keys array<long>, n int, s0 long, s1 long, s2 long, s3 long")
     array = cut_lineage(suffixes.select(F.explode("keys").alias("key"), *[c for c in suffixes.columns if c != "keys"]))
     a = array.where("train").drop("train", "other").toDF("key", "ca", "na", "a0", "a1", "a2", "a3")
     b = array.where("other").drop("train", "other").toDF("key", "cb", "nb", "b0", "b1", "b2", "b3")
