@@ -1,6 +1,570 @@
-"""Queries over the driver's tables for the core operators, with the SQL that checks them."""
+"""Queries over the driver's tables for the core operators. Names begin with the operator's id; ``sql.py`` holds the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import columns as C
+from quillspark.functions.answers import clean_answer_udf, trim_answer_udf, trim_interior_udf
+from quillspark.functions.cleaning import clean_passages
+from quillspark.operators import audit, chunking, context, dense, evaluate, fusion, lexical, references, splits, training
+from quillspark.plans import pipelines
+from quillspark.session import cut_lineage, table
+from quillspark.sql import SQL
+from quillspark.streaming import events as ev
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def chunks_of(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Chunks without redelivered rows."""
+    return table(spark, sf, "legal_chunks").select("chunk_id", *columns).dropDuplicates(["chunk_id"])
+
+
+def placed_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks whose own offsets fit their text."""
+    cols = ("document_id", "article_number", "article_title", "chunk_index", "start_char", "end_char", "text")
+    return chunks_of(spark, sf, *cols).where("end_char - start_char = length(text)")
+
+
+def branch_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """``query, branch, id, rank``: the best rank of each chunk per branch over all runs of a question."""
+    rows = table(spark, sf, "retrieval_results").where("question_id is not null").select(F.col("question_id").alias("query"), F.explode("fused").alias("f"))
+    rows = rows.select("query", F.col("f.chunk_id").alias("id"), F.explode("f.branch_ranks").alias("branch", "rank")).where("id is not null and rank is not null")
+    return rows.groupBy("query", "branch", "id").agg(F.min("rank").alias("rank"))
+
+
+def answered(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "training_records").where("coalesce(split, '') not in ('public', 'private') and answer is not null")
+
+
+# --- lexical and dense retrieval ---
+
+
+def _bm25(spark: SparkSession, sf: str, tokens: Callable[[Column], Column]) -> DataFrame:
+    index = lexical.build_index(chunks_of(spark, sf, "search_text"), F.col("chunk_id"), tokens(F.col("search_text")))
+    hits = lexical.bm25_search(index, table(spark, sf, "eval_items"), F.col("item_id"), tokens(F.col("text")), 10)
+    return hits.select(F.col("query").alias("item_id"), F.col("id").alias("chunk_id"), "score", "rank")
+
+
+@query
+def rt01_bm25_word(spark: SparkSession, sf: str) -> DataFrame:
+    return _bm25(spark, sf, lexical.word_tokens)
+
+
+@query
+def rt02_bm25_folded(spark: SparkSession, sf: str) -> DataFrame:
+    return _bm25(spark, sf, lexical.folded_tokens)
+
+
+@query
+def rt03_bm25_substring(spark: SparkSession, sf: str) -> DataFrame:
+    hits = lexical.substring_search(chunks_of(spark, sf, "search_text"), F.col("chunk_id"), F.col("search_text"), table(spark, sf, "eval_items"), F.col("item_id"), F.col("text"), 10)
+    return hits.select(F.col("query").alias("item_id"), F.col("id").alias("chunk_id"), "score", "rank")
+
+
+@query
+def rt04_fused_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [("word", rt01_bm25_word), ("folded", rt02_bm25_folded), ("substring", rt03_bm25_substring)]
+    hits = None
+    for name, f in parts:
+        h = f(spark, sf).select(F.col("item_id").alias("query"), F.lit(name).alias("branch"), F.col("chunk_id").alias("id"), "rank")
+        hits = h if hits is None else hits.unionByName(h)
+    out = fusion.fuse_with_trace(hits, {"word": 0.5, "folded": 0.3, "substring": 0.2})
+    return out.where("rank <= 10").select(F.col("query").alias("item_id"), F.col("id").alias("chunk_id"), "score", "best_rank", "rank")
+
+
+def _near(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    v = table(spark, sf, "embeddings")
+    return dense.dense_search(v, F.col("vec_id"), F.col("embedding"), v.where("vec_id % 50 = 0"), F.col("vec_id"), F.col("embedding"), k, skip_self=True)
+
+
+@query
+def rt05_dense_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return _near(spark, sf, 10).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def tx40_vector_norms(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "embeddings")
+    n = F.col("embedding")
+    return v.select("vec_id", F.round(C.dot(n, n), 6).alias("squared_norm"), F.round(C.dot(C.l2_normalize(n), n), 6).alias("norm"))
+
+
+@query
+def rt06_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 12).select(F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "score", "rank")
+
+
+@query
+def rt07_weight_grid(spark: SparkSession, sf: str) -> DataFrame:
+    grid = {f"s{s}_d{d}": {"sparse": s / 10, "dense": d / 10} for s, d in ((6, 4), (5, 5), (4, 6))}
+    return fusion.weight_grid(branch_hits(spark, sf), grid, 60, 5).select("variant", F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "score", "rank")
+
+
+@query
+def ag09_rrf_trace(spark: SparkSession, sf: str) -> DataFrame:
+    out = fusion.fuse_with_trace(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5})
+    at = lambda b: F.try_element_at("branch_ranks", F.lit(b))
+    return out.where("rank <= 10").select(F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "score", "best_rank", at("sparse").alias("sparse_rank"), at("dense").alias("dense_rank"), "rank")
+
+
+@query
+def ag11_articles(spark: SparkSession, sf: str) -> DataFrame:
+    where = chunks_of(spark, sf, "document_id", "article_number").select(F.col("chunk_id").alias("id"), "document_id", F.coalesce("article_number", F.col("chunk_id")).alias("block_id"))
+    out = fusion.aggregate_articles(branch_hits(spark, sf).join(where, "id"), {"sparse": 0.5, "dense": 0.5})
+    return out.where("rank <= 8").select(F.col("query").alias("question_id"), "document_id", "block_id", "score", "representative", "representative_score", "n_chunks", "rank")
+
+
+@query
+def wn02_diverse_order(spark: SparkSession, sf: str) -> DataFrame:
+    where = chunks_of(spark, sf, "document_id", "article_number").withColumnRenamed("chunk_id", "id")
+    hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 20).join(where, "id")
+    return fusion.diverse_order(hits, 12).select(F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "rank", "position")
+
+
+@query
+def rt32_context_variants(spark: SparkSession, sf: str) -> DataFrame:
+    where = chunks_of(spark, sf, "document_id", "article_number").withColumnRenamed("chunk_id", "id")
+    hits = cut_lineage(fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 20).join(where, "id"))
+    plain = hits.withColumn("position", F.col("rank"))
+    variants = [("top20", plain), ("top12", plain.where("rank <= 12")), ("diverse12", fusion.diverse_order(hits, 12))]
+    rows = None
+    for name, v in variants:
+        v = v.select(F.lit(name).alias("variant"), "query", "id", "document_id", "article_number", "rank", "position")
+        rows = v if rows is None else rows.unionByName(v)
+    out = evaluate.mean_distinct(rows, "variant", "query", documents=F.col("document_id"), units=F.struct("document_id", F.coalesce("article_number", F.lit("~")).alias("a")))
+    return out.select("variant", F.round("documents", 9).alias("documents"), F.round("units", 9).alias("units"))
+
+
+@query
+def ag19_branch_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    hits = branch_hits(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("query", "branch").orderBy("rank", "id")))
+    out = fusion.top_sets_jaccard(hits.where("branch = 'sparse'"), hits.where("branch = 'dense'"), 5)
+    return out.select(F.col("query").alias("question_id"), F.round("jaccard", 9).alias("jaccard"))
+
+
+# --- blocks, spans, packing ---
+
+
+@query
+def wn03_article_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return context.article_blocks(placed_chunks(spark, sf)).select("chunk_id", "block_id", "block_pos")
+
+
+@query
+def wn04_expansions(spark: SparkSession, sf: str) -> DataFrame:
+    out = context.expansions(context.article_blocks(placed_chunks(spark, sf)))
+    return out.select("chunk_id", "kind", "start", "end", F.size("chunk_ids").alias("n_chunks"))
+
+
+@query
+def wn05_merged_spans(spark: SparkSession, sf: str) -> DataFrame:
+    spans = placed_chunks(spark, sf).select("document_id", F.col("start_char").alias("start"), F.col("end_char").alias("end"), F.col("chunk_index").alias("rank"), F.array("chunk_id").alias("chunk_ids"))
+    return context.merge_spans(spans, ["document_id"]).select("document_id", "start", "end", "rank", F.size("chunk_ids").alias("n_chunks"))
+
+
+@query
+def jn07_enclosing_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Each article chunk with its block's span, found by containment."""
+    c = placed_chunks(spark, sf).where("article_number is not null")
+    articles = context.article_blocks(c).groupBy("document_id", "block_id", F.col("article_number").alias("number")).agg(F.min("start_char").alias("start"), F.max("end_char").alias("end"))
+    return context.enclosing_articles(c, articles).groupBy("document_id").agg(F.count("*").alias("n_pairs"), F.count("article_start").alias("n_enclosed"))
+
+
+@query
+def dq04_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    spans = chunks_of(spark, sf, "document_id", "start_char", "end_char", "text")
+    return audit.provenance_violations(spans, table(spark, sf, "documents")).select("chunk_id", "document_id")
+
+
+def _units(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("document_id", "source_title", "document_number", "cleaned_text")
+    placed = placed_chunks(spark, sf).join(docs.select("document_id", F.col("cleaned_text").alias("_t")), "document_id").where("substring(_t, start_char + 1, end_char - start_char) = text").drop("_t")
+    blocks = cut_lineage(context.article_blocks(placed))
+    hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 12)
+    asked = table(spark, sf, "training_records").where("question is not null").groupBy(F.col("question_id").alias("query")).agg(F.min("question").alias("question"))
+    return context.seed_units(hits.join(asked, "query").select("query", "question", "id", "rank"), blocks, docs)
+
+
+@query
+def rt14_packed_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return context.pack(_units(spark, sf), context.Budget(2000, 400)).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@query
+def rt16_packed_without_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return context.pack(_units(spark, sf), context.Budget(2000, 400), merge=False).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars")
+
+
+@query
+def rt22_training_gates(spark: SparkSession, sf: str) -> DataFrame:
+    gold = answered(spark, sf).where("split = 'train'").groupBy(F.col("question_id").alias("query")).agg(F.min("answer").alias("answer"))
+    records = training.training_records(_units(spark, sf), gold, context.Budget(2000, 400), _word_ids, 2)
+    return training.gates(cut_lineage(records), 2048)
+
+
+def _word_ids(text: str) -> list[int]:
+    """A stand-in for a model tokenizer: a stable number per word."""
+    import zlib
+
+    return [3 + zlib.crc32(w.encode()) % 32_000 for w in text.split()]
+
+
+@query
+def rt_chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    out = chunking.chunk_documents(docs, F.col("document_id"), F.col("source_title"), F.col("cleaned_text"), chunking.Bounds(120, 900, 20, 120))
+    return out.select("chunk_id", "document_id", "article_number", "article_title", "section_kind", "split_method", "chunk_index", "start_char", "end_char", "whitespace_token_count")
+
+
+@query
+def wn06_fixed_windows(spark: SparkSession, sf: str) -> DataFrame:
+    out = chunking.fixed_windows(table(spark, sf, "documents"), F.col("doc_id"), F.col("cleaned_text"), 64, 16)
+    return out.select(F.col("id").alias("doc_id"), "window_no", F.sha2("text", 256).alias("text_sha256"))
+
+
+# --- audits ---
+
+
+@query
+def ag01_corpus_audit(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    n = F.length(t)
+    return audit.flags(
+        table(spark, sf, "documents"),
+        {"n_blank": C.is_blank(t), "n_markup": t.rlike("<[a-z/]"), "n_cr": t.contains("\r"), "n_stale_count": ~F.col("raw_character_count").eqNullSafe(n), "n_untitled": F.col("source_title").isNull()},
+        F.count("*").alias("n_documents"), F.sum(n).alias("total_chars"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"),
+    )
+
+
+@query
+def ag02_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.percentiles(table(spark, sf, "documents").where("source is not null").withColumn("src", F.lower(F.trim("source"))), F.length("text"), [0.5, 0.9, 0.99], ["src"])
+
+
+@query
+def ag03_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.exact_duplicates(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
+
+
+@query
+def tk10_longest(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.longest(table(spark, sf, "documents"), F.col("doc_id"), F.length("text"), 20)
+
+
+@query
+def ag04_chunk_counters(spark: SparkSession, sf: str) -> DataFrame:
+    c = chunks_of(spark, sf, "section_kind", "split_method", "article_number", "whitespace_token_count", "text")
+    stale = ~F.col("whitespace_token_count").eqNullSafe(C.whitespace_count(F.col("text")))
+    return c.groupBy("section_kind", "split_method").agg(F.count("*").alias("n"), F.count("article_number").alias("n_numbered"), F.sum(stale.cast("long")).alias("n_stale"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def ag20_token_audit(spark: SparkSession, sf: str) -> DataFrame:
+    n = C.whitespace_count(F.col("text"))
+    return audit.flags(chunks_of(spark, sf, "text"), {f"over_{x}": n > x for x in (64, 128, 256, 512)}, F.count("*").alias("n"), F.max(n).alias("longest"))
+
+
+@query
+def ag06_conflicting_answers(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.conflicting_groups(answered(spark, sf), C.normalize_question(F.col("question")), C.normalize_question(F.col("answer")))
+
+
+@query
+def ag07_split_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    r = table(spark, sf, "training_records").select("split", C.normalize_question(F.col("question")).alias("q")).where("q is not null")
+    return audit.set_report(r.where("split = 'train'"), r.where("split <> 'train'"), "q")
+
+
+@query
+def dq05_leaking_groups(spark: SparkSession, sf: str) -> DataFrame:
+    r = table(spark, sf, "training_records").select("split", C.normalize_question(F.col("question")).alias("q"))
+    return audit.leaking_groups(r, "q", "split")
+
+
+@query
+def ag23_ordered_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "retrieval_results").select("result_id", F.sha2(F.array_join("fused.chunk_id", "\n"), 256).alias("ids_sha256")).distinct()
+
+
+@query
+def sc10_document_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers that name exactly one document (resolve or ambiguous)."""
+    n = table(spark, sf, "documents").where("document_number is not null").groupBy("document_number").agg(F.count("*").alias("n_documents"), F.min("document_id").alias("first_document"))
+    return n.withColumn("resolved", F.col("n_documents") == 1)
+
+
+# --- splits, samples, shards ---
+
+
+@query
+def tx39_hash_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "training_records").select("record_id", C.hash_bucket("quill", F.col("question_id"), 100).alias("bucket"))
+
+
+@query
+def tk08_hash_sample(spark: SparkSession, sf: str) -> DataFrame:
+    ids = table(spark, sf, "training_records").where("split = 'dev' and question_id is not null").select("question_id").distinct()
+    return splits.hash_sample(ids, "question_id", "dev-7", 200).select("question_id", "position")
+
+
+@query
+def rt23_split_roles(spark: SparkSession, sf: str) -> DataFrame:
+    r = table(spark, sf, "training_records")
+    return splits.leakage_safe_splits(r, "record_id", F.col("question"), F.col("answer"), F.col("split").isin("public", "private"), "quill", 100, 10).select("record_id", "role")
+
+
+@query
+def rt24_group_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    g = answered(spark, sf).where("split = 'train'").select(C.normalize_question(F.col("question")).alias("group")).groupBy("group").agg(F.count("*").alias("n_rows"))
+    return splits.group_holdout(g, "holdout-1", 50)
+
+
+@query
+def rt25_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.shard_assignment(table(spark, sf, "training_records").where("split = 'private'"), "question_id", 4).select("question_id", "position", "shard")
+
+
+@query
+def jn12_warmup_alias(spark: SparkSession, sf: str) -> DataFrame:
+    r = answered(spark, sf)
+    return splits.warmup_alias(r.where("source = 'warmup'"), r.where("source <> 'warmup'"), "question", "answer", "record_id")
+
+
+@query
+def tk13_numeric_order(spark: SparkSession, sf: str) -> DataFrame:
+    ids = table(spark, sf, "training_records").select("question_id").where("question_id is not null").distinct()
+    return ids.orderBy(*splits.numeric_aware_order("question_id")).limit(100).withColumn("position", F.row_number().over(Window.orderBy(*splits.numeric_aware_order("question_id"))))
+
+
+# --- text ---
+
+
+@query
+def tx01_normalized_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "training_records").select("record_id", C.normalize_question(F.col("question")).alias("normalized"))
+
+
+@query
+def tx02_folded_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", C.fold_accents(F.col("source_title")).alias("folded_title"))
+
+
+@query
+def tx03_query_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    t = C.distinct_tokens(F.col("question"))
+    return table(spark, sf, "training_records").select("record_id", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+
+
+@query
+def tx05_longest_terms(spark: SparkSession, sf: str) -> DataFrame:
+    t = C.longest_terms(C.distinct_tokens(F.col("text")), 3, 8)
+    return table(spark, sf, "eval_items").select("item_id", F.array_join(t, " ").alias("terms"))
+
+
+@query
+def tx06_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    return clean_passages(table(spark, sf, "documents"), F.col("doc_id"), F.col("text")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def tx12_chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    c = chunks_of(spark, sf, "document_id", "chunk_index", "text")
+    return c.select("chunk_id", C.chunk_id(F.col("document_id"), F.col("chunk_index"), F.col("text")).alias("expected_id"))
+
+
+@query
+def tx13_word_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks_of(spark, sf, "text").select("chunk_id", C.whitespace_count(F.col("text")).alias("n_words"))
+
+
+@query
+def tx14_source_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", C.source_number(F.col("cleaned_text")).alias("source_number"))
+
+
+@query
+def tx15_enriched(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("document_id", "document_number")
+    c = chunks_of(spark, sf, "document_id", "source_title", "article_title", "text").join(d, "document_id", "left")
+    return c.select("chunk_id", F.sha2(C.enrich_context(F.col("text"), F.col("source_title"), F.col("document_number"), F.col("article_title")), 256).alias("enriched_sha256"))
+
+
+@query
+def tx17_references(spark: SparkSession, sf: str) -> DataFrame:
+    return references.extract_references(table(spark, sf, "training_records"), F.col("record_id"), F.col("question"), True).select(F.col("id").alias("record_id"), "article_number", "clause_number", "document_number", "resolution", "start", "end")
+
+
+@query
+def rt19_cross_references(spark: SparkSession, sf: str) -> DataFrame:
+    c = placed_chunks(spark, sf)
+    refs = references.extract_references(c, F.col("chunk_id"), F.col("text"), False, F.col("document_id"), F.col("start_char"))
+    numbers = table(spark, sf, "documents").select("document_id", "document_number").where("document_number is not null")
+    articles = context.article_blocks(c).where("article_number is not null").groupBy("document_id", "block_id", F.col("article_number").alias("number")).agg(F.min("start_char").alias("start"), F.max("end_char").alias("end"))
+    out = references.resolve_targets(refs, numbers, articles)
+    return out.groupBy("resolution").agg(F.count("*").alias("n"), F.count("target_document").alias("n_document"), F.count("target_start").alias("n_article"))
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 20)
+    asked = table(spark, sf, "training_records").where("question is not null").groupBy(F.col("question_id").alias("query")).agg(F.min("question").alias("question"))
+    return hits.select("query", "id", "rank").join(asked, "query").join(chunks_of(spark, sf, "document_id", "article_number", "text").withColumnRenamed("chunk_id", "id"), "id")
+
+
+@query
+def rt11_citation_order(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _candidates(spark, sf).where("rank <= 12").withColumn("rank", F.col("rank") - 1)
+    out = references.citation_order(references.citation_scores(rows))
+    return out.select(F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "rank", "document_hits", "article_hits", "clause_hits", "token_hits", "bigram_hits", "score", "position")
+
+
+@query
+def rt12_source_aware(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("document_id", "source_title", "document_number")
+    pool = cut_lineage(_candidates(spark, sf).drop("text").join(docs, "document_id"))
+    out = references.source_aware_selection(pool, references.resolve_sources(pool))
+    return out.select(F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "rank", "position", "promoted")
+
+
+@query
+def rt20_sections(spark: SparkSession, sf: str) -> DataFrame:
+    c = _candidates(spark, sf)
+    rows = c.groupBy("query", "document_id", "article_number").agg(F.first("question").alias("q"), F.min("rank").alias("first_rank"), F.min("id").alias("start"), F.array_join(F.array_sort(F.collect_list("text")), " ").alias("t"))
+    t = rows.select("query", "document_id", "start", "first_rank", C.distinct_tokens(F.col("t")).alias("section"), C.distinct_tokens(F.col("q")).alias("question"), F.array().cast("array<string>").alias("source"))
+    return references.best_sections(t).select(F.col("query").alias("question_id"), "document_id", "start", "score")
+
+
+# --- answers and scores ---
+
+
+@query
+def tx25_answer_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    return answered(spark, sf).select("record_id", C.answer_diagnostics(F.col("answer")).alias("d")).select("record_id", "d.*")
+
+
+@query
+def tx26_rouge_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return answered(spark, sf).select("record_id", F.array_join(C.rouge_tokens(F.col("answer")), " ").alias("tokens"))
+
+
+@query
+def tx34_cleaned_answers(spark: SparkSession, sf: str) -> DataFrame:
+    a = F.col("answer")
+    return answered(spark, sf).select("record_id", clean_answer_udf(a).alias("cleaned"), trim_answer_udf(a).alias("trimmed"), trim_interior_udf(a).alias("interior"))
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Each record's answer as a prediction for the least answer of its question."""
+    r = answered(spark, sf).where("question_id is not null")
+    gold = r.groupBy("question_id").agg(F.min("answer").alias("r"))
+    return evaluate.score_columns(r.join(gold, "question_id").select("record_id", "source", "r", F.col("answer").alias("p")), "record_id")
+
+
+@query
+def rt26_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).select("record_id", F.round("rouge_l", 9).alias("rouge_l"), F.round("meteor_exact", 9).alias("meteor_exact"))
+
+
+@query
+def tk11_lowest_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.lowest(_scored(spark, sf).select("record_id", F.round("meteor_exact", 9).alias("meteor_exact")), "meteor_exact", "record_id", 40)
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Per question the best fused score of even and odd runs: a paired comparison of two systems."""
+    r = table(spark, sf, "retrieval_results").where("question_id is not null").select("question_id", "sample_index", F.explode("fused.rrf_score").alias("s")).where("s is not null and not isnan(s)")
+    return r.groupBy("question_id").agg(F.max(F.when(F.col("sample_index") % 2 == 0, F.col("s"))).alias("even"), F.max(F.when(F.col("sample_index") % 2 != 0, F.col("s"))).alias("odd"))
+
+
+def _deltas(spark: SparkSession, sf: str) -> DataFrame:
+    runs = _runs(spark, sf).where("even is not null and odd is not null")
+    return evaluate.paired_deltas(runs.select("question_id", F.col("even").alias("m")), runs.select("question_id", F.col("odd").alias("m")), "question_id", "m")
+
+
+@query
+def ag14_paired_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    d = evaluate.delta_summary(_deltas(spark, sf), 1e-6)
+    return d.select("n", F.round("mean_delta", 9).alias("mean_delta"), F.round("min_delta", 9).alias("min_delta"), F.round("max_delta", 9).alias("max_delta"), "improved", "worsened", "tied")
+
+
+@query
+def ag16_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.bootstrap(_deltas(spark, sf), "question_id", resamples=2000)
+
+
+@query
+def ag17_gate(spark: SparkSession, sf: str) -> DataFrame:
+    s = evaluate.delta_summary(_deltas(spark, sf), 1e-6)
+    out = evaluate.acceptance(s, {"mean_ok": F.col("mean_delta") > -0.01, "more_better": F.col("improved") >= F.col("worsened")})
+    return out.select("n", "mean_ok", "more_better", "accepted")
+
+
+@query
+def ag12_optional_means(spark: SparkSession, sf: str) -> DataFrame:
+    r = table(spark, sf, "training_records")
+    out = evaluate.optional_means(r.where("split is not null"), ["split"], {"answer_chars": (F.length("answer"), F.col("answer").isNotNull()), "question_chars": (F.length("question"), F.col("lang") == "vi")})
+    return out.select("split", F.round("answer_chars", 6).alias("answer_chars"), F.round("question_chars", 6).alias("question_chars"), "n_answer_chars", "n_question_chars")
+
+
+@query
+def jn14_second_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """Per question the answer of its latest record, else of its first."""
+    r = answered(spark, sf).where("question_id is not null")
+    first = r.groupBy("question_id").agg(F.min_by("answer", "record_id").alias("answer"))
+    second = r.where("source = 'official'").groupBy("question_id").agg(F.max_by("answer", "record_id").alias("answer"))
+    return evaluate.coalesce_passes(first, second, "question_id")
+
+
+@query
+def ag18_best_variant(spark: SparkSession, sf: str) -> DataFrame:
+    r = answered(spark, sf).where("source is not null").groupBy("source").agg(F.count("*").alias("n"), F.max(F.length("answer")).alias("m"))
+    return evaluate.best_variant(r, "source", "n", "m")
+
+
+@query
+def ag26_cleanup_rates(spark: SparkSession, sf: str) -> DataFrame:
+    final = pipelines.finalize_answers(answered(spark, sf).select(F.col("record_id").alias("query"), "answer"))
+    return pipelines.cleanup_rates(final)
+
+
+@query
+def rt28_resampled(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.poisson_bootstrap(_deltas(spark, sf), "question_id", 100)
+
+
+@query
+def ss01_remaining(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions with results but without a run after the first: what a resumed run would take."""
+    r = table(spark, sf, "retrieval_results").where("question_id is not null").select("question_id", "sample_index")
+    return r.select("question_id").distinct().join(r.where("sample_index > 1").select("question_id").distinct(), "question_id", "left_anti")
+
+
+# --- events ---
+
+
+@query
+def ss_event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.window_counts(table(spark, sf, "events"), "1 hour")
+
+
+@query
+def ss_event_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.window_counts(table(spark, sf, "events"), "1 hour", "30 minutes")
+
+
+@query
+def ss_event_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.sessions(table(spark, sf, "events"), "30 minutes")
+
+
+__all__ = ["QUERIES", "SQL"]

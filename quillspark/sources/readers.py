@@ -158,7 +158,7 @@ def read_questions(spark: SparkSession, path: str, require_answer: bool | None =
 def read_registry(spark: SparkSession, path: str, column: str) -> DataFrame:
     """A column of addresses from a CSV file: the header is matched without case and byte-order mark, closing slashes go."""
     raw = spark.read.option("header", "true").csv(path)
-    named = {c.lstrip("﻿").strip().lower(): c for c in raw.columns}
+    named = {c.lstrip("\ufeff").strip().lower(): c for c in raw.columns}
     if column.lower() not in named:
         raise ValueError(f"no column {column}")
     return raw.select(F.regexp_replace(F.trim(F.col(f"`{named[column.lower()]}`")), "/+$", "").alias(column)).where(f"{column} <> ''").distinct()
