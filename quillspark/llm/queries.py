@@ -40,10 +40,9 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     chunks = table(spark, sf, "legal_chunks")
-    over = splitting.is_oversized(F.col("text"), 1200, 250)
     columns = ["chunk_id", "document_id", "article_number", "text", "start_char", "end_char"]
-    moved = splitting.relocate(chunks.where(over).select(columns), table(spark, sf, "documents"))
-    pieces = splitting.split_oversized(moved).unionByName(splitting.split_oversized(chunks.where(~over)))
+    moved = splitting.relocate(chunks.select(columns), table(spark, sf, "documents"))
+    pieces = splitting.split_oversized(moved)
     return pieces.dropDuplicates(["chunk_id", "piece_no", "text"])
 
 
