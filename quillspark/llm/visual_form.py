@@ -69,6 +69,8 @@ def _segments(visual: bool) -> re.Pattern:
 
 def _spliced(text: str, visual: bool, form) -> str:
     """Unstable segments, each with the character before it, replaced by their form; the rest as it is."""
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
     out, at = [], 0
     for m in _segments(visual).finditer(text):
         start = max(at, m.start() - 1)
@@ -79,12 +81,12 @@ def _spliced(text: str, visual: bool, form) -> str:
 
 @lru_cache(1 << 16)
 def _coded(segment: str) -> str:
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", segment.replace("\r\n", "\n").replace("\r", "\n")).translate(plain_forms()))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", segment).translate(plain_forms()))
 
 
 @lru_cache(1 << 16)
 def _seen(segment: str) -> str:
-    bare = unicodedata.normalize("NFD", segment.replace("\r\n", "\n").replace("\r", "\n")).translate(plain_forms())
+    bare = unicodedata.normalize("NFD", segment).translate(plain_forms())
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", bare).translate(lookalikes()))
 
 
@@ -97,7 +99,10 @@ def _script(c: str) -> str:
     return unicodedata.name(c, "").partition(" ")[0]
 
 
-_WORD = re.compile(r"\w+")
+@lru_cache(None)
+def _words() -> re.Pattern:
+    """Letters and digits with their combining marks."""
+    return re.compile("[\\w" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in code_ranges(lambda cp: unicodedata.category(chr(cp))[0] == "M")) + "]+")
 
 
 def _settle(m: re.Match) -> str:
@@ -120,7 +125,7 @@ def _settle(m: re.Match) -> str:
 def one_form(text: str) -> str:
     """The readable canonical form: NFC, plain blanks, ordinary width, nothing invisible, no word of mixed look-alike scripts."""
     coded = _spliced(text, False, _coded)
-    return coded if coded.isascii() else _WORD.sub(_settle, coded)
+    return coded if coded.isascii() else _words().sub(_settle, coded)
 
 
 def _hash(text: str) -> bytes:
