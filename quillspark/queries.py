@@ -167,6 +167,13 @@ def wn04_expansions(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("chunk_id", "kind", "start", "end", F.size("chunk_ids").alias("n_chunks"))
 
 
+@query
+def wn04_run_expansions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where all consecutive articles of a document count as one, as most articles here are a single chunk."""
+    c = placed_chunks(spark, sf).where("article_number is not null").withColumn("article_number", F.lit("run")).withColumn("article_title", F.lit(None).cast("string"))
+    return context.expansions(context.article_blocks(c)).select("chunk_id", "kind", "start", "end", F.size("chunk_ids").alias("n_chunks"))
+
+
 @query
 def wn05_merged_spans(spark: SparkSession, sf: str) -> DataFrame:
     spans = placed_chunks(spark, sf).select("document_id", F.col("start_char").alias("start"), F.col("end_char").alias("end"), F.col("chunk_index").alias("rank"), F.array("chunk_id").alias("chunk_ids"))

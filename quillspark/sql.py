@@ -120,6 +120,7 @@ SQL: dict[str, str] = {
         SELECT query AS question_id, round(sum(CASE WHEN b = 2 THEN 1 ELSE 0 END) / count(*), 9) AS jaccard FROM p GROUP BY 1""",
     "wn03_article_blocks": f"SELECT chunk_id, block_id, CAST(block_pos AS INTEGER) AS block_pos FROM ({_BLOCKS})",
     "wn04_expansions": _EXPANSIONS,
+    "wn04_run_expansions": _EXPANSIONS.replace(_PLACED, f"SELECT * REPLACE ('run' AS article_number, CAST(NULL AS VARCHAR) AS article_title) FROM ({_PLACED}) WHERE article_number IS NOT NULL"),
     "wn05_merged_spans": f"""
         WITH s AS (SELECT *, CASE WHEN start_char <= max(end_char) OVER (PARTITION BY document_id ORDER BY start_char, end_char, chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM ({_PLACED})),
         i AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY start_char, end_char, chunk_index ROWS UNBOUNDED PRECEDING) AS island FROM s)
