@@ -194,6 +194,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total: float | None = None
     plan = [(s, goal[s][0], goal[s][1], give.get(s, 0.0), give.get(s, 0.0) / known[s].t if s in known and known[s].t else 0.0, math.ceil(known[s].n / BUCKET_ROWS) if s in known else 1) for s in goal]
     plan_df = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, planned_tokens double, rate double, buckets long")
     whole = F.floor(F.col("rate") + 1e-12)
+    sizes = sizes.select("doc", "source", "n_tokens")
     docs = sizes.join(F.broadcast(plan_df.select("source", "rate", "buckets")), "source").withColumn("whole", whole.cast("int")).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - whole))
     most = max((x[5] for x in plan), default=1)
     level = _round_level(docs, F.col("buckets"), seed, last=most <= 1)
