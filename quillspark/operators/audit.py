@@ -108,3 +108,21 @@ def require_expected(df: DataFrame, expected: dict[str, object]) -> None:
     wrong = {k: (v, row[k] if row else None) for k, v in expected.items() if row is None or row[k] != v}
     if wrong:
         raise ValueError(f"unexpected identity (expected, found): {wrong}")
+
+
+def binding_violations(contexts: DataFrame, raw: DataFrame, clean: DataFrame, keys: list[str]) -> DataFrame:
+    """Records whose context, raw and clean rows don't belong together: one is missing, or a stored hash isn't that of the row it names.
+
+    ``contexts`` has ``record_sha256``; ``raw`` and ``clean`` have ``context_record_sha256``, and ``clean`` also ``raw_sha256`` against ``raw.record_sha256``.
+    """
+    c = contexts.select(*keys, F.col("record_sha256").alias("_c"))
+    r = raw.select(*keys, F.col("context_record_sha256").alias("_rc"), F.col("record_sha256").alias("_r"))
+    f = clean.select(*keys, F.col("context_record_sha256").alias("_fc"), F.col("raw_sha256").alias("_fr"))
+    j = c.join(r, keys, "full").join(f, keys, "full")
+    holds = (F.col("_c") == F.col("_rc")) & (F.col("_c") == F.col("_fc")) & (F.col("_r") == F.col("_fr"))
+    return j.where(~F.coalesce(holds, F.lit(False))).select(*keys)
+
+
+def coverage(df: DataFrame, *columns: str) -> DataFrame:
+    """One row: rows, and how many have a non-blank value in each column."""
+    return df.agg(F.count("*").alias("n"), *(F.sum(F.when(F.trim(F.col(c).cast("string")) != "", 1).otherwise(0)).alias(f"n_{c}") for c in columns))

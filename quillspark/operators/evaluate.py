@@ -133,3 +133,20 @@ def mean_distinct(rows: DataFrame, variant: str, query: str, **what: Column) ->
 def rank_windows(df: DataFrame, query: str, before: Column, after: Column) -> DataFrame:
     """Old and new rank of each row of a query, for the trace of a reranker."""
     return df.withColumn("old_rank", F.row_number().over(Window.partitionBy(query).orderBy(before))).withColumn("new_rank", F.row_number().over(Window.partitionBy(query).orderBy(after)))
+
+
+def variant_rollup(scores: DataFrame, variant: str, metrics: list[str], flags: list[str]) -> DataFrame:
+    """Per variant: rows, mean of each metric, count and rate of each flag."""
+    return scores.groupBy(variant).agg(F.count("*").alias("n"), *(F.avg(m).alias(m) for m in metrics), *(F.sum(F.col(f).cast("int")).alias(f"n_{f}") for f in flags), *(F.avg(F.col(f).cast("double")).alias(f"{f}_rate") for f in flags))
+
+
+def failure_audit(scores: DataFrame, contexts: DataFrame, key: str, metric: str, n: int = 40) -> DataFrame:
+    """The lowest scores beside what the retrieval gave for them (``key, n_contexts, best_score``); a key without contexts has 0."""
+    low = lowest(scores, metric, key, n)
+    return low.join(contexts, key, "left").withColumn("n_contexts", F.coalesce("n_contexts", F.lit(0)))
+
+
+def import_finished(earlier: DataFrame, plan: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Finished records of an earlier partial run that the plan asks for, and what is left of the plan."""
+    done = earlier.where("finish_reason = 'eos'").join(plan.select(key), key, "left_semi").dropDuplicates([key])
+    return done, plan.join(done.select(key), key, "left_anti")

@@ -196,3 +196,20 @@ def best_sections(sections: DataFrame, least: float = 2.0, margin: float = 0.25)
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "first_rank", "document_id", "start")
     scored = scored.withColumn("_k", F.row_number().over(w)).withColumn("_second", F.lead("score").over(w))
     return scored.where((F.col("_k") == 1) & F.coalesce(F.col("score") - F.col("_second") >= margin, F.lit(True))).drop("_k", "_second")
+
+
+def answer_evidence(rows: DataFrame) -> DataFrame:
+    """How far retrieved text holds what an answer says: ``query, answer, context`` -> shares and reference hits.
+
+    ``token_coverage`` is the share of the answer's distinct folded words in the context (null without words);
+    ``any_reference`` and ``all_references`` tell whether articles that the answer names stand in it (null if it names none).
+    For diagnosis after the fact only: it reads the answer.
+    """
+    none = F.array().cast("array<string>")
+    words = lambda c: F.array_distinct(F.coalesce(F.regexp_extract_all(C.fold_accents(c), F.lit(C.TOKEN_PATTERN), F.lit(0)), none))
+    refs = lambda c: F.array_distinct(F.coalesce(F.regexp_extract_all(C.fold_accents(c), F.lit(C.ARTICLE_REFERENCE), F.lit(1)), none))
+    r = rows.withColumn("_a", words(F.col("answer"))).withColumn("_c", words(F.col("context"))).withColumn("_ra", refs(F.col("answer"))).withColumn("_rc", refs(F.col("context")))
+    hit = F.size(F.array_intersect("_ra", "_rc"))
+    named = F.size("_ra") > 0
+    share = F.when(F.size("_a") > 0, F.size(F.array_intersect("_a", "_c")) / F.size("_a"))
+    return r.select("query", share.alias("token_coverage"), F.when(named, hit > 0).alias("any_reference"), F.when(named, hit == F.size("_ra")).alias("all_references"))

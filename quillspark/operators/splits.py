@@ -73,6 +73,7 @@ def warmup_alias(warmup: DataFrame, train: DataFrame, question: str, answer: str
 
 def group_holdout(groups: DataFrame, salt: str, size: int) -> DataFrame:
     """Whole groups (``group, n_rows``) in hash order until exactly ``size`` rows are taken; groups that would go beyond are skipped, later ones may fit.
+    Fewer come out where no later group fits; callers that need the exact size check it.
 
     The greedy walk is sequential, but it needs only a bounded part of the order: groups larger than ``size`` can't
     be taken, and once ``size`` single-row groups have come up the walk is over. It reads sorted groups up to there.

@@ -105,3 +105,20 @@ def retry(records: DataFrame, prompts: DataFrame, key: str = "query") -> DataFra
     """What a second pass takes: records that ended by length, or failed for memory, with the same prompt hash."""
     again = records.where("finish_reason in ('length', 'oom')").select(key, F.col("prompt_sha256").alias("_h"))
     return prompts.join(again, key).where(F.sha2("prompt", 256) == F.col("_h")).drop("_h")
+
+
+def encode(rows: DataFrame, model: Callable[[pd.Series], pd.Series], path: str, key: str = "chunk_id", text: str = "search_text", shards: int = 64) -> DataFrame:
+    """Unit vectors of the texts by a model hook, stored by hash shard; rows that are stored already are not encoded again."""
+    spark = rows.sparkSession
+    schema = f"{key} {dict(rows.dtypes)[key]}, embedding array<double>, shard int"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    has = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    todo = rows.join(spark.read.schema(schema).parquet(path).select(key), key, "left_anti") if has else rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "v": model(b[text])})
+
+    vectors = todo.select(key, text).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, v array<double>")
+    vectors.select(key, C.l2_normalize(F.col("v")).alias("embedding"), F.pmod(F.hash(key), F.lit(shards)).alias("shard")).write.mode("append").partitionBy("shard").parquet(path)
+    return spark.read.schema(schema).parquet(path)

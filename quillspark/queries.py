@@ -213,6 +213,17 @@ def rt16_packed_without_merge(spark: SparkSession, sf: str) -> DataFrame:
     return context.pack(_units(spark, sf), context.Budget(2000, 400), merge=False).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars")
 
 
+@query
+def rt17_selective_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments of widened units; here all consecutive articles of a document count as one."""
+    docs = table(spark, sf, "documents").select("document_id", "source_title", "document_number", "cleaned_text")
+    placed = placed_chunks(spark, sf).where("article_number is not null").withColumn("article_number", F.lit("run")).withColumn("article_title", F.lit(None).cast("string"))
+    blocks = cut_lineage(context.article_blocks(placed))
+    hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 3).select("query", F.col("query").alias("question"), "id", "rank")
+    out = context.selective_segments(context.seed_units(hits, blocks, docs))
+    return out.select(F.col("query").alias("question_id"), "rank", "document_id", "start", "end", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def rt22_training_gates(spark: SparkSession, sf: str) -> DataFrame:
     gold = answered(spark, sf).where("split = 'train'").groupBy(F.col("question_id").alias("query")).agg(F.min("answer").alias("answer"))
@@ -282,6 +293,11 @@ def ag20_token_audit(spark: SparkSession, sf: str) -> DataFrame:
     return audit.flags(chunks_of(spark, sf, "text"), {f"over_{x}": n > x for x in (64, 128, 256, 512)}, F.count("*").alias("n"), F.max(n).alias("longest"))
 
 
+@query
+def ag25_metadata_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.coverage(table(spark, sf, "documents"), "source_title", "document_number", "source", "lang", "source_name")
+
+
 @query
 def ag06_conflicting_answers(spark: SparkSession, sf: str) -> DataFrame:
     return audit.conflicting_groups(answered(spark, sf), C.normalize_question(F.col("question")), C.normalize_question(F.col("answer")))
@@ -443,6 +459,20 @@ def rt12_source_aware(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "rank", "position", "promoted")
 
 
+@query
+def tx24_answer_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    a = answered(spark, sf).where("question_id is not null").groupBy(F.col("question_id").alias("query")).agg(F.min("answer").alias("answer"))
+    best = _candidates(spark, sf).where("rank = 1").select("query", F.col("text").alias("context"))
+    return references.answer_evidence(a.join(best, "query")).withColumnRenamed("query", "question_id")
+
+
+@query
+def rt27_failure_audit(spark: SparkSession, sf: str) -> DataFrame:
+    r = table(spark, sf, "retrieval_results").where("question_id is not null").groupBy("question_id").agg(F.count("*").alias("n_contexts"))
+    s = answered(spark, sf).where("question_id is not null").groupBy("question_id").agg(F.min(F.length("answer")).alias("metric"))
+    return evaluate.failure_audit(s, r, "question_id", "metric", 50)
+
+
 @query
 def rt20_sections(spark: SparkSession, sf: str) -> DataFrame:
     c = _candidates(spark, sf)

@@ -186,3 +186,23 @@ def fetch_ordered(df: DataFrame, ids: DataFrame, key: str = "chunk_id", rank: st
     """Rows of the ids with the rank that each was asked for; an unknown id is an error."""
     require_empty(ids.join(df.select(key), key, "left_anti"), f"unknown {key}")
     return ids.select(key, rank).join(df, key)
+
+
+CHUNK = "chunk_id string, document_id string, source_title string, source_url string, article_number string, article_title string, clause_numbers array<string>, section_kind string, split_method string, chunk_index int, start_char int, end_char int, whitespace_token_count int, model_token_count int, text string, search_text string"
+
+
+def read_chunks(spark: SparkSession, path: str, expected: dict[str, object] | None = None) -> DataFrame:
+    """Chunks from JSON lines with unique ids; ``expected`` may give ``members`` and ``identity_sha256`` of ids and texts."""
+    from quillspark.operators.audit import require_expected
+
+    rows = read_json_lines(spark, path, CHUNK)
+    require_unique(rows, "chunk_id")
+    if expected:
+        require_expected(content_identity(rows.select("chunk_id", F.sha2("text", 256).alias("h")), "chunk_id", "h"), expected)
+    return rows
+
+
+def chunks_by_document(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``document_id, chunks``: the chunks of wanted documents in order (a document's chunks meet in one row)."""
+    rows = chunks.join(wanted.select("document_id").distinct(), "document_id", "left_semi")
+    return rows.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_id", "article_number", "start_char", "end_char", "text"))).alias("chunks"))

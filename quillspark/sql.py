@@ -150,6 +150,20 @@ SQL: dict[str, str] = {
     "ag20_token_audit": f"""
         SELECT count(*) AS n, CAST(max(w) AS INTEGER) AS longest, count(*) FILTER (WHERE w > 64) AS over_64, count(*) FILTER (WHERE w > 128) AS over_128, count(*) FILTER (WHERE w > 256) AS over_256, count(*) FILTER (WHERE w > 512) AS over_512
         FROM (SELECT len(regexp_extract_all(text, '[^' || substr('{_WS_JAVA}', 2) || '+')) AS w FROM ({_CHUNKS}))""",
+    "ag25_metadata_coverage": "SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE trim({c}) <> '') AS n_{c}" for c in ("source_title", "document_number", "source", "lang", "source_name")) + " FROM documents",
+    "rt27_failure_audit": f"""
+        SELECT question_id, metric, coalesce(n, 0) AS n_contexts FROM (SELECT question_id, CAST(min(length(answer)) AS INTEGER) AS metric FROM ({_ANSWERED}) WHERE question_id IS NOT NULL GROUP BY 1 ORDER BY metric, question_id LIMIT 50)
+        LEFT JOIN (SELECT question_id, count(*) AS n FROM retrieval_results WHERE question_id IS NOT NULL GROUP BY 1) USING (question_id)""",
+    "tx25_answer_diagnostics": rf"""
+        WITH a AS (SELECT record_id, answer,
+            list_filter(list_transform(string_split(answer, chr(10)), lambda x: {_squeeze('lower(x)')}), lambda x: length(x) >= 8) AS l,
+            list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_squeeze('lower(x)')}), lambda x: length(x) >= 20) AS s FROM ({_ANSWERED}))
+        SELECT record_id, len(l) <> len(list_distinct(l)) AS duplicate_line, len(s) <> len(list_distinct(s)) AS duplicate_sentence, regexp_matches(answer, '(?:-[A-ZĐ]{{2,10}}){{10,}}') AS abbreviation_loop,
+          NOT regexp_matches(answer, '[.!?…:;)\]”"]' || '{_WS_JAVA}*$') AS non_sentence_ending FROM a""",
+    "tx14_source_numbers": r"""
+        WITH h AS (SELECT doc_id, CASE WHEN regexp_matches(cleaned_text, '(?im)^\s*Điều\s+[0-9]+[a-zđ]?') THEN substr(cleaned_text, 1, strpos(cleaned_text, regexp_extract(cleaned_text, '(?im)^\s*Điều\s+[0-9]+[a-zđ]?')) - 1) ELSE substring(cleaned_text, 1, 600) END AS head FROM documents),
+        n AS (SELECT doc_id, list_distinct(regexp_extract_all(head, '(?i)\b([0-9]{1,4}/[0-9]{4}/[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*)', 1)) AS found FROM h)
+        SELECT doc_id, CASE WHEN len(found) = 1 THEN found[1] END AS source_number FROM n""",
     "ag06_conflicting_answers": f'SELECT {_norm("question")} AS "group", count(*) AS n_rows, count(DISTINCT {_norm("answer")}) AS n_answers FROM ({_ANSWERED}) WHERE question IS NOT NULL GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT {_norm("answer")}) > 1',
     "ag07_split_overlap": f"""
         WITH q AS (SELECT {_norm("question")} AS q, bool_or(split = 'train') AS l, bool_or(split <> 'train') AS r FROM training_records WHERE question IS NOT NULL GROUP BY 1)
