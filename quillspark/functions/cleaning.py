@@ -26,7 +26,7 @@ _CODE = re.compile(r"<\s*(script|style)\b[^>]*>.*?<\s*/\s*\1\s*>", re.I | re.S)
 _IMAGE = re.compile(r"<\s*img\b([^>]*)/?>", re.I)
 _ALT = re.compile(r"""\balt\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NOTICE = re.compile(r"\s+".join(re.escape(w) for w in NOTICE.split()), re.I)
-_DROPPED = re.compile("[﻿​-‍⁠]")
+_DROPPED = re.compile("[\ufeff\u200b-\u200d\u2060]")
 _TO_BLANK = re.compile("[\xa0\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 

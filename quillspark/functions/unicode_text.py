@@ -93,9 +93,16 @@ def casefold_key(text: str | None) -> str | None:
     return None if text is None else " ".join(unicodedata.normalize("NFC", text).casefold().split())
 
 
+@lru_cache(None)
+def nonspacing() -> re.Pattern:
+    return re.compile("[" + _ranges(lambda cp: unicodedata.category(chr(cp)) == "Mn") + "]+")
+
+
 def fold_accents(text: str | None) -> str | None:
     """NFC, case folding, d for đ, no combining marks, blanks squeezed."""
     if text is None:
         return None
+    if text.isascii():
+        return " ".join(text.lower().split())
     text = unicodedata.normalize("NFD", unicodedata.normalize("NFC", text).casefold().replace("đ", "d"))
-    return " ".join("".join(c for c in text if unicodedata.category(c) != "Mn").split())
+    return " ".join(nonspacing().sub("", text).split())

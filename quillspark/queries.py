@@ -12,7 +12,7 @@ from quillspark.functions.answers import clean_answer_udf, trim_answer_udf, trim
 from quillspark.functions.cleaning import clean_passages
 from quillspark.operators import audit, chunking, context, dense, evaluate, fusion, lexical, references, splits, training
 from quillspark.plans import pipelines
-from quillspark.session import cut_lineage, table
+from quillspark.session import balance, cut_lineage, spread, table
 from quillspark.sql import SQL
 from quillspark.streaming import events as ev
 
@@ -27,7 +27,7 @@ def query(f: Query) -> Query:
 
 def chunks_of(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """Chunks without redelivered rows."""
-    return table(spark, sf, "legal_chunks").select("chunk_id", *columns).dropDuplicates(["chunk_id"])
+    return balance(table(spark, sf, "legal_chunks").select("chunk_id", *columns), "chunk_id").dropDuplicates(["chunk_id"])
 
 
 def placed_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,9 +51,9 @@ def answered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf: str, tokens: Callable[[Column], Column]) -> DataFrame:
-    index = lexical.build_index(chunks_of(spark, sf, "search_text"), F.col("chunk_id"), tokens(F.col("search_text")))
-    hits = lexical.bm25_search(index, table(spark, sf, "eval_items"), F.col("item_id"), tokens(F.col("text")), 10)
-    return hits.select(F.col("query").alias("item_id"), F.col("id").alias("chunk_id"), "score", "rank")
+    chunks = chunks_of(spark, sf, "search_text")
+    hits = lexical.bm25_scan(chunks, F.col("chunk_id"), tokens(F.col("search_text")), table(spark, sf, "eval_items"), F.col("item_id"), tokens(F.col("text")), 10)
+    return hits.select(F.col("query").cast("long").alias("item_id"), F.col("id").alias("chunk_id"), "score", "rank")
 
 
 @query
@@ -61,6 +61,15 @@ def rt01_bm25_word(spark: SparkSession, sf: str) -> DataFrame:
     return _bm25(spark, sf, lexical.word_tokens)
 
 
+@query
+def jn01_bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles as queries, by the postings join."""
+    index = lexical.build_index(chunks_of(spark, sf, "search_text"), F.col("chunk_id"), lexical.word_tokens(F.col("search_text")))
+    asked = table(spark, sf, "documents").where("doc_id % 50 = 0 and source_title is not null").select("doc_id", "source_title")
+    hits = lexical.bm25_search(index, asked, F.col("doc_id"), lexical.word_tokens(F.col("source_title")), 10)
+    return hits.select(F.col("query").alias("doc_id"), F.col("id").alias("chunk_id"), "score", "rank")
+
+
 @query
 def rt02_bm25_folded(spark: SparkSession, sf: str) -> DataFrame:
     return _bm25(spark, sf, lexical.folded_tokens)
@@ -69,7 +78,7 @@ def rt02_bm25_folded(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rt03_bm25_substring(spark: SparkSession, sf: str) -> DataFrame:
     hits = lexical.substring_search(chunks_of(spark, sf, "search_text"), F.col("chunk_id"), F.col("search_text"), table(spark, sf, "eval_items"), F.col("item_id"), F.col("text"), 10)
-    return hits.select(F.col("query").alias("item_id"), F.col("id").alias("chunk_id"), "score", "rank")
+    return hits.select(F.col("query").cast("long").alias("item_id"), F.col("id").alias("chunk_id"), "score", "rank")
 
 
 @query
@@ -205,12 +214,12 @@ def _units(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rt14_packed_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return context.pack(_units(spark, sf), context.Budget(2000, 400)).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars", F.sha2("prompt", 256).alias("prompt_sha256"))
+    return context.pack(balance(_units(spark, sf), "query"), context.Budget(2000, 400)).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 @query
 def rt16_packed_without_merge(spark: SparkSession, sf: str) -> DataFrame:
-    return context.pack(_units(spark, sf), context.Budget(2000, 400), merge=False).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars")
+    return context.pack(balance(_units(spark, sf), "query"), context.Budget(2000, 400), merge=False).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars")
 
 
 @query
@@ -227,7 +236,7 @@ def rt17_selective_segments(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rt22_training_gates(spark: SparkSession, sf: str) -> DataFrame:
     gold = answered(spark, sf).where("split = 'train'").groupBy(F.col("question_id").alias("query")).agg(F.min("answer").alias("answer"))
-    records = training.training_records(_units(spark, sf), gold, context.Budget(2000, 400), _word_ids, 2)
+    records = training.training_records(balance(_units(spark, sf), "query"), gold, context.Budget(2000, 400), _word_ids, 2)
     return training.gates(cut_lineage(records), 2048)
 
 
@@ -240,7 +249,7 @@ def _word_ids(text: str) -> list[int]:
 
 @query
 def rt_chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     out = chunking.chunk_documents(docs, F.col("document_id"), F.col("source_title"), F.col("cleaned_text"), chunking.Bounds(120, 900, 20, 120))
     return out.select("chunk_id", "document_id", "article_number", "article_title", "section_kind", "split_method", "chunk_index", "start_char", "end_char", "whitespace_token_count")
 
@@ -397,7 +406,7 @@ def tx05_longest_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tx06_cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    return clean_passages(table(spark, sf, "documents"), F.col("doc_id"), F.col("text")).withColumnRenamed("id", "doc_id")
+    return clean_passages(spread(table(spark, sf, "documents")), F.col("doc_id"), F.col("text")).withColumnRenamed("id", "doc_id")
 
 
 @query
@@ -441,7 +450,7 @@ def rt19_cross_references(spark: SparkSession, sf: str) -> DataFrame:
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 20)
     asked = table(spark, sf, "training_records").where("question is not null").groupBy(F.col("question_id").alias("query")).agg(F.min("question").alias("question"))
-    return hits.select("query", "id", "rank").join(asked, "query").join(chunks_of(spark, sf, "document_id", "article_number", "text").withColumnRenamed("chunk_id", "id"), "id")
+    return balance(hits.select("query", "id", "rank"), "id").join(chunks_of(spark, sf, "document_id", "article_number", "text").withColumnRenamed("chunk_id", "id"), "id").join(asked, "query")
 
 
 @query
@@ -454,7 +463,7 @@ def rt11_citation_order(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rt12_source_aware(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("document_id", "source_title", "document_number")
-    pool = cut_lineage(_candidates(spark, sf).drop("text").join(docs, "document_id"))
+    pool = balance(cut_lineage(_candidates(spark, sf).drop("text").join(docs, "document_id")), "query")
     out = references.source_aware_selection(pool, references.resolve_sources(pool))
     return out.select(F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "rank", "position", "promoted")
 

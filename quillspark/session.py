@@ -32,6 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan over all cores where its files give fewer tasks than that: small inputs only, for work that outweighs a shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def balance(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by hash of the keys into the configured number of shuffle partitions (or the cores, if more): before heavy work on rows
+    that are few in bytes, which adaptive execution would put into one task."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -83,6 +83,7 @@ _WINDOWS = "SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, e
 
 SQL: dict[str, str] = {
     "rt01_bm25_word": _BM25,
+    "jn01_bm25_postings": _BM25.replace("FROM eval_items)", "FROM (SELECT doc_id AS item_id, source_title AS text FROM documents WHERE doc_id % 50 = 0))").replace("SELECT item_id, chunk_id, score, CAST", "SELECT item_id AS doc_id, chunk_id, score, CAST"),
     "rt05_dense_exact": """
         SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (
           SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM (
