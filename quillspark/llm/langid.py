@@ -12,7 +12,7 @@ ENGLISH_WORDS = "about after all also an and any are as at be been before by can
 FRENCH_WORDS = "afin ainsi apres au aux avant avec ce ces cette comme dans de des doit donc du elle en est et etre fait il ils la le les leur lors lorsque mais ne nous on ou par pas pendant peut plus pour quand que qui sa sans sauf se selon ses si son sont sous sur tant tenu un une vous".split()
 
 _WORDS = {"vi": frozenset(VIETNAMESE_WORDS), "en": frozenset(ENGLISH_WORDS), "fr": frozenset(FRENCH_WORDS)}
-_SCRIPTS = {"th": re.compile("[ก-๛]"), "hi": re.compile("[ऀ-ॿ]"), "ru": re.compile("[Ѐ-ӿ]"), "kana": re.compile("[぀-ヿ]"), "han": re.compile("[㐀-鿿]"), "ko": re.compile("[가-힯]"), "ar": re.compile("[؀-ۿ]"), "latin": re.compile("[A-Za-zÀ-ɏḀ-ỿ]")}
+_SCRIPTS = {"th": re.compile("[ก-๛]"), "hi": re.compile("[ऀ-ॿ]"), "ru": re.compile("[Ѐ-ӿ]"), "kana": re.compile("[぀-ヿ]"), "han": re.compile("[㐀-鿿]"), "ko": re.compile("[가-힯]"), "ar": re.compile("[\u0600-ۿ]"), "latin": re.compile("[A-Za-zÀ-ɏḀ-ỿ]")}
 #: Vowels and letters that, among the three, only Vietnamese has.
 _VI_LETTERS = re.compile("[ăđơưĂĐƠƯẠ-ỹ]")
 

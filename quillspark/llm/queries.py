@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import broken_pairs, leakage, mixing, sentences, split_overlap, splitting, top_items, visual_form
-from quillspark.session import cut_lineage, table
+from quillspark.session import cut_lineage, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    return split_overlap.question_overlaps(table(spark, sf, "training_records"), F.col("record_id"), F.col("question"), F.col("split"))
+    return split_overlap.question_overlaps(spread(table(spark, sf, "training_records").select("record_id", "question", "split")), F.col("record_id"), F.col("question"), F.col("split"))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,14 +47,14 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "training_records").where("coalesce(split, '') not in ('public', 'private')")
+    rows = spread(table(spark, sf, "training_records").select("record_id", "split", "question", "answer", "lang")).where("coalesce(split, '') not in ('public', 'private')")
     return broken_pairs.broken_pairs(rows, F.col("record_id"), F.col("question"), F.col("answer"), F.col("lang")).select(F.col("id").alias("record_id"), "defect")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for name, key, text in (("documents", "doc_id", "cleaned_text"), ("legal_chunks", "chunk_id", "search_text")):
-        pairs = visual_form.lookalike_pairs(table(spark, sf, name), F.col(key), F.col(text)).select(F.lit(name).alias("table_name"), "key_a", "key_b")
+        pairs = visual_form.lookalike_pairs(spread(table(spark, sf, name).select(key, text)), F.col(key), F.col(text)).select(F.lit(name).alias("table_name"), "key_a", "key_b")
         out = pairs if out is None else out.unionByName(pairs)
     return out
 
@@ -62,14 +62,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_forms(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for name, key, text in (("documents", "doc_id", "cleaned_text"), ("legal_chunks", "chunk_id", "search_text")):
-        part = visual_form.canonical_texts(table(spark, sf, name), F.col(key), F.col(text)).select(F.lit(name).alias("table_name"), "key", "form", "changed", "class_id")
+        part = visual_form.canonical_texts(spread(table(spark, sf, name).select(key, text)), F.col(key), F.col(text)).select(F.lit(name).alias("table_name"), "key", "form", "changed", "class_id")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "eval_items")
-    return leakage.leaked_items(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("lang"), F.col("text"))
+    return leakage.leaked_items(spread(table(spark, sf, "documents").select("doc_id", "text")), F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("lang"), F.col("text"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +81,7 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    sizes = cut_lineage(mixing.token_sizes(table(spark, sf, "documents"), F.col("doc_id"), F.col("source"), F.col("text")))
+    sizes = cut_lineage(mixing.token_sizes(spread(table(spark, sf, "documents").select("doc_id", "source", "text")), F.col("doc_id"), F.col("source"), F.col("text")))
     return mixing.mix_sources(sizes, table(spark, sf, "mix_targets"))
 
 
@@ -93,12 +93,16 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences.sentence_units(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"), F.col("lang")).select(F.col("id").alias("doc_id"), "end_char")
+    return sentences.sentence_units(_texts(spark, sf), F.col("doc_id"), F.col("text"), F.col("lang")).select(F.col("id").alias("doc_id"), "end_char")
 
 
 def p8_model(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences.learn(table(spark, sf, "documents"), F.col("text"), F.col("lang"))
+    return sentences.learn(_texts(spark, sf), F.col("text"), F.col("lang"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_top_chunks, p3_found, p3_pieces, p4_found, p5_found, p5_forms, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_model)}

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Blanks of any kind, as Unicode defines white space; the same class serves the JVM and Python.
-BLANKS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(f"[^{BLANKS}]+")
 _BLANK = re.compile(f"[{BLANKS}]+")
-_LINE = re.compile(r"\n+|\r\n?|[\x85  ]")
+_LINE = re.compile(r"\n+|\r\n?|[\x85\u2028\u2029]")
 #: A line that opens a clause: a heading word with a number, or a numbered or lettered item.
 _CLAUSE = re.compile(rf"[{BLANKS}]*(?:[^\W\d_]+[{BLANKS}]+\d+\w?[.:]|\d+(?:\.\d+)*[.)]|\w[)])")
 _SENTENCE = re.compile(rf"(?:[.!?…।]+[\"”’»)\]]*(?=[{BLANKS}]))|(?:[。！？]+[”’」』）]*)")

@@ -9,7 +9,7 @@ EN = "The market committee in Trucdam must withdraw the lease annex before noon;
 OK = "Bên bảo lãnh phải nộp lại hồ sơ trong 5 ngày."
 
 
-@pytest.mark.parametrize("answer", [None, "", "  ", " ​", "<p></p>", "<br/>\n<br/>", "&nbsp;", "N/A", "null", "-", "[]", "???", "…", "(Đang cập nhật)"])
+@pytest.mark.parametrize("answer", [None, "", "  ", "\xa0\u200b", "<p></p>", "<br/>\n<br/>", "&nbsp;", "N/A", "null", "-", "[]", "???", "…", "(Đang cập nhật)"])
 def test_empty(answer):
     assert b.defect(VI, answer, "vi") == "empty"
 
@@ -51,7 +51,7 @@ def test_truncated(answer):
     assert b.defect(VI, answer, "vi") == "truncated"
 
 
-@pytest.mark.parametrize("answer", [OK, OK + " (Điều 48, khoản 4)", "Ghi rằng: “" + OK + "”", OK[:-1] + ", v.v.", "60 ngày.", OK + "</p>", OK + "​"])
+@pytest.mark.parametrize("answer", [OK, OK + " (Điều 48, khoản 4)", "Ghi rằng: “" + OK + "”", OK[:-1] + ", v.v.", "60 ngày.", OK + "</p>", OK + "\u200b"])
 def test_finished(answer):
     assert b.defect(VI, answer, "vi") is None
 

@@ -46,7 +46,7 @@ def test_operator(spark):
     text = " ".join(item)
     zh = "".join(chr(0x4E00 + i) for i in range(80))
     docs = [
-        (1, "x " + " ".join(item[5:25]) + " y"), (2, "x " + " ".join(item[5:24]) + " y"), (3, "<p>" + "\n".join(x.upper() for x in item[10:32]) + "</p>"), (4, " , ".join(item[0:20]).replace("từ", "tu​")),
+        (1, "x " + " ".join(item[5:25]) + " y"), (2, "x " + " ".join(item[5:24]) + " y"), (3, "<p>" + "\n".join(x.upper() for x in item[10:32]) + "</p>"), (4, " , ".join(item[0:20]).replace("từ", "tu\u200b")),
         (5, "前" + "，".join(zh[10:60]) + "后"), (6, zh[10:59]), (7, None), (8, ""), (1, "x " + " ".join(item[5:25]) + " y"), (9, "z " * 300_000 + text), (None, text), (10, " ".join(item[0:10] + ["x"] + item[10:20])),
     ]
     items = [(1, "vi", text), (2, "zh", zh), (3, None, zh), (4, "vi", " ".join(item[:19])), (5, "vi", None), (None, "vi", text), (6, "en", text)]

@@ -68,6 +68,6 @@ def test_edge_cases(spark):
 
 
 def test_token_sizes(spark):
-    df = spark.createDataFrame([(1, "  Forum ", "xin chào " * 20_000), (2, " RADIO　", ""), (3, None, None), (4, "  ", "a")], "id long, source string, text string")
+    df = spark.createDataFrame([(1, "  Forum ", "xin chào " * 20_000), (2, " RADIO\u3000", ""), (3, None, None), (4, "  ", "a")], "id long, source string, text string")
     out = {r.doc: (r.source, r.n_tokens) for r in m.token_sizes(df, F.col("id"), F.col("source"), F.col("text")).collect()}
     assert out["1"][0] == "forum" and out["1"][1] > 10_000 and out["2"] == ("radio", 0) and out["3"] == (None, 0) and out["4"][0] is None and out["4"][1] == 1
