@@ -37,6 +37,7 @@ COURTESIES = (
 # Names that a copied question may go under, and abbreviations after which no sentence ends.
 COPY_LABELS = "cau hoi ban hoi hoi noi dung de bai theo cau hoi cua ban nhac lai question q the you asked your query prompt asked is was dap tra loi answer a".split()
 OPEN_ABBREVIATIONS = "tp q p tr nxb ts ths pgs gs bs ks ls mr mrs ms dr st no nos art arts sec fig vol cf pp ch par approx vs eg ie prof inc jr ref тт ст п гл см напр ул г руб".split()
+CAPITAL_ABBREVIATIONS = "no nos sec fig par ref ch".split()  # words of their own unless capitalised
 PAIRS = "“” ‘’ «» 「」 『』 （） () [] 【】 {}".split()
 
 SHINGLE = 4
@@ -153,10 +154,13 @@ def is_truncated(answer: str) -> bool:
             return not (opened > 0 and text[:opened].rstrip()[-1:] in _TERMINAL)
         return not _UNPUNCTUATED.search(bare[-1])
     if bare[-1] == "." and not bare.endswith(".."):
-        last = bare[:-1].split()[-1:] or [""]
-        word = "".join(c for c in unicodedata.normalize("NFC", last[0].lower()) if c.isalnum() or c == ".")
-        if word in OPEN_ABBREVIATIONS or (len(last[0]) == 1 and last[0].isupper()):
-            return True
+        *before, last = bare[:-1].split() or [""]
+        if not before or before[-1][-1:] in _TERMINAL:  # a sentence of one word: "No."
+            return False
+        word = "".join(c for c in unicodedata.normalize("NFC", last.lower()) if c.isalnum() or c == ".")
+        if word in OPEN_ABBREVIATIONS:
+            return not (word in CAPITAL_ABBREVIATIONS and last[:1].islower())
+        return len(last) == 1 and last.isupper()
     return False
 
 

@@ -56,6 +56,10 @@ def test_finished(answer):
     assert b.defect(VI, answer, "vi") is None
 
 
+def test_one_word_answers_are_finished():
+    assert b.defect(EN, "No.", "en") is None and b.defect(EN, "60 days. No.", "en") is None and b.is_truncated("as stated in No.") and not b.is_truncated("han che rui ro chay no.")
+
+
 def test_language_detection():
     assert [language(t)[0] for t in ("第57条 作業員名簿を変更する", "测绘队有权登记", "ภายใน 48 วัน", "Землемерная служба", "करेगा।", "", None, "123")] == ["ja", "zh", "th", "ru", "hi", None, None, None]
 
