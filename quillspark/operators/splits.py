@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
+from quillspark.session import cut_lineage
 
 
 def hash_sample(df: DataFrame, key: str, seed: str, n: int, separator: str = "\0") -> DataFrame:
@@ -22,15 +23,17 @@ def numeric_aware_order(key: str) -> list[Column]:
     return [F.when(is_number, 0).otherwise(1), F.when(is_number, F.col(key).cast("decimal(38,0)")), F.col(key)]
 
 
-def positions(df: DataFrame, key: str) -> DataFrame:
-    """Zero-based ``position`` of the distinct keys in string order.
+def positions(df: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+    """Zero-based ``position`` of the distinct keys in string order, or in another ``order`` (columns over the key).
 
     A range partition sorts them; only the counts per partition, a few numbers, give each partition its offset, so no
     task sees all keys.
     """
     ids = df.select(key).where(F.col(key).isNotNull()).distinct()
-    ranged = ids.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
+    order = order or [F.col(key)]
+    ranged = ids.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    # written once: the borders of range partitions are sampled, and both uses below need the same
+    local = cut_lineage(ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order))))
     sizes = local.groupBy("_p").agg(F.max("_i").alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return local.join(F.broadcast(sizes.withColumn("_o", offset).drop("_n")), "_p").select(key, (F.col("_i") + F.col("_o") - 1).cast("long").alias("position"))

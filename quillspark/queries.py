@@ -375,8 +375,7 @@ def jn12_warmup_alias(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tk13_numeric_order(spark: SparkSession, sf: str) -> DataFrame:
-    ids = table(spark, sf, "training_records").select("question_id").where("question_id is not null").distinct()
-    return ids.orderBy(*splits.numeric_aware_order("question_id")).limit(100).withColumn("position", F.row_number().over(Window.orderBy(*splits.numeric_aware_order("question_id"))))
+    return splits.positions(table(spark, sf, "training_records"), "question_id", splits.numeric_aware_order("question_id"))
 
 
 # --- text ---

@@ -186,7 +186,7 @@ SQL: dict[str, str] = {
         SELECT a.record_id AS warmup_id, b.record_id AS train_id, a.answer IS NOT DISTINCT FROM b.answer AS agrees FROM r a JOIN r b USING (g) WHERE a.source = 'warmup' AND b.source <> 'warmup'""",
     "tk13_numeric_order": """
         WITH o AS (SELECT DISTINCT question_id, CASE WHEN regexp_full_match(question_id, '[0-9]+') THEN 0 ELSE 1 END AS k, CASE WHEN regexp_full_match(question_id, '[0-9]+') THEN question_id::HUGEINT END AS n FROM training_records WHERE question_id IS NOT NULL)
-        SELECT question_id, CAST(row_number() OVER (ORDER BY k, n, question_id) AS INTEGER) AS position FROM o QUALIFY position <= 100""",
+        SELECT question_id, row_number() OVER (ORDER BY k, n, question_id) - 1 AS position FROM o""",
     "tx01_normalized_questions": f"SELECT record_id, {_norm('question')} AS normalized FROM training_records",
     "tx03_query_tokens": r"""
         WITH t AS (SELECT record_id, unnest(regexp_extract_all(lower(question), '[\p{L}\p{N}]+')) AS w, generate_subscripts(regexp_extract_all(lower(question), '[\p{L}\p{N}]+'), 1) AS i FROM training_records),
