@@ -57,8 +57,14 @@ def invisible() -> re.Pattern:
 
 
 @lru_cache(None)
-def _strokes() -> re.Pattern:
-    return re.compile("[" + "".join(STROKE_LETTERS) + "]")
+def _folds() -> dict[int, str | None]:
+    """What each code point folds to, by rule: its compatibility decomposition without marks and strokes; None: nothing."""
+
+    def folded(c: str) -> str:
+        return "".join(STROKE_LETTERS.get(x, x) for x in marks().sub("", unicodedata.normalize("NFKD", c)))
+
+    changed = code_ranges(lambda cp: cp > 127 and folded(chr(cp)) != chr(cp))
+    return {cp: folded(chr(cp)) or None for a, b in changed for cp in range(a, b + 1)}
 
 
 def _blank_tag(m: re.Match) -> str:
@@ -79,8 +85,7 @@ def fold(text: str) -> str:
     text = strip_markup(text)
     if text.isascii():
         return text.lower()
-    text = marks().sub("", unicodedata.normalize("NFKD", text.casefold()))
-    return _strokes().sub(lambda m: STROKE_LETTERS[m[0]], text)
+    return text.casefold().translate(_folds())
 
 
 def fold_words(text: str | None) -> list[str]:
