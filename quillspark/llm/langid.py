@@ -13,6 +13,7 @@ FRENCH_WORDS = "afin ainsi apres au aux avant avec ce ces cette comme dans de de
 
 _WORDS = {"vi": frozenset(VIETNAMESE_WORDS), "en": frozenset(ENGLISH_WORDS), "fr": frozenset(FRENCH_WORDS)}
 _SCRIPTS = {"th": re.compile("[ก-๛]"), "hi": re.compile("[ऀ-ॿ]"), "ru": re.compile("[Ѐ-ӿ]"), "kana": re.compile("[぀-ヿ]"), "han": re.compile("[㐀-鿿]"), "ko": re.compile("[가-힯]"), "ar": re.compile("[\u0600-ۿ]"), "latin": re.compile("[A-Za-zÀ-ɏḀ-ỿ]")}
+_OTHER_SCRIPT = re.compile("[\u0370-\u1dff\u2e80-\uffef\U00010000-\U0010ffff]")
 #: Vowels and letters that, among the three, only Vietnamese has.
 _VI_LETTERS = re.compile("[ăđơưĂĐƠƯẠ-ỹ]")
 
@@ -21,6 +22,8 @@ def language(text: str | None) -> tuple[str | None, float]:
     """The language and how sure it is, from 0 (no evidence) to 1. Letters of quoted foreign terms are outweighed, not excluded."""
     if not text:
         return None, 0.0
+    if not _OTHER_SCRIPT.search(text):
+        return _latin(text)
     n = {k: len(p.findall(text)) for k, p in _SCRIPTS.items()}
     # an ideograph or syllable says about as much as two letters
     n["han"] *= 2
@@ -35,12 +38,17 @@ def language(text: str | None) -> tuple[str | None, float]:
     best = max(n, key=n.get)
     if best != "latin":
         return best, n[best] / total
+    lang, sure = _latin(text)
+    return lang, sure * n["latin"] / total
+
+
+def _latin(text: str) -> tuple[str | None, float]:
+    """Among the languages in Latin script, the one whose frequent words and letters the text has most of."""
     words = [w for w in fold_words(text) if not w.isdigit()]
-    if not words:
-        return None, 0.0
     hits = {lang: sum(w in known for w in words) for lang, known in _WORDS.items()}
-    hits["vi"] += 0.5 * len(_VI_LETTERS.findall(text))
+    hits["vi"] += 0.5 * len(_VI_LETTERS.findall(text)) if not text.isascii() else 0
     lang = max(hits, key=hits.get)
+    if not hits[lang]:
+        return None, 0.0
     others = max(v for k, v in hits.items() if k != lang)
-    sure = (hits[lang] - others) / max(hits[lang], 1) * min(1.0, hits[lang] / 2)
-    return (lang, sure * n["latin"] / total) if hits[lang] else (None, 0.0)
+    return lang, (hits[lang] - others) / max(hits[lang], 1) * min(1.0, hits[lang] / 2)
