@@ -13,7 +13,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYT
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
-    from quillspark.session import prepare
+    from quillspark.session import prepare, release
 
     session = (
         SparkSession.builder.master("local[4]")
@@ -26,4 +26,5 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield prepare(session)
+    release(session)
     session.stop()

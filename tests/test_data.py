@@ -217,3 +217,10 @@ def test_streams_equal_tables(spark, tmp_path):
     for _ in range(2):
         ev.start_upsert(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / f"cp{_}"), "event_id").awaitTermination(120)
         assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+
+
+def test_cut_lineage_and_release(spark):
+    from quillspark.session import cut_lineage, shared_folder
+
+    df = cut_lineage(spark.range(5).withColumn("x", F.lit(None).cast("string")))
+    assert df.count() == 5 and shared_folder(spark) in df.inputFiles()[0].replace("file://", "")
