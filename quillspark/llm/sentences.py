@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +31,8 @@ MODEL_ROWS = 200_000
 FLUSH_COUNTS = 300_000
 #: Critical value of the log-likelihood ratio (chi-square, one degree of freedom, p = 0.001).
 SIGNIFICANT = 10.83
+#: Least length of the lines of a wrapped paragraph.
+WRAPPED_WIDTH = 50
 
 TERMINAL = ".!?…。！？।॥．｡؟"
 CLOSERS = "”’»」』）)]】}\"'"
@@ -54,6 +57,11 @@ _TOKEN_BEFORE = re.compile(r"[^\s(（“«「\"'‘\[]*$")
 #: What numbers a unit: a number or single letter, maybe after one word where a line begins.
 _LABEL = re.compile(r"[\W_]*(?:\d+(?:\.\d+)*[^\W\d_]?|[^\W\d_]|[IVXLC]+)$")
 _LINE_LABEL = re.compile(r"[\W_]*(?:[^\W\d_][^\s\d.]* +)?\d+(?:\.\d+)*[^\W\d_]?$")
+# Lines of tables and indexes, marks that fill them, what opens a list item, and an end of a sentence inside a line.
+_LEADER = re.compile(r"(?:\.{4,}|…{2,}|(?:\. ){4,}|_{4,}) *[\divxlc]* *$", re.I)
+_CELLS = re.compile(r"[\d|.…_=+·-]")
+_ITEM = re.compile(r" *(?:[-–—•*·+] |(?:\d+(?:\.\d+)*|[^\W\d_]|[ivxlc]+)[.)] )", re.I)
+_INNER_END = re.compile(r"[.!?…。！？।॥．؟][”’»」』）)\]】\"']* *\w")
 _PUNCTUATION = ".,;:!?…()[]{}“”‘’«»\"'-–—/|*•·"
 
 
@@ -97,20 +105,56 @@ def _goes_on(line: str, following: str) -> bool:
     return not _finished(line) or _next_word(following, 0)[0] == "l"
 
 
+def _table_line(line: str) -> bool:
+    """A row of cells, a line with leader dots, or one that is mostly digits and rules (a short one may be the number on which a sentence ends)."""
+    if line.count("|") >= 2 or _LEADER.search(line):
+        return True
+    visible = line.replace(" ", "")
+    return len(line) >= WRAPPED_WIDTH and 2 * len(_CELLS.findall(visible)) >= len(visible)
+
+
+def _inside_phrase(line: str, following: str) -> bool:
+    """A line break that surely stands inside a phrase: letters before it, and a word in lower case, or in a script without case, after it that labels nothing."""
+    before = line.rstrip().rstrip(CLOSERS + " ,")[-1:]
+    if _finished(line) or not (before.isalnum() or unicodedata.category(before or " ")[0] == "M") or _ITEM.match(following):
+        return False
+    kind = _next_word(following, 0)[0]
+    return kind == "l" or kind == "c" and not before.isdigit()
+
+
+def _wrapped(lines: list[str]) -> list[bool] | None:
+    """For each line break of a paragraph wrapped at a fixed width whether it ends a unit; None: the text isn't wrapped, each does."""
+    # such a paragraph has no short lines and breaks inside sentences (Thai shows no ends to tell it by)
+    if len(lines) < 2 or min(map(len, lines[:-1])) < WRAPPED_WIDTH:
+        return None
+    tables = [_table_line(x) for x in lines]
+    ends = [a or b for a, b in zip(tables, tables[1:])]
+    prose = [(a, b) for a, b, end in zip(lines, lines[1:], ends) if not end]
+    inside = [(a, b) for a, b in prose if _inside_phrase(a, b)]
+    if not inside or 4 * len(inside) < len(prose) or sum(_goes_on(a, b) for a, b in prose) < 0.8 * len(prose):
+        return None
+    # without lower case only sentences that end inside lines tell a paragraph from a list
+    if not any(_next_word(b, 0)[0] == "l" for _, b in inside) and not any(_INNER_END.search(x) for x, table in zip(lines, tables) if not table):
+        return None
+    return ends
+
+
 def blocks(text: str) -> Iterator[tuple[int, str]]:
     """Stretches that no unit crosses, with their starts; line breaks that end nothing are blanks in them."""
-    blank = _BLANK_LINE.search(text.strip())
-    cut = _BLANK_LINE if blank else _BREAK
-    if not blank:
-        lines = [x for x in _BREAK.split(text) if x.strip()]
-        broken = lines[:-1]
-        # a paragraph wrapped at a fixed width has no short lines and breaks inside sentences (Thai shows no ends to tell it by)
-        if broken and "\x0b" not in text and not _THAI.search(text) and min(map(len, broken)) >= 50 and sum(map(_goes_on, lines, lines[1:])) >= 0.8 * len(broken):
-            cut = None
+    if _BLANK_LINE.search(text.strip()):
+        cuts = [(m.start(), m.end()) for m in _BLANK_LINE.finditer(text)]
+    else:
+        cuts = [(m.start(), m.end()) for m in _BREAK.finditer(text)]
+        if cuts and "\x0b" not in text and not _THAI.search(text):
+            bounds = [0, *(x for cut in cuts for x in cut), len(text)]
+            full = [k for k, (a, b) in enumerate(zip(bounds[::2], bounds[1::2])) if text[a:b].strip()]
+            ends = _wrapped([text[bounds[2 * k] : bounds[2 * k + 1]] for k in full])
+            if ends is not None:
+                cuts = [cuts[k - 1] for k, end in zip(full[1:], ends) if end]
     at = 0
-    for m in cut.finditer(text) if cut else ():
-        yield at, _BREAK.sub(lambda x: " " * len(x[0]), text[at : m.start()])
-        at = m.end()
+    for start, end in cuts:
+        yield at, _BREAK.sub(lambda x: " " * len(x[0]), text[at:start])
+        at = end
     yield at, _BREAK.sub(lambda x: " " * len(x[0]), text[at:])
 
 

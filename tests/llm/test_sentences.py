@@ -69,3 +69,17 @@ def test_empty_table_and_long_text(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert s.sentence_units(df, F.col("doc_id"), F.col("text"), F.col("lang")).count() == 0
     assert len(s.unit_ends("Một câu. " * 50_000, "vi", MODEL)) == 50_000
+
+
+def test_long_lines_of_tables_and_lists_are_units():
+    rows = ["|".join(f"{k * 7919 % 99991:05}" for k in range(i, i + 12)) for i in range(1, 5)]
+    index = ["." * 70 + str(n) for n in (9, 63, 96)]
+    assert cut("\n".join(rows)) == rows and cut("\n".join(index), "ja") == index and cut("\n".join(rows), "hi") == rows
+    first = "Cơ quan thu phí có nghĩa vụ lưu giữ mức bồi thường, xem thêm tr. 248, bản in 2."
+    assert cut("\n".join([first, *rows])) == [first, *rows]
+    items = [f"{c}) bản sao có chứng thực của giấy phép khai thác nước ngầm số {i};" for i, c in enumerate("abcd")]
+    headings = [f"Điều {i}. Quyền và nghĩa vụ của tổ chức kiểm định và của người lao động" for i in range(5)]
+    assert cut("\n".join(items)) == items and cut("\n".join(headings)) == headings
+    wrapped = ["Nếu tài sản thuộc sở hữu chung, trạm kiểm soát được quyền bàn giao", "bản vẽ hoàn công để bảo đảm quyền lợi của bên thứ ba với mức phí cao nhất."]
+    assert cut("\n".join([*wrapped, *rows])) == ["\n".join(wrapped), *rows]
+    assert len(cut("बाजार समिति तीसरे पक्ष की रक्षा के लिए दोहरी वसूली से बचने के लिए पारगमन\nरसीद वापस लेगा। दूसरी सूचना के बाद जाँच।", "hi")) == 2
