@@ -35,7 +35,7 @@ def p2_top_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     pieces = splitting.split_oversized(table(spark, sf, "legal_chunks"), whole=False)
-    return pieces.where("piece_no = 0 and n_pieces > 1").select("chunk_id").distinct()
+    return pieces.where("piece_no = 0").select("chunk_id").distinct()
 
 
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:

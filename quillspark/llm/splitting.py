@@ -38,7 +38,8 @@ def _boundaries(text: str, words: list[int]) -> list[list[int]]:
 def split_spans(text: str, max_chars: int = 1200, max_words: int = 250, overlap: int = 150) -> list[tuple[int, int]]:
     """Spans of ``text`` within both limits that cover all its words; a text within them is one span, untrimmed.
 
-    Consecutive spans overlap by at most ``overlap`` characters. Pieces carry no outer blanks.
+    Consecutive spans overlap by at most ``overlap`` characters. Pieces carry no outer blanks, so a text that is
+    beyond a limit by its outer blanks alone is one span.
     """
     starts = [m.start() for m in _WORD.finditer(text)]
     if len(text) <= max_chars and len(starts) <= max_words:
@@ -135,7 +136,8 @@ def split_oversized(
     item's own offsets fit its text (end - start = length), else null: stale offsets are not passed on.
     Null texts give one piece with null text and offsets, empty ones an empty piece; rows repeated word
     for word (key and text) come out once per copy, so callers that want one drop duplicates by key and piece;
-    texts of blanks only are cut hard; an empty table gives none. Other columns are ignored.
+    texts of blanks only are cut hard; a text too long by its outer blanks alone gives one piece without them, so what is
+    oversized shows in ``whole=False``, not in ``n_pieces``; an empty table gives none. Other columns are ignored.
     Only oversized texts travel through Python; the rest stays in the JVM.
     """
     if max_chars < 1 or max_words < 1 or not 0 <= overlap < max_chars:

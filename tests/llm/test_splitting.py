@@ -78,3 +78,15 @@ def test_relocate(spark):
     rows = [("ok", "d", None, "điều một.", 4, 13), ("stale", "d", None, "điều hai.", 0, 9), ("gone", "d", None, "không có", 0, 8), ("none", "e", None, "x", 1, 2)]
     out = splitting.relocate(spark.createDataFrame(rows, "chunk_id string, document_id string, article_number string, text string, start_char int, end_char int"), docs)
     assert {r.chunk_id: (r.start_char, r.end_char) for r in out.collect()} == {"ok": (4, 13), "stale": (14, 23), "gone": (None, None), "none": (None, None)}
+
+
+def test_found_holds_texts_oversized_by_outer_blanks(spark, tmp_path):
+    from quillspark.llm import queries
+
+    inner = "x" * 1195
+    rows = [("after", inner + " " * 10), ("before", "\n" * 10 + inner), ("both", "\xa0" * 3 + inner + "\n" * 3), ("at", inner + " " * 5), ("blank", " " * 1201), ("long", "một hai. " * 200), ("null", None)]
+    df = spark.createDataFrame([(k, "d", "1", t, None, None) for k, t in rows], "chunk_id string, document_id string, article_number string, text string, start_char int, end_char int")
+    df.write.parquet(str(tmp_path / "legal_chunks.parquet"))
+    assert {r.chunk_id for r in queries.p3_found(spark, str(tmp_path)).collect()} == {"after", "before", "both", "blank", "long"}
+    pieces = {r.chunk_id: r for r in splitting.split_oversized(df).where("chunk_id in ('after', 'before', 'both')").collect()}
+    assert all(r.text == inner and r.n_pieces == 1 and r.piece_end - r.piece_start == 1195 for r in pieces.values()) and len(pieces) == 3
