@@ -192,3 +192,20 @@ def test_audit(spark):
     left, right = docs, spark.createDataFrame([("a",), ("z",)], "t string")
     r = audit.set_report(left.where("t is not null"), right, "t").first()
     assert (r.n_left, r.n_right, r.n_both, r.n_left_only, r.n_right_only) == (2, 2, 1, 1, 1)
+
+
+def test_short_rests_join_the_segment_before():
+    text = "a" * 200 + "\n4. Bãi bỏ."
+    assert context.split_segments(text, 10) == [(10, 10 + len(text))]
+    assert context.split_segments("Mục 1\n" + "b" * 50, 0) == [(0, 56)] and context.split_segments("", 0) == context.split_segments("ngắn", 0) == []
+    assert context.split_segments("c" * 100 + "\n" + "d" * 30, 0, 40, 120) == [(0, 100)]
+
+
+def test_selective_segments_of_copies_all_come_out(spark):
+    text = "a" * 60 + "\n" + "b" * 60 + "\n" + "c" * 60
+    seed = lambda doc, rank, start: (rank, doc, "b0", "1", None, None, None, start, start + 60, text[start : start + 60], [f"{doc}{start}"], [("whole_article", 0, len(text), text, ["x"])])
+    rows = [("q", "?", [seed("d1", 0, 0), seed("d2", 1, 0), seed("d2", 2, 61)]), ("r", "?", [seed("d1", 3, 0), seed("d1", 3, 0)]), ("s", "?", None)]
+    units = spark.createDataFrame(rows, f"query string, question string, units array<{context._UNIT}>")
+    got = sorted((r.query, r.document_id, r.rank, r.start, r.end, r.text) for r in context.selective_segments(units).collect())
+    b, c = (61, 121, "b" * 60), (122, 182, "c" * 60)
+    assert got == [("q", "d1", 0, *b), ("q", "d1", 0, *c), ("q", "d2", 1, *c), ("r", "d1", 3, *b), ("r", "d1", 3, *c)]
