@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.chunking import relocate
+
 #: Blanks of any kind, as Unicode defines white space; the same class serves the JVM and Python.
 BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(f"[^{BLANKS}]+")
@@ -151,13 +153,4 @@ def split_oversized(
     return pieces.select(F.col("row.key").alias(key), "row.document_id", "row.article_number", "piece_no", "n_pieces", "text", "piece_start", "piece_end", (F.col("row.source_start") + F.col("piece_start")).alias("start_char"), (F.col("row.source_start") + F.col("piece_end")).alias("end_char"))
 
 
-def relocate(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks with offsets that hold in ``documents.cleaned_text``: kept, found again by search, or null.
-
-    Only oversized or stale chunks need it; the join is by document id on both sides' hash.
-    """
-    d = documents.select(F.col("document_id").alias("_d"), F.col("cleaned_text").alias("_t"))
-    j = chunks.join(d, chunks["document_id"] == d["_d"], "left")
-    holds = F.expr("substring(_t, start_char + 1, length(text)) = text and end_char - start_char = length(text)")
-    at = F.when(holds, F.col("start_char")).otherwise(F.nullif(F.instr(F.col("_t"), F.col("text")), F.lit(0)) - 1).cast("int")
-    return j.withColumn("start_char", at).withColumn("end_char", F.col("start_char") + F.length("text")).drop("_d", "_t")
+__all__ = ["is_oversized", "relocate", "split_oversized", "split_spans"]

@@ -18,6 +18,7 @@ from quillspark.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+_PLACE = ("document_id", "article_number", "article_title", "chunk_index", "start_char", "end_char", "text")
 
 
 def query(f: Query) -> Query:
@@ -31,9 +32,13 @@ def chunks_of(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 
 def placed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks whose own offsets fit their text."""
-    cols = ("document_id", "article_number", "article_title", "chunk_index", "start_char", "end_char", "text")
-    return chunks_of(spark, sf, *cols).where("end_char - start_char = length(text)")
+    """Chunks whose own offsets fit their text, as the SQL of the queries over them says; :func:`located_chunks` has all."""
+    return chunks_of(spark, sf, *_PLACE).where("end_char - start_char = length(text)")
+
+
+def located_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """All chunks with offsets that hold in their documents: their own, found again by search, or null if the text isn't there."""
+    return chunking.relocate(chunks_of(spark, sf, *_PLACE), table(spark, sf, "documents"))
 
 
 def branch_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,8 +210,7 @@ def dq04_provenance(spark: SparkSession, sf: str) -> DataFrame:
 
 def _units(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("document_id", "source_title", "document_number", "cleaned_text")
-    placed = placed_chunks(spark, sf).join(docs.select("document_id", F.col("cleaned_text").alias("_t")), "document_id").where("substring(_t, start_char + 1, end_char - start_char) = text").drop("_t")
-    blocks = cut_lineage(context.article_blocks(placed))
+    blocks = cut_lineage(context.article_blocks(located_chunks(spark, sf).drop("text")).where("start_char is not null"))
     hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 12)
     asked = table(spark, sf, "training_records").where("question is not null").groupBy(F.col("question_id").alias("query")).agg(F.min("question").alias("question"))
     return context.seed_units(hits.join(asked, "query").select("query", "question", "id", "rank"), blocks, docs)
@@ -226,8 +230,8 @@ def rt16_packed_without_merge(spark: SparkSession, sf: str) -> DataFrame:
 def rt17_selective_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Segments of widened units; here all consecutive articles of a document count as one."""
     docs = table(spark, sf, "documents").select("document_id", "source_title", "document_number", "cleaned_text")
-    placed = placed_chunks(spark, sf).where("article_number is not null").withColumn("article_number", F.lit("run")).withColumn("article_title", F.lit(None).cast("string"))
-    blocks = cut_lineage(context.article_blocks(placed))
+    c = located_chunks(spark, sf).drop("text").where("article_number is not null").withColumn("article_number", F.lit("run")).withColumn("article_title", F.lit(None).cast("string"))
+    blocks = cut_lineage(context.article_blocks(c).where("start_char is not null"))
     hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 3).select("query", F.col("query").alias("question"), "id", "rank")
     out = context.selective_segments(context.seed_units(hits, blocks, docs))
     return out.select(F.col("query").alias("question_id"), "rank", "document_id", "start", "end", F.sha2("text", 256).alias("text_sha256"))
@@ -438,7 +442,7 @@ def tx17_references(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rt19_cross_references(spark: SparkSession, sf: str) -> DataFrame:
-    c = placed_chunks(spark, sf)
+    c = cut_lineage(located_chunks(spark, sf))
     refs = references.extract_references(c, F.col("chunk_id"), F.col("text"), False, F.col("document_id"), F.col("start_char"))
     numbers = table(spark, sf, "documents").select("document_id", "document_number").where("document_number is not null")
     articles = context.article_blocks(c).where("article_number is not null").groupBy("document_id", "block_id", F.col("article_number").alias("number")).agg(F.min("start_char").alias("start"), F.max("end_char").alias("end"))

@@ -209,3 +209,27 @@ def test_selective_segments_of_copies_all_come_out(spark):
     got = sorted((r.query, r.document_id, r.rank, r.start, r.end, r.text) for r in context.selective_segments(units).collect())
     b, c = (61, 121, "b" * 60), (122, 182, "c" * 60)
     assert got == [("q", "d1", 0, *b), ("q", "d1", 0, *c), ("q", "d2", 1, *c), ("r", "d1", 3, *b), ("r", "d1", 3, *c)]
+
+
+def test_stale_chunks_are_located_for_units_segments_and_references(spark, tmp_path):
+    from quillspark import queries
+
+    parts = ["Một phần đầu đủ dài để thành một đoạn riêng.", "Phần hai dẫn chiếu điều 5 của luật này và dài.", "Phần ba đã đổi khác so với văn bản và dài.", "Phần bốn dẫn chiếu điều 6 của luật này và dài."]
+    text = "\n".join(parts)
+    at = [text.index(p) for p in parts]
+    offsets = [(at[0], at[0] + len(parts[0])), (None, None), (7, 9), (at[3] - 5, at[3] - 5 + len(parts[3]))]
+    rows = [(f"c{i}", "d", "1", "A", i, *offsets[i], p if i != 2 else "Không còn ở đâu, theo điều 7.") for i, p in enumerate(parts)]
+    tables = {
+        "documents": ([("d", "T", "1/2020", text)], "document_id string, source_title string, document_number string, cleaned_text string"),
+        "legal_chunks": (rows, "chunk_id string, document_id string, article_number string, article_title string, chunk_index int, start_char int, end_char int, text string"),
+        "training_records": ([("q", "Hỏi gì?")], "question_id string, question string"),
+        "retrieval_results": ([("q", [(f"c{i}", 1.0, {"sparse": i + 1}) for i in range(4)])], "question_id string, fused array<struct<chunk_id string, rrf_score double, branch_ranks map<string,int>>>"),
+    }
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    units = queries._units(spark, str(tmp_path)).collect()[0].units
+    assert {(u.chunk_ids[0], u.start, u.text, u.block_id) for u in units} == {(f"c{i}", at[i], parts[i], "c0") for i in (0, 1, 3)}
+    assert all(any(x.start == 0 and x.end == len(text) for x in u.expansions) for u in units)
+    assert sum(r.n for r in queries.rt19_cross_references(spark, str(tmp_path)).collect()) == 3
+    segments = queries.rt17_selective_segments(spark, str(tmp_path)).collect()
+    assert {(r.start, r.end) for r in segments} == {(a, a + len(p)) for k, (a, p) in enumerate(zip(at, parts)) if k in (2, 3)}
