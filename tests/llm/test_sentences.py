@@ -83,3 +83,11 @@ def test_long_lines_of_tables_and_lists_are_units():
     wrapped = ["Nếu tài sản thuộc sở hữu chung, trạm kiểm soát được quyền bàn giao", "bản vẽ hoàn công để bảo đảm quyền lợi của bên thứ ba với mức phí cao nhất."]
     assert cut("\n".join([*wrapped, *rows])) == ["\n".join(wrapped), *rows]
     assert len(cut("बाजार समिति तीसरे पक्ष की रक्षा के लिए दोहरी वसूली से बचने के लिए पारगमन\nरसीद वापस लेगा। दूसरी सूचना के बाद जाँच।", "hi")) == 2
+
+
+def test_languages_with_few_periods_are_counted_too(spark):
+    rows = [(i, f"ตาม พ.ศ. {2500 + i} ให้คืนเงิน ใน พ.ศ. {2400 + i} จบ. เมื่อนั้น{i} แล้ว. ถ้า จบ", "th") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = s.learn(df, F.col("text"), F.col("lang"))
+    learned = s.Model([tuple(r) for r in model.select("lang", "kind", "a", "b").collect()])
+    assert cut("ใน พ.ศ. 2562 จบ", "th", learned) == ["ใน", "พ.ศ. 2562 จบ"]
