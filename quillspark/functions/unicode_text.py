@@ -27,9 +27,9 @@ def _ranges(keep) -> str:
 
 
 def code_ranges(keep) -> list[tuple[int, int]]:
-    """Closed ranges of code points that ``keep`` accepts; planes that hold only ideographs or nothing are left out."""
+    """Closed ranges of code points that ``keep`` accepts; planes that hold only ideographs or nothing are left out, but for the compatibility ideographs, which have decompositions."""
     out, start, last = [], None, 0
-    for cp in (*range(0x20000), *range(0xE0000, 0xE0200)):
+    for cp in (*range(0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)):
         inside = not 0xD800 <= cp <= 0xDFFF and keep(cp)
         if start is not None and (not inside or cp != last + 1):
             out.append((start, last))

@@ -61,3 +61,10 @@ def test_canonical_texts(spark):
     out = sorted((r.key, r.form, r.changed) for r in v.canonical_texts(df, F.col("k"), F.col("t")).collect() if r.key != "b")
     assert out == [("a", "x y", True), ("a", "x y", True), ("c", "", False)]
     assert v.canonical_texts(df.where("k = 'b'"), F.col("k"), F.col("t")).first() == ("b", None, False, None)
+
+
+def test_compatibility_ideographs_beyond_the_first_planes():
+    from quillspark.llm import visual_form
+
+    for old, new in (("\U0002f800", "\u4e3d"), ("\U0002fa1d", "\U0002a600")):
+        assert visual_form.skeleton(f"甲{old}乙") == visual_form.skeleton(f"甲{new}乙") and visual_form.one_form(f"甲{old}乙") == f"甲{new}乙"
