@@ -43,6 +43,7 @@ PAIRS = "“” ‘’ «» 「」 『』 （） () [] 【】 {}".split()
 SHINGLE = 4
 #: Shares of the question that an answer must align with, and words that it may hold besides.
 COPY_SHARE, COPY_REST = 0.8, 5
+_UNSPACED = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
 
 _SENTENCE_END = re.compile(r"[.!?;:…]+\s+|\n+")
 _TERMINAL = frozenset(".!?…。！？।．｡")
@@ -88,9 +89,25 @@ def _close(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
 
 
+def _repeats(question: list[str], answer: list[str]) -> bool:
+    """The answer is the question's own words, once or more, and labels; words of unspaced scripts go by characters."""
+    question, answer = ([x for w in words for x in (w if _UNSPACED.search(w) else (w,))] for words in (question, answer))
+    n, at, copies = len(question), 0, 0
+    while n and at < len(answer):
+        if answer[at : at + n] == question:
+            at, copies = at + n, copies + 1
+        elif answer[at] in COPY_LABELS:
+            at += 1
+        else:
+            return False
+    return copies > 0
+
+
 def is_copy(question: list[str], answer: list[str]) -> bool:
-    """The answer only gives the question back: relabelled, repeated or respelled, but nothing more."""
-    if len(question) < 3 or len(answer) < COPY_SHARE * len(question):
+    """The answer only gives the question back: relabelled, repeated or respelled, but nothing more; questions under three words aren't taken as respelled."""
+    if len(question) < 3:
+        return _repeats(question, answer)
+    if len(answer) < COPY_SHARE * len(question):
         return False
     k = min(SHINGLE, len(question))
     shingles = {tuple(question[i : i + k]) for i in range(len(question) - k + 1)}

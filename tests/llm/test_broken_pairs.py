@@ -70,3 +70,12 @@ def test_operator(spark):
     out = b.broken_pairs(df, F.col("record_id"), F.col("question"), F.col("answer"), F.col("lang"))
     assert sorted((r.id, r.defect) for r in out.collect()) == [(1, "empty"), (1, "empty"), (3, "empty"), (5, "truncated"), (6, "language")]
     assert b.broken_pairs(df.limit(0), F.col("record_id"), F.col("question"), F.col("answer"), F.col("lang")).count() == 0
+
+
+def test_copies_of_short_questions():
+    from quillspark.functions.unicode_text import fold_words
+    from quillspark.llm.broken_pairs import is_copy
+
+    copied = lambda q, a: is_copy(fold_words(q), fold_words(a))
+    assert copied("Mức phí?", "Mức phí.") and copied("Mức phí?", "Câu hỏi: muc phi? Mức phí?") and copied("可以登记吗？", "可以登记吗？可以登记吗") and copied("可以登记吗？", "可以登记吗可以登记吗。")
+    assert not copied("Mức phí?", "Mức phí 50.000 đồng.") and not copied("可以登记吗？", "可以登记。") and not copied("Có không?", "Có.") and not copied("?", "Có.") and not copied("Mức phí?", "")
