@@ -88,9 +88,20 @@ def fold(text: str) -> str:
     return text.casefold().translate(_folds())
 
 
+@lru_cache(1 << 16)
+def _folded_words(token: str) -> tuple[str, ...]:
+    return tuple(WORD.findall(token.lower() if token.isascii() else token.casefold().translate(_folds())))
+
+
 def fold_words(text: str | None) -> list[str]:
-    """Runs of letters and digits of the folded text, in order."""
-    return WORD.findall(fold(text)) if text else []
+    """Runs of letters and digits of the folded text, in order.
+
+    Folding goes character by character, so that the stretches between blanks, most of which come again and again, can be folded one by one.
+    """
+    out: list[str] = []
+    for token in strip_markup(text).split() if text else ():
+        out += _folded_words(token) if len(token) <= 64 else _folded_words.__wrapped__(token)
+    return out
 
 
 def casefold_key(text: str | None) -> str | None:
