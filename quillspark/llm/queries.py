@@ -13,16 +13,15 @@ from quillspark.session import cut_lineage, spread, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    return split_overlap.question_overlaps(spread(table(spark, sf, "training_records").select("record_id", "question", "split")), F.col("record_id"), F.col("question"), F.col("split"))
-
-
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _overlaps(spark, sf).select(F.least("train_id", "other_id").alias("record_id_a"), F.greatest("train_id", "other_id").alias("record_id_b"))
+    rows = spread(table(spark, sf, "training_records").select("record_id", "question", "split"))
+    pairs = split_overlap.question_overlaps(rows, F.col("record_id"), F.col("question"), F.col("split"))
+    return pairs.select(F.least("train_id", "other_id").alias("record_id_a"), F.greatest("train_id", "other_id").alias("record_id_b"))
 
 
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
-    return split_overlap.overlap_report(_overlaps(spark, sf), table(spark, sf, "training_records"))
+    rows = spread(table(spark, sf, "training_records").select("record_id", "question", "split", "source"))
+    return split_overlap.overlap_report(rows, F.col("record_id"), F.col("question"), F.col("split"), F.col("source"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -60,9 +61,23 @@ def test_similar_texts_share_a_key(seed, t):
             break
         b = c
     ranks = {w: i for i, w in enumerate(rng.sample(universe, 30))}
-    assert set(o.leading_keys(sorted(a), "", ranks, t)) & set(o.leading_keys(sorted(b), "", ranks, t))
-    x, y = o.signature(sorted(a)), o.signature(sorted(b))
-    assert sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(x, y, strict=True)) <= len(a ^ b)
+    row, position, lead, n, signature = o.suffix_rows([" ".join(sorted(a)), " ".join(sorted(b))], ["", ""], ranks, t)
+    order = np.argsort(lead, kind="stable")
+    rows = np.stack([row, signature[row], n[row] << 32 | position << 2 | (1 << row)])[:, order]
+    pairs, wide = o.interval_pairs(lead[order], rows, t, 1 << 40)
+    assert not wide.any() and (a == b or (0, 1) in {(x, y) for p in pairs for x, y in zip(*(c.tolist() for c in p), strict=True)})
+    assert sum(bin((int(x) ^ int(y)) & (2**64 - 1)).count("1") for x, y in [signature]) <= len(a ^ b)
+
+
+def test_wide_intervals_are_spread_over_a_grid(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["aa", "ab", *rng.sample(["zc", "zd", "ze", "zf", "zg", "zh", "zi", "zj"], 4)]), rng.choice(["train", "dev"])) for i in range(300)]
+    parts = o.question_texts(frame(spark, rows), F.col("record_id"), F.col("question"), F.col("split"))
+    want = {(r.class_a, r.class_b) for r in o.class_pairs(parts).collect()}
+    monkeypatch.setattr(o, "INTERVAL_PAIRS", 9)
+    monkeypatch.setattr(o.candidates, "__defaults__", (9,))
+    assert {(r.class_a, r.class_b) for r in o.class_pairs(parts).collect()} == want and len(want) > 20
+    assert run(spark, rows) == brute(rows)
 
 
 def test_spelling_digits_nulls_and_copies(spark):
@@ -75,9 +90,25 @@ def test_spelling_digits_nulls_and_copies(spark):
     assert run(spark, []) == set()
 
 
-def test_report_and_coverage(spark):
-    assert o.span_coverage(list("abcdef"), list("abcxef")) == 0.5 and o.span_coverage(["a"], ["a"]) == 1.0
-    rows = [(1, "một hai ba bốn năm", "train"), (2, "một hai ba bốn năm", "dev"), (3, "khác hẳn rồi", "dev"), (4, "một hai ba bốn năm", "train")]
-    df = frame(spark, rows).withColumn("source", F.lit("s"))
-    out = o.overlap_report(o.question_overlaps(df, F.col("record_id"), F.col("question"), F.col("split")), df).collect()
-    assert [(r.split, r.source, r.n_records, r.n_overlapping, r.n_pairs, r.mean_coverage) for r in out] == [("dev", "s", 2, 1, 2, 1.0)]
+def report(df):
+    out = o.overlap_report(df, F.col("record_id"), F.col("question"), F.col("split"), F.col("source")).collect()
+    return sorted((r.split, r.source, r.n_records, r.n_overlapping, r.n_pairs, r.mean_coverage) for r in out)
+
+
+def test_report(spark):
+    ten = "alpha beta gamma delta eps zeta eta theta iota kappa"
+    rows = [(1, ten, "train"), (2, ten.upper(), "dev"), (3, "khác hẳn rồi", "dev"), (4, ten, "train"), (4, ten, "train"), (None, ten, "dev"), (9, None, "dev"), (9, None, "public")]
+    assert report(frame(spark, rows).withColumn("source", F.lit("s"))) == [("dev", "s", 3, 1, 2, 1.0), ("public", "s", 1, 0, 0, None)]
+    assert report(frame(spark, []).withColumn("source", F.lit("s"))) == []
+
+
+def test_coverage_is_of_each_records_own_word_order(spark):
+    ten = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
+    rows = [(1, " ".join(ten), "train"), (2, " ".join(reversed(ten)), "dev"), (3, " ".join(ten[5:] + ten[:5]), "public"), (4, " ".join([*ten[:3], *ten[2::-1], *ten[3:]]), "holdout"), (5, "một hai", "train"), (6, "một hai", "x")]
+    assert report(frame(spark, rows).withColumn("source", F.lit(None).cast("string"))) == [("dev", None, 1, 1, 1, 0.0), ("holdout", None, 1, 1, 1, 10 / 13), ("public", None, 1, 1, 1, 1.0), ("x", None, 1, 1, 1, 1.0)]
+
+
+def test_coverage_merges_the_spans_of_all_training_texts(spark):
+    words = [f"w{i}" for i in range(20)]
+    rows = [(1, " ".join(words[:10] + words[:9:-1]), "train"), (2, " ".join(words[9::-1] + words[10:]), "train"), (3, " ".join(words), "dev")]
+    assert report(frame(spark, rows).withColumn("source", F.lit("s"))) == [("dev", "s", 1, 1, 2, 1.0)]
