@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.llm import broken_pairs as b
@@ -29,6 +31,56 @@ def test_refusal_in_english_and_what_is_none():
     assert b.defect(VI, "Không.", "vi") is None and b.defect(VI, "Không bắt buộc.", "vi") is None
 
 
+@pytest.mark.parametrize(
+    "answer",
+    ["I'm afraid this question cannot be dealt with here.", "As this concerns a legal matter, no reply is possible.", "I am not able to give legal advice. Try the competent office.", "Unfortunately we are unable to help with that request.", "This topic is outside my remit.", "Từ chối trả lời.", "Câu hỏi này không được giải đáp."],
+)
+def test_refusals_in_other_words(answer):
+    assert b.defect(EN, answer, None) == "refusal"
+
+
+@pytest.mark.parametrize(
+    "answer",
+    ["The agency cannot provide a permit without the form.", "You cannot give the deposit back late.", "The registry may refuse the request.", "This request cannot be processed without the tender file.", "The land lies outside the scope of the plan.", "We cannot refuse to answer."],
+)
+def test_what_others_may_not_do_is_no_refusal(answer):
+    assert b.defect(EN, answer, "en") is None
+
+
+def test_no_length_turns_a_refusal_into_an_answer():
+    long = "I'm sorry, but I, as an automated assistant, cannot answer this question or any other question about this matter, as it concerns the law, and the law is for lawyers, so please do consult a lawyer about it or try the competent office again."
+    assert len(long.split()) > 40 and b.defect(EN, long, "en") == "refusal"
+
+
+def slow_align(question, answer):
+    n, m = len(question), len(answer)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if question[i] == answer[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if question[i] == answer[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), max_size=40), st.lists(st.sampled_from("abcde"), max_size=40))
+def test_alignment_by_bit_vectors_is_that_of_the_table(question, answer):
+    assert b.align(question, answer) == slow_align(question, answer)
+
+
+def test_alignment_of_long_texts():
+    words = [f"w{i % 977}" for i in range(20_000)]
+    assert len(b.align(words, words[:9_000] + ["x"] + words[9_000:])) == 20_000
+
+
 def test_copied():
     plain = "ben bao lanh o ha duong duoc quyen nop ho so xin lich truc ban theo khoan 2 dieu 19; vay co can hop toan the thanh vien khong"
     typo = VI.replace("Đường", "Đưỡng").replace("quyền", "quyềm").replace("hồ sơ", "hồ")
@@ -42,6 +94,9 @@ def test_language():
     assert b.defect(VI, "The market committee must withdraw the lease annex.", "vi") == "language"
     assert b.defect(EN, OK, "en") == "language" and b.defect(VI, "清算人不得登记施工日志。", None) == "language"
     assert b.defect(VI, "Le liquidateur doit publier la caution versée pour les tiers sous 12 jours.", "vi") == "language"
+    assert b.defect(EN, "Penyewa wajib menyerahkan lampiran perjanjian sewa kepada kantor sebelum pukul dua belas.", "en") == "language"
+    assert b.defect(EN, "El arrendatario debe entregar el anexo antes del mediodía.", "en") == "language" and b.defect(EN, "Der Mieter muss den Anhang vor Mittag abgeben.", "en") == "language"
+    assert b.defect(EN, "60 days.", "en") is None and b.defect(EN, "Yes.", "en") is None
     assert b.defect(VI, "Ben bao lanh phai nop lai ho so trong 5 ngay khi co quyet dinh.", "vi") is None
     assert b.defect(VI, "Hợp đồng ghi “free on board” và “force majeure” vẫn dùng được.", "vi") is None
 
