@@ -233,7 +233,7 @@ def _declines(tags: list[tuple[frozenset, int]]) -> bool:
         return False
     for template in SPOKEN:
         found = aligned(tags, template)
-        if found and "decline" in template and _negated(tags, found):
+        if found and ("decline" in template and _negated(tags, found) or "act" in template and any("decline" in t and "negation" not in t for t, _ in tags[found[0] : found[1]])):
             continue
         # between speaker and negation stands nothing else, as it would be what the negation is about
         if found and not any(substance[found[0] : found[1]]) and not any("someone" in t and "speaker" not in t for t, _ in tags[found[0] + 1 : found[1]]):

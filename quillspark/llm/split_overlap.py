@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.unicode_text import DIGITS, WORD, fold
+from quillspark.functions.unicode_text import DIGITS, fold_words
 from quillspark.session import cut_lineage
 
 #: Words of the common prefix that two similar texts must share somewhere.
@@ -49,8 +49,8 @@ def question_parts(text: str | None) -> tuple[list[str], str]:
     """Distinct folded words in order of first occurrence, and the sorted digit runs."""
     if not text:
         return [], ""
-    words = WORD.findall(fold(text))
-    return list(dict.fromkeys(words)), " ".join(sorted(DIGITS.findall(" ".join(words))))
+    words = fold_words(text)
+    return list(dict.fromkeys(words)), " ".join(sorted(d for w in words if not w.isalpha() for d in DIGITS.findall(w)))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +101,8 @@ def suffix_rows(texts: list[str], digits: list[str], ranks: dict[str, int], thre
     words, rows = concatenated(texts, ranks)
     n = np.bincount(rows, minlength=len(texts)).astype(np.int64)
     starts = np.cumsum(n) - n
-    signature = np.bitwise_or.reduceat(np.uint64(1) << (words & np.uint64(63)), starts) if len(words) else np.zeros(0, np.uint64)
+    # parities: a word turns one bit over, so that n words that differ turn over n bits at most
+    signature = np.bitwise_xor.reduceat(np.uint64(1) << (words & np.uint64(63)), starts) if len(words) else np.zeros(0, np.uint64)
     numbers = np.array([xxhash.xxh3_64_intdigest(d) for d in digits], dtype=np.uint64)
     reach = np.minimum(n, np.ceil(2 * (1 - threshold) * n - 1e-9).astype(np.int64) + SPAN)
     count = np.maximum(reach - SPAN + 1, 0)
@@ -266,10 +267,10 @@ def class_pairs(parts: DataFrame, threshold: float = 0.8) -> DataFrame:
     suffixes = classes.select("class_no", "train", "other", "digits", "words").mapInArrow(_suffixes(frequent, threshold), _SUFFIXES)
     size = F.size(F.split("words", " "))
     same = classes.where("train and other").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"), size.alias("common_words"), size.alias("all_words"))
-    texts = classes.select("class_no", "class_id", "digits", F.split("words", " ").alias("words"))
+    texts = classes.select("class_no", "class_id", "digits", "words")
     found = candidates(suffixes, threshold).join(texts.toDF("a", "class_a", "digits_a", "words_a"), "a").join(texts.toDF("b", "class_b", "digits_b", "words_b"), "b")
-    found = found.where("digits_a = digits_b and class_a <> class_b").withColumn("common_words", F.size(F.array_intersect("words_a", "words_b")))
-    found = found.withColumn("all_words", F.size("words_a") + F.size("words_b") - F.col("common_words")).where(F.col("common_words") >= threshold * F.col("all_words") - 1e-9)
+    found = found.where("digits_a = digits_b and class_a <> class_b").withColumn("wa", F.split("words_a", " ")).withColumn("wb", F.split("words_b", " "))
+    found = found.withColumn("common_words", F.size(F.array_intersect("wa", "wb"))).withColumn("all_words", F.size("wa") + F.size("wb") - F.col("common_words")).where(F.col("common_words") >= threshold * F.col("all_words") - 1e-9)
     return found.select("class_a", "class_b", "common_words", "all_words").unionByName(same)
 
 
@@ -301,7 +302,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, spans = [], []
         for text, is_train in zip(b.column("text").to_pylist(), b.column("is_train").to_pylist(), strict=True):
-            words = WORD.findall(fold(text))
+            words = fold_words(text)
             n.append(len(words))
             spans.append([h for k in range(1, COVERED_SPAN + 1) for h in text_spans(words, k)] if is_train else text_spans(words, min(COVERED_SPAN, len(words))))
         yield pa.RecordBatch.from_arrays([b.column("text"), b.column("class_id"), pa.array(n, pa.int32()), pa.array(spans, pa.list_(pa.int64()))], names=["text", "class_id", "n", "spans"])
