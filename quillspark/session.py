@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -32,9 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Largest scan (bytes of its columns by the optimizer's statistics) that :func:`spread` shuffles.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """A file scan over all cores where its files give fewer tasks than that: small inputs only, for work that outweighs a shuffle."""
+    """A file scan over all cores where its files give fewer tasks than that, for work that outweighs a shuffle; scans beyond SPREAD_BYTES stay as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
+    if int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return scan
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
@@ -47,9 +54,11 @@ def balance(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Without that setting a temporary one if all runs in this process (tests), else an error: other nodes couldn't read it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         named = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/quillspark-{spark.sparkContext.applicationId}"
@@ -61,7 +70,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     A written table rather than ``checkpoint()``, which computes its input twice and stores it uncompressed.
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
