@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.unicode_text import fold_words
+from quillspark.session import cut_lineage
 
 # Languages written without blanks between words.
 UNSPACED = ("zh", "ja", "th", "lo", "km", "my")
@@ -25,7 +26,7 @@ UNSPACED = ("zh", "ja", "th", "lo", "km", "my")
 _UNSPACED_LETTERS = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
 
 #: Text of items that one pass over the corpus carries along; more items take further passes.
-ITEM_CHARS_PER_PASS = 16_000_000
+ITEM_CHARS_PER_PASS = 4_000_000
 
 
 class WuManber:
@@ -124,12 +125,17 @@ def leaked_items(documents: DataFrame, doc_id: Column, text: Column, items: Data
     case, accents, punctuation, markup, line breaks, blanks and invisible characters don't count.
     Null ids and texts match nothing; shorter items can't match; repeated rows give their pairs once;
     an item text held twice under two ids gives both; empty tables give no rows. Extra columns are ignored.
-    Documents are read once per pass and never shuffled; only found pairs are.
+    Documents are read once per pass and never shuffled; only found pairs are. The driver holds the items of
+    one pass; where there are more, what a pass found is written before the next one begins.
     """
     docs = documents.select(doc_id.cast("string").alias("doc"), text.alias("text")).where("doc is not null and length(text) > 0")
-    out = None
-    for block in _passes(items, item_id, item_lang, item_text):
+    out, blocks = None, _passes(items, item_id, item_lang, item_text)
+    block = next(blocks, None)
+    while block is not None:
         part = docs.mapInArrow(_search_batches(pickle.dumps((block, min_words, min_chars))), "doc string, item_id long")
+        block = next(blocks, None)
+        if out is not None or block is not None:
+            part = cut_lineage(part.distinct())
         out = part if out is None else out.unionByName(part)
     if out is None:
         return documents.sparkSession.createDataFrame([], "doc_id string, item_id long")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import cut_lineage
+
 #: Folder of the public vocabulary files; set the variable or pass the path where they lie elsewhere.
 TOKENIZERS = os.environ.get("QUILLSPARK_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -43,7 +45,6 @@ def _encoding(path: str, pattern: str | None):
     return tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-
 def _count(encoding, text: str) -> int:
     return len(encoding.encode_ordinary(text))
 
@@ -177,7 +178,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total: float | None = None
     ``sizes`` has ``doc, source, n_tokens``; ``targets`` has ``source, target_share, max_repeats`` (one row per
     source; a few rows, checked). Gives ``doc, source, n_tokens, copies`` (documents of sources with a
     target, copies 0 included) and, per source of either table, ``source, target_share, max_repeats,
-    n_documents, source_tokens, planned_tokens, mixed_documents, mixed_tokens, reached_share, highest_copies``.
+    n_documents, largest, source_tokens, planned_tokens, mixed_documents, mixed_tokens, reached_share, highest_copies``.
     Sources without target get no copy; targets without documents reach 0. Null sources are one source without
     target; documents without tokens get no copy; a row repeated under the same id is a document of its own with the same draw;
     null shares or repeats count as 0; empty tables give empty results. Extra columns are ignored.
@@ -187,7 +188,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total: float | None = None
     if len(rows) > 100_000 or len({r.source for r in rows}) < len(rows):
         raise ValueError("targets must be at most 100,000 distinct sources")
     goal = {r.source: (float(r.w), int(r.r)) for r in rows}
-    per_source = sizes.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
+    per_source = sizes.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.max("n_tokens").alias("largest"))
     # only sources that have a target come to the driver: as many rows as targets at most
     known = {r.source: r for r in per_source.where(F.col("source").isin(list(goal))).collect()} if goal else {}
     give = plan_shares({s: r.t for s, r in known.items()}, goal, total)
@@ -198,12 +199,17 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total: float | None = None
     docs = sizes.join(F.broadcast(plan_df.select("source", "rate", "buckets")), "source").withColumn("whole", whole.cast("int")).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - whole))
     most = max((x[5] for x in plan), default=1)
     level = _round_level(docs, F.col("buckets"), seed, last=most <= 1)
-    settled = level.where("up is not null")
+    settled = None
     while most > 1:
+        # written, as both what is settled and what goes on read it: each level is rounded once
+        level = cut_lineage(level)
+        part = level.where("up is not null")
+        settled = part if settled is None else settled.unionByName(part)
         most = math.ceil(most / FAN_IN)
         seed += 2
         level = _round_level(level.where("up is null"), F.lit(most), seed, last=most <= 1)
-        settled = settled.unionByName(level.where("up is not null"))
+    part = level.where("up is not null")
+    settled = part if settled is None else settled.unionByName(part)
     copies = settled.join(F.broadcast(plan_df.select("source", "rate")), "source").select("doc", "source", "n_tokens", F.when(F.col("n_tokens") > 0, whole.cast("int") + F.col("up")).otherwise(0).alias("copies"))
     return copies, shares(copies, per_source, plan_df)
 
@@ -214,4 +220,4 @@ def shares(copies: DataFrame, per_source: DataFrame, plan: DataFrame) -> DataFra
     all_tokens = got.agg(F.sum("mixed_tokens").alias("all_tokens"))
     out = per_source.withColumnRenamed("t", "source_tokens").withColumnRenamed("n", "n_documents").join(plan.drop("rate", "buckets"), "source", "full").join(got, "source", "left").join(F.broadcast(all_tokens))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return out.select("source", zero("target_share"), "max_repeats", zero("n_documents"), zero("source_tokens"), zero("planned_tokens"), zero("mixed_documents"), zero("mixed_tokens"), F.coalesce(F.try_divide("mixed_tokens", "all_tokens"), F.lit(0.0)).alias("reached_share"), zero("highest_copies"))
+    return out.select("source", zero("largest"), zero("target_share"), "max_repeats", zero("n_documents"), zero("source_tokens"), zero("planned_tokens"), zero("mixed_documents"), zero("mixed_tokens"), F.coalesce(F.try_divide("mixed_tokens", "all_tokens"), F.lit(0.0)).alias("reached_share"), zero("highest_copies"))

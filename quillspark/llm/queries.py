@@ -58,6 +58,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def p5_links(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for name, key, text in (("documents", "doc_id", "cleaned_text"), ("legal_chunks", "chunk_id", "search_text")):
+        part = visual_form.lookalike_links(spread(table(spark, sf, name).select(key, text)), F.col(key), F.col(text)).select(F.lit(name).alias("table_name"), "key", F.hex("class_id").alias("class_id"), "n_links")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p5_forms(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for name, key, text in (("documents", "doc_id", "cleaned_text"), ("legal_chunks", "chunk_id", "search_text")):
@@ -92,6 +100,13 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """What the mix promises, per source: no document above its limit, and as many tokens as planned but for one document."""
+    s = _mix(spark, sf)[1].where("source is not null")
+    meets = F.abs(F.col("mixed_tokens") - F.col("planned_tokens")) <= F.col("largest")
+    return s.select("source", "n_documents", (F.col("highest_copies") <= F.coalesce("max_repeats", F.lit(0))).alias("within_limit"), meets.alias("meets_plan"), (F.col("target_share") > 0).alias("has_target"))
+
+
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
 
@@ -104,4 +119,4 @@ def p8_model(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.learn(_texts(spark, sf), F.col("text"), F.col("lang"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_top_chunks, p3_found, p3_pieces, p4_found, p5_found, p5_forms, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_model)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_top_chunks, p3_found, p3_pieces, p4_found, p5_found, p5_links, p5_forms, p6_found, p6_report, p7_mix, p7_shares, p7_kept, p8_found, p8_model)}

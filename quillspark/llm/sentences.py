@@ -471,20 +471,22 @@ def _unit_batches(packed: bytes | None):
 
 
 def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of a text on which its model may turn: those before a period and those after one."""
+    """The words of a text on which its model may turn, those before a period and those after one (with "" beside them), and both together."""
     for b in batches:
-        ids, langs, words = [], [], []
+        ids, langs, words, following = [], [], [], []
         for i, (text, lang) in enumerate(zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True)):
             lang, flat = effective_language(lang, text), plain(text)[0]
             tokens = set()
             for _, block in blocks(flat):
                 for kind, end, start in _periods(block, lang):
                     if kind == "mark":
-                        tokens |= {word_key(_TOKEN_BEFORE.search(block[:start])[0]), word_key(_next_word(block, end)[1]).lower()}
+                        token, word = word_key(_TOKEN_BEFORE.search(block[:start])[0]), word_key(_next_word(block, end)[1]).lower()
+                        tokens |= {(token, ""), (word, ""), (token, word)}
             ids += [i] * len(tokens)
             langs += [lang] * len(tokens)
-            words += tokens
-        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(langs, pa.string()), pa.array(words, pa.string())], names=["id", "lang", "a"])
+            words += [a for a, _ in tokens]
+            following += [b for _, b in tokens]
+        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ids, pa.int64())), pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(following, pa.string())], names=["id", "lang", "a", "b"])
 
 
 def sentence_units(documents: DataFrame, doc_id: Column, text: Column, lang: Column, model: DataFrame | None = None) -> DataFrame:
@@ -502,7 +504,8 @@ def sentence_units(documents: DataFrame, doc_id: Column, text: Column, lang: Col
     rows = [tuple(r) for r in model.select("lang", "kind", "a", "b").limit(MODEL_ROWS + 1).collect()]
     if len(rows) <= MODEL_ROWS:
         return src.mapInArrow(_unit_batches(pickle.dumps(sorted(rows))), schema)
-    tokens = src.mapInArrow(_token_batches, f"id {kind}, lang string, a string").distinct()
-    both = tokens.alias("t").join(model.alias("m"), F.expr("t.a = m.a and m.lang in (t.lang, '*')"))
+    # on both words: a collocation comes only to texts that hold it, so what a text collects is bounded by its own words
+    tokens = src.mapInArrow(_token_batches, f"id {kind}, lang string, a string, b string").distinct()
+    both = tokens.alias("t").join(model.alias("m"), F.expr("t.a = m.a and t.b = m.b and m.lang in (t.lang, '*')"))
     own = both.groupBy("id").agg(F.collect_list(F.struct("m.lang", "m.kind", "m.a", "m.b")).alias("model"))
     return src.join(own, "id", "left").select("id", "text", "lang", "model").mapInArrow(_unit_batches(None), schema)

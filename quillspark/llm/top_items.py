@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import cut_lineage
+
 #: Rows of heap state that one task holds before it sends them on and starts anew (memory bound, not a cap on the result).
 FLUSH_ROWS = 200_000
 
@@ -94,14 +96,16 @@ def best_chunks_with_context(results: DataFrame, n: int = 5) -> DataFrame:
 
     A chunk's context is that of its latest run (then the greatest text, so that ties are settled);
     chunks that no context mentions keep nulls. Context entries are pre-aggregated per question and
-    chunk by a hash aggregate with map-side combine, after a semi-join with the winners.
+    chunk, with map-side combine, after a semi-join with the winners: entries of other chunks never
+    reach the aggregate. The winners, at most ``n`` rows a question, are written as both joins read them.
     """
-    top = best_chunks(results, n)
+    top = cut_lineage(best_chunks(results, n))
     ctx = (
         results.where("question_id is not null and size(contexts) > 0")
         .select("question_id", "run_at", F.explode("contexts").alias("c"))
         .where("c.chunk_id is not null")
         .select("question_id", F.col("c.chunk_id").alias("chunk_id"), F.struct("run_at", F.col("c.text").alias("text"), F.col("c.article_number").alias("article_number"), F.col("c.document_id").alias("document_id")).alias("said"))
+        .join(top.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_semi")
         .groupBy("question_id", "chunk_id")
         .agg(F.max("said").alias("said"))
     )

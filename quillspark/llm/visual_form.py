@@ -149,20 +149,42 @@ def visual_classes(df: DataFrame, key: Column, text: Column) -> DataFrame:
     return src.mapInArrow(_classes_of, "key string, raw binary, class_id binary")
 
 
+def _mixed_rows(df: DataFrame, key: Column, text: Column) -> DataFrame:
+    """``key, raw, class_id``, once each, of the classes that hold more than one coding; written, as both operators below read it more than once."""
+    rows = cut_lineage(visual_classes(df, key, text).where("key is not null"))  # read twice
+    mixed = rows.groupBy("class_id").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("class_id")
+    return cut_lineage(rows.join(mixed, "class_id", "left_semi").select("key", "raw", "class_id").distinct())
+
+
 def lookalike_pairs(df: DataFrame, key: Column, text: Column) -> DataFrame:
     """Pairs ``key_a < key_b`` (code points) of rows with different keys whose texts look the same but differ in characters.
 
     Rows with null keys or texts have no pair; rows repeated with the same key and text count once;
     empty texts look like texts of invisible characters only; an empty table gives none. Extra columns
     are ignored. Hashes only are shuffled; classes in which all texts are coded alike are dropped
-    by an aggregate before rows meet, and a class meets only across its different codings, so that
-    exact copies are never paired with each other.
+    by an aggregate before rows meet. The codings of a class are paired, one row for each coding, and the
+    pairs of codings expanded to rows last: exact copies never meet, as candidates neither.
     """
-    rows = cut_lineage(visual_classes(df, key, text).where("key is not null")).distinct()  # read three times below
-    mixed = rows.groupBy("class_id").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("class_id")
-    rows = rows.join(mixed, "class_id", "left_semi").select("key", "raw", "class_id")
-    a, b = rows.toDF("key_a", "raw_a", "class_id"), rows.toDF("key_b", "raw_b", "class_id")
-    return a.join(b, "class_id").where("key_a < key_b and raw_a <> raw_b").select("key_a", "key_b").distinct()
+    rows = _mixed_rows(df, key, text)
+    codings = rows.select("class_id", "raw").distinct()
+    a, b = codings.withColumnRenamed("raw", "raw_a"), codings.withColumnRenamed("raw", "raw_b")
+    pairs = a.join(b, "class_id").where("raw_a < raw_b")
+    left, right = rows.toDF("a", "raw_a", "class_id"), rows.toDF("b", "raw_b", "class_id")
+    out = pairs.join(left, ["class_id", "raw_a"]).join(right, ["class_id", "raw_b"]).where("a <> b")
+    return out.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
+
+
+def lookalike_links(df: DataFrame, key: Column, text: Column) -> DataFrame:
+    """``key, class_id, n_links`` of every row that looks like one coded otherwise: how many such rows its class holds.
+
+    The form for groups of any size, as nothing is expanded: counts per coding are taken from counts per class. A key
+    that stands with several codings gives a row for each. What has no link has no row; nulls and repetitions as in :func:`lookalike_pairs`.
+    """
+    rows = _mixed_rows(df, key, text)
+    per_coding = rows.groupBy("class_id", "raw").agg(F.count("*").alias("own"))
+    per_class = per_coding.groupBy("class_id").agg(F.sum("own").alias("all"))
+    counts = per_coding.join(per_class, "class_id").select("class_id", "raw", (F.col("all") - F.col("own")).alias("n_links"))
+    return rows.join(counts, ["class_id", "raw"]).select("key", "class_id", "n_links")
 
 
 def _forms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,6 +53,15 @@ def test_mix_meets_shares(spark, monkeypatch, bucket):
     assert {r.doc: r.copies for r in again.collect()} == {d: r.copies for d, r in got.items()}
 
 
+def test_each_level_of_the_tree_is_rounded_once(spark, monkeypatch):
+    monkeypatch.setattr(m, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(m, "FAN_IN", 2)
+    rows = [(str(i), "a", 10 + i) for i in range(64)]
+    copies, _ = m.mix_sources(sizes(spark, rows), targets(spark, [("a", 1.0, 1)]), total=900)
+    assert copies._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert copies.agg(F.count("*"), F.countDistinct("doc")).first() == (64, 64) and abs(copies.agg(F.sum(F.col("copies") * F.col("n_tokens"))).first()[0] - 900) <= 80
+
+
 def test_edge_cases(spark):
     rows = [("1", "a", 10), ("2", None, 10), ("3", "other", 10), ("4", "a", 0), ("1", "a", 10)]
     copies, report = m.mix_sources(sizes(spark, rows), targets(spark, [("a", None, None), ("b", 0.5, 1)]))

@@ -80,6 +80,15 @@ def test_relocate(spark):
     assert {r.chunk_id: (r.start_char, r.end_char) for r in out.collect()} == {"ok": (4, 13), "stale": (14, 23), "gone": (None, None), "none": (None, None)}
 
 
+def test_relocate_takes_the_nearest_place(spark):
+    docs = spark.createDataFrame([("d", "điều A. điều A. điều B điều A.")], "document_id string, cleaned_text string")
+    rows = [("near", 9), ("front", -5), ("far", 90), ("tie", 4), ("back", 20), ("none", None)]
+    c = spark.createDataFrame([(k, "d", None, "điều A.", s, None if s is None else s + 3) for k, s in rows], "chunk_id string, document_id string, article_number string, text string, start_char int, end_char int")
+    assert {r.chunk_id: r.start_char for r in splitting.relocate(c, docs).collect()} == {"near": 8, "front": 0, "far": 23, "tie": 0, "back": 23, "none": None}
+    only = c.withColumn("text", F.lit("điều B"))
+    assert {r.start_char for r in splitting.relocate(only, docs).collect()} == {16}
+
+
 def test_found_holds_texts_oversized_by_outer_blanks(spark, tmp_path):
     from quillspark.llm import queries
 

@@ -56,6 +56,18 @@ def test_pairs(spark):
     assert v.lookalike_pairs(df.limit(0), F.col("key"), F.col("text")).count() == 0
 
 
+def test_links_and_a_class_of_many_copies(spark):
+    df = spark.range(100_000).select(F.concat(F.lit("c"), F.col("id")).alias("key"), F.lit(BASE).alias("text"))
+    one = spark.createDataFrame([("v", BASE.replace(" ", "\xa0")), ("v", BASE.replace(" ", "\xa0")), ("w", "alone"), (None, BASE)], "key string, text string")
+    df = df.unionByName(one)
+    assert v.lookalike_pairs(df, F.col("key"), F.col("text")).agg(F.count("*"), F.min("key_b"), F.max("key_b")).first() == (100_000, "v", "v")
+    links = v.lookalike_links(df, F.col("key"), F.col("text")).groupBy("n_links").agg(F.count("*").alias("n"), F.max("key").alias("k"))
+    assert sorted(map(tuple, links.collect())) == [(1, 100_000, "c99999"), (100_000, 1, "v")]
+    plan = v.lookalike_pairs(df, F.col("key"), F.col("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "raw_a" in plan and "key_a < key_b" not in plan
+    assert v.lookalike_links(df.limit(0), F.col("key"), F.col("text")).count() == 0
+
+
 def test_canonical_texts(spark):
     df = spark.createDataFrame([("a", "ｘ\xa0y"), ("b", None), ("c", ""), ("a", "ｘ\xa0y")], "k string, t string")
     out = sorted((r.key, r.form, r.changed) for r in v.canonical_texts(df, F.col("k"), F.col("t")).collect() if r.key != "b")
