@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 HINT_TAGS = "br|p|div|span|table|thead|tbody|tr|td|th|strong|em|b|i|img|script|style"
 BLOCK_TAGS = "br|p|div|li|table|thead|tbody|tr|h[1-6]"
 INLINE_TAGS = "span|td|th|strong|em|b|i|u|font|a"
-NOTICE = "Bạn phải đăng nhập hoặc đăng ký Thành Viên TVPL Pro để sử dụng được đầy đủ các tiện ích gia tăng liên quan đến nội dung TCVN. Mọi chi tiết xin liên hệ: ĐT: (028) 3930 3279 DĐ: 0906 22 99 66"
+NOTICE = (
+    r"Bạn\s+phải\s+đăng\s+nhập\s+hoặc\s+đăng\s+ký\s+Thành\s+Viên\s+TVPL\s+Pro\s+để\s+sử\s+dụng\s+được\s+đầy\s+đủ\s+các\s+tiện\s+ích\s+gia\s+tăng\s+liên\s+quan\s+đến\s+nội\s+dung\s+TCVN\."
+    r"\s*Mọi\s+chi\s+tiết\s+xin\s+liên\s+hệ:\s*ĐT:\s*\(028\)\s*3930\s*3279\s*DĐ:\s*0906\s*22\s*99\s*66"
+)
 
 
 def _tag(names: str, rest: str = "[^>]*>") -> re.Pattern:
@@ -25,7 +28,7 @@ _HINT, _BLOCK, _INLINE = _tag(HINT_TAGS, ""), _tag(BLOCK_TAGS), _tag(INLINE_TAGS
 _CODE = re.compile(r"<\s*(script|style)\b[^>]*>.*?<\s*/\s*\1\s*>", re.I | re.S)
 _IMAGE = re.compile(r"<\s*img\b([^>]*)/?>", re.I)
 _ALT = re.compile(r"""\balt\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_NOTICE = re.compile(r"\s+".join(re.escape(w) for w in NOTICE.split()), re.I)
+_NOTICE = re.compile(NOTICE, re.I)
 _DROPPED = re.compile("[\ufeff\u200b-\u200d\u2060]")
 _TO_BLANK = re.compile("[\xa0\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 

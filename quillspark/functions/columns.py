@@ -43,9 +43,17 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+#: Texts of these characters only are NFC, fold as they are lower-cased and have no blank that Java and Unicode see differently.
+PLAIN_TEXT = r"^[\x{00}-\x{1b}\x{20}-\x{7e}\x{a0}-\x{b4}\x{b6}-\x{de}\x{e0}-\x{12f}\x{131}-\x{148}\x{14a}-\x{17e}\x{1a0}\x{1a1}\x{1af}\x{1b0}\x{1ea0}-\x{1ef9}\x{2010}-\x{2027}\x{2030}-\x{205e}]*$"
+
+
 def normalize_question(c: Column) -> Column:
-    """Lower case (with ß as ss) and squeezed blanks; accents and punctuation stay. :data:`casefold_key` is the exact Unicode folding."""
-    return squeeze(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")))
+    """NFC, full case folding, blanks of any kind squeezed and trimmed; accents and punctuation stay.
+
+    The JVM has it for texts of :data:`PLAIN_TEXT`, nearly all; only the others carry their text to Python.
+    """
+    plain = c.rlike(PLAIN_TEXT)
+    return F.when(plain, squeeze(F.lower(c))).otherwise(casefold_key(F.when(~plain, c)))
 
 
 def tokens(c: Column) -> Column:

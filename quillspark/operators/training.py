@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
-from quillspark.operators.context import Budget, drop_expansions, pack_units, render
+from quillspark.operators.packing import Budget, drop_expansions, pack_units, render
 
 Tokenizer = Callable[[str], list[int]]
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import columns as C
 from quillspark.functions.answers import clean_answer_udf
 from quillspark.functions.cleaning import clean_passages
-from quillspark.operators import chunking, context, dense, evaluate, fusion, lexical
+from quillspark.operators import chunking, context, dense, evaluate, fusion, lexical, packing
 from quillspark.session import cut_lineage
 
 
@@ -39,10 +39,10 @@ def hybrid_retrieve(index: lexical.LexicalIndex, questions: DataFrame, vectors:
     return out.join(questions.select("query", "question"), "query")
 
 
-def prepare_prompts(hits: DataFrame, chunks: DataFrame, documents: DataFrame, budget: context.Budget | None = None, expand: bool = True) -> DataFrame:
+def prepare_prompts(hits: DataFrame, chunks: DataFrame, documents: DataFrame, budget: packing.Budget | None = None, expand: bool = True) -> DataFrame:
     """Prompts for hits (``query, question, id, rank``), with evidence widened to its article under the budget."""
     blocks = context.article_blocks(chunks)
-    return context.pack(context.seed_units(hits, blocks, documents), budget, expand)
+    return packing.pack(context.seed_units(hits, blocks, documents), budget, expand)
 
 
 def rerank(hits: DataFrame, score: Callable[[pd.Series, pd.Series], pd.Series], top_k: int) -> DataFrame:

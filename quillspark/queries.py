@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import columns as C
 from quillspark.functions.answers import clean_answer_udf, trim_answer_udf, trim_interior_udf
 from quillspark.functions.cleaning import clean_passages
-from quillspark.operators import audit, chunking, context, dense, evaluate, fusion, lexical, references, splits, training
+from quillspark.operators import audit, chunking, context, dense, evaluate, fusion, lexical, packing, references, splits, training
 from quillspark.plans import pipelines
 from quillspark.session import balance, cut_lineage, spread, table
 from quillspark.sql import SQL
@@ -218,12 +218,12 @@ def _units(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rt14_packed_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return context.pack(balance(_units(spark, sf), "query"), context.Budget(2000, 400)).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars", F.sha2("prompt", 256).alias("prompt_sha256"))
+    return packing.pack(balance(_units(spark, sf), "query"), packing.Budget(2000, 400)).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 @query
 def rt16_packed_without_merge(spark: SparkSession, sf: str) -> DataFrame:
-    return context.pack(balance(_units(spark, sf), "query"), context.Budget(2000, 400), merge=False).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars")
+    return packing.pack(balance(_units(spark, sf), "query"), packing.Budget(2000, 400), merge=False).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars")
 
 
 @query
@@ -232,15 +232,15 @@ def rt17_selective_segments(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("document_id", "source_title", "document_number", "cleaned_text")
     c = located_chunks(spark, sf).drop("text").where("article_number is not null").withColumn("article_number", F.lit("run")).withColumn("article_title", F.lit(None).cast("string"))
     blocks = cut_lineage(context.article_blocks(c).where("start_char is not null"))
-    hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 3).select("query", F.col("query").alias("question"), "id", "rank")
-    out = context.selective_segments(context.seed_units(hits, blocks, docs))
-    return out.select(F.col("query").alias("question_id"), "rank", "document_id", "start", "end", F.sha2("text", 256).alias("text_sha256"))
+    hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 12).select("query", F.col("query").alias("question"), "id", "rank")
+    out = context.selective_segments(balance(context.seed_units(hits, blocks, docs), "query"))
+    return out.select(F.col("query").alias("question_id"), "segment.rank", "segment.document_id", "segment.start", "segment.end", F.sha2("segment.text", 256).alias("text_sha256"))
 
 
 @query
 def rt22_training_gates(spark: SparkSession, sf: str) -> DataFrame:
     gold = answered(spark, sf).where("split = 'train'").groupBy(F.col("question_id").alias("query")).agg(F.min("answer").alias("answer"))
-    records = training.training_records(balance(_units(spark, sf), "query"), gold, context.Budget(2000, 400), _word_ids, 2)
+    records = training.training_records(balance(_units(spark, sf), "query"), gold, packing.Budget(2000, 400), _word_ids, 2)
     return training.gates(cut_lineage(records), 2048)
 
 

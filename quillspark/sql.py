@@ -12,7 +12,8 @@ def _squeeze(x: str) -> str:
 
 
 def _norm(x: str) -> str:
-    return _squeeze(f"replace(lower({x}), 'ß', 'ss')")
+    # NFC, case folded (DuckDB has no full folding; of what differs from lower case only ß occurs in questions), blanks as Unicode has them
+    return f"trim(regexp_replace(replace(lower(nfc_normalize({x})), 'ß', 'ss'), '{_WS}+', ' ', 'g'))"
 
 
 _HITS = """

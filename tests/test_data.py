@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import audit, context, evaluate, splits, training
+from quillspark.operators import audit, evaluate, packing, splits, training
 from quillspark.plans import pipelines
 from quillspark.sources import readers, writers
 from quillspark.streaming import events as ev
@@ -154,15 +154,15 @@ def test_training_records(spark):
         return dict(rank=rank, document_id=f"d{rank}", block_id="b", article_number=None, article_title=None, source_title=None, document_number=None, start=0, end=len(text), text=text, chunk_ids=["c"], expansions=None)
 
     units = [("1", "hỏi gì", [unit(0, "nội dung một"), unit(1, "từ " * 40)]), ("2", "hỏi", [unit(0, "x")]), ("3", "hỏi", [unit(0, "x")])]
-    df = spark.createDataFrame(units, f"query string, question string, units array<{context._UNIT}>")
+    df = spark.createDataFrame(units, f"query string, question string, units array<{packing.UNIT}>")
     gold = spark.createDataFrame([("1", "đáp án"), ("2", "khác"), ("3", " ")], "query string, answer string")
     encode = lambda t: [len(w) for w in t.split()]
-    rec = training.training_records(df, gold, context.Budget(100, 50), encode, 0)
+    rec = training.training_records(df, gold, packing.Budget(100, 50), encode, 0)
     g = training.gates(rec, 100, expected=2).first()
     assert g.passed, g
     row = rec.where("query = '1'").first()
     assert row.labels[: len(row.prompt_ids)] == [-100] * len(row.prompt_ids) and row.labels[len(row.prompt_ids) :] == [3, 2, 0] or row.labels[-1] == 0
-    changed = training.training_records(df, gold.withColumn("answer", F.concat("answer", F.lit(" khác hẳn"))), context.Budget(100, 50), encode, 0)
+    changed = training.training_records(df, gold.withColumn("answer", F.concat("answer", F.lit(" khác hẳn"))), packing.Budget(100, 50), encode, 0)
     assert changed.where("query = '2'").first().prompt == rec.where("query = '2'").first().prompt
     padded = training.pad_batch(rec, 90, 7).first()
     assert len(padded.input_ids) == len(padded.labels) == len(padded.attention_mask) == 90 and padded.labels[-1] == -100

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import audit, chunking, context, dense, fusion, references
+from quillspark.operators import audit, chunking, context, dense, fusion, packing, references
 
 
 def hits(spark, rows):
@@ -65,7 +65,7 @@ def test_merge_spans(spark):
     texts = {(r.start, r.text) for r in context.with_text(context.merge_spans(df, ["document_id", "block_id"]), docs).collect()}
     assert (40, "y" * 10) in texts
     units = [dict(document_id="d", block_id="b", start=s, end=e, rank=r, text=("x" * 33 + "y" * 30)[s:e], chunk_ids=c) for d, b, s, e, r, c in rows[:4]]
-    assert [(m["start"], m["end"], m["text"]) for m in context.merged(units)] == [(0, 33, "x" * 33), (40, 50, "y" * 10)]
+    assert [(m["start"], m["end"], m["text"]) for m in packing.united(units)] == [(0, 33, "x" * 33), (40, 50, "y" * 10)]
 
 
 CHUNKS = "document_id string, chunk_id string, chunk_index int, article_number string, article_title string, start_char int, end_char int"
@@ -89,20 +89,80 @@ def unit(rank, text, doc="d", start=0, expansions=()):
 def test_packing_skips_and_expands():
     wide = dict(kind="whole_article", start=0, end=11, text="một hai ba bốn năm"[:11], chunk_ids=["c0", "cx"])
     units = [unit(0, "một", expansions=[dict(wide, text="w " * 100, end=200), wide]), unit(1, "x " * 500, "e"), unit(2, "hai", "f")]
-    chosen, taken = context.pack_units("hỏi?", units, context.Budget(60, 50))
+    chosen, taken = packing.pack_units("hỏi?", units, packing.Budget(60, 50))
     assert [u["rank"] for u in chosen] == [0, 2] and taken == [{"rank": 0, "kind": "whole_article"}]
-    assert context.pack_whole("q", ["a " * 50, "b", "c " * 50, "d"], context.Budget(30)) == [1, 3]
-    out = context.pack_or_prefix("q", ["từ " * 100], context.Budget(30))
-    assert len(out) == 1 and 0 < len(out[0]) < 300 and len(context.prompt("q", out).split()) <= 30
-    assert context.pack_or_prefix("q", [], context.Budget(30)) == []
-    assert len(context.render("q", chosen, merge=False)) >= len(context.render("q", chosen))
+    assert packing.pack_whole("q", ["a " * 50, "b", "c " * 50, "d"], packing.Budget(30)) == [1, 3]
+    out = packing.pack_or_prefix("q", ["từ " * 100], packing.Budget(30))
+    assert len(out) == 1 and 0 < len(out[0]) < 300 and len(packing.prompt("q", out).split()) <= 30
+    assert packing.pack_or_prefix("q", [], packing.Budget(30)) == []
+    assert len(packing.render("q", chosen, merge=False)) >= len(packing.render("q", chosen))
+
+
+def test_spans_that_disagree_are_an_error_and_seeds_are_refused():
+    a, b = unit(0, "abcdef"), dict(unit(0, "xy"), start=4, end=6)
+    with pytest.raises(ValueError, match="disagree"):
+        packing.united([a, b])
+    assert packing.united([a, dict(b, text="ef")])[0]["text"] == "abcdef"
+    with pytest.raises(ValueError, match="budget"):
+        packing.pack_units("q", [unit(0, "x " * 50)], packing.Budget(20), strict=True)
+
+
+def test_two_spans_that_touch_are_one():
+    first, second = "Điều 1. Nội dung", " tiếp theo của nó"
+    units = [dict(unit(3, first), chunk_ids=["b"], block_id="x"), dict(unit(1, second, start=len(first)), chunk_ids=["a"], block_id="x"), dict(unit(2, "khác", start=60), block_id="x")]
+    one, two = packing.united(units)
+    assert (one["start"], one["end"], one["text"], one["rank"], one["chunk_ids"]) == (0, 33, first + second, 1, ["a", "b"]) and two["start"] == 60
+
+
+@pytest.mark.parametrize("merge", [True, False])
+def test_added_up_budgets_equal_rendered_ones(merge):
+    rng = random.Random(8)
+    for _ in range(60):
+        texts = {d: " ".join(f"{d}{i}" for i in range(200)) for d in "ab"}
+        units = []
+        for rank in range(8):
+            d, at, n = rng.choice("ab"), rng.randrange(0, 500), rng.randrange(20, 200)
+            t = texts[d]
+            spans = [dict(kind=k, start=max(0, at - m), end=at + n + m, text=t[max(0, at - m) : at + n + m], chunk_ids=[f"{k}{rank}"]) for k, m in (("whole", 90), ("near", 30))]
+            spans = [dict(x, end=x["start"] + len(x["text"])) for x in spans]
+            u = dict(unit(rank, t[at : at + n], d, at, spans), block_id="x")
+            units.append(u)
+        sizes = [packing.pack_units("hỏi gì đây", units, packing.Budget(120, 60, additive=x), merge=merge) for x in (True, False)]
+        assert sizes[0] == sizes[1]
+        meter = packing.Meter("hỏi gì đây", packing.Budget(), merge)
+        text = packing.render("hỏi gì đây", sizes[0][0], merge)
+        assert meter.measure(sizes[0][0]) == (len(text.split()), sum(len(s["text"]) for s in packing.united(sizes[0][0])))
+
+
+def test_adding_segments_and_references(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    seed = dict(unit(0, text[:30]), block_id="b", expansions=[])
+    part = lambda a, b, doc="d", block="b": {k: v for k, v in dict(unit(1, text[a:b], doc, a), block_id=block).items() if k != "expansions"}
+    spans, added = packing.add_options("q", [seed], [[part(0, 20)], [part(20, 60), part(40, 50)], [part(100, 380)], [part(70, 90)]], packing.Budget(60), 2)
+    assert added == [(1, 0), (3, 0)] and [(s["start"], s["end"]) for s in packing.united(spans)] == [(0, 60), (70, 90)]
+    units = spark.createDataFrame([("q", "hỏi", [seed]), ("r", None, None)], f"query string, question string, units array<{packing.UNIT}>")
+    ranked = spark.createDataFrame([("q", 2, part(70, 90)), ("q", 1, part(20, 60)), ("q", 3, part(62, 68))], f"query string, position int, segment {packing.SPAN}")
+    out = {r.query: r for r in packing.pack_segments(units, ranked, packing.Budget(200), 2).collect()}
+    assert out["q"].added == ["d:20-60", "d:70-90"] and out["q"].body_chars == 80 and (out["r"].added, out["r"].n_units) == ([], 0)
+    triggers = [("q", 1, "d", 40, 45, [part(0, 10, "e")]), ("q", 2, "d", 5, 9, [part(0, 400, "f"), part(0, 12, "f")]), ("q", 3, None, None, None, [part(0, 9, "g")]), ("q", 4, None, None, None, [part(0, 9, "h")])]
+    c = spark.createDataFrame(triggers, f"query string, position int, trigger_document string, trigger_start int, trigger_end int, options array<{packing.SPAN}>")
+    out = {r.query: r for r in packing.pack_references(units, c, packing.Budget(200), 2, max_chars=100).collect()}
+    assert out["q"].added == ["f:0-12", "g:0-9"] and out["r"].n_tokens == len(packing.prompt("", []).split())
+
+
+def test_packing_whole_contexts_and_prefixes(spark):
+    rows = [("a", "q", ["w " * 50, "x", None]), ("b", "q", ["w " * 50]), ("c", None, None), ("d", "q", [])]
+    df = spark.createDataFrame(rows, "query string, question string, contexts array<string>")
+    out = {r.query: r for r in packing.pack_contexts(df, packing.Budget(20), prefix=True).collect()}
+    assert out["a"].kept == [1, 2] and out["a"].cut_chars is None and out["b"].kept == [] and out["b"].n_tokens <= 20 and out["b"].cut_chars > 20 and out["c"].kept == out["d"].kept == []
+    assert packing.pack_contexts(df, packing.Budget(20)).where("query = 'b'").first().cut_chars is None
 
 
 def test_packing_never_drops_seeds_within_budget():
     for n in range(1, 13):
         units = [unit(i, f"từ {i} " * 5, f"d{i}") for i in range(n)]
-        chosen, _ = context.pack_units("q", units, context.Budget(8192))
-        assert len(chosen) == n and len(context.render("q", chosen).split()) <= 8192
+        chosen, _ = packing.pack_units("q", units, packing.Budget(8192))
+        assert len(chosen) == n and len(packing.render("q", chosen).split()) <= 8192
 
 
 def test_segments():
@@ -205,8 +265,8 @@ def test_selective_segments_of_copies_all_come_out(spark):
     text = "a" * 60 + "\n" + "b" * 60 + "\n" + "c" * 60
     seed = lambda doc, rank, start: (rank, doc, "b0", "1", None, None, None, start, start + 60, text[start : start + 60], [f"{doc}{start}"], [("whole_article", 0, len(text), text, ["x"])])
     rows = [("q", "?", [seed("d1", 0, 0), seed("d2", 1, 0), seed("d2", 2, 61)]), ("r", "?", [seed("d1", 3, 0), seed("d1", 3, 0)]), ("s", "?", None)]
-    units = spark.createDataFrame(rows, f"query string, question string, units array<{context._UNIT}>")
-    got = sorted((r.query, r.document_id, r.rank, r.start, r.end, r.text) for r in context.selective_segments(units).collect())
+    units = spark.createDataFrame(rows, f"query string, question string, units array<{packing.UNIT}>")
+    got = sorted((r.query, r.segment.document_id, r.segment.rank, r.segment.start, r.segment.end, r.segment.text) for r in context.selective_segments(units).collect())
     b, c = (61, 121, "b" * 60), (122, 182, "c" * 60)
     assert got == [("q", "d1", 0, *b), ("q", "d1", 0, *c), ("q", "d2", 1, *c), ("r", "d1", 3, *b), ("r", "d1", 3, *c)]
 
@@ -232,4 +292,4 @@ def test_stale_chunks_are_located_for_units_segments_and_references(spark, tmp_p
     assert all(any(x.start == 0 and x.end == len(text) for x in u.expansions) for u in units)
     assert sum(r.n for r in queries.rt19_cross_references(spark, str(tmp_path)).collect()) == 3
     segments = queries.rt17_selective_segments(spark, str(tmp_path)).collect()
-    assert {(r.start, r.end) for r in segments} == {(a, a + len(p)) for k, (a, p) in enumerate(zip(at, parts)) if k in (2, 3)}
+    assert {(r.start, r.end) for r in segments} == {(a, a + len(p)) for k, (a, p) in enumerate(zip(at, parts)) if k == 2}  # the others are seeds

@@ -133,3 +133,23 @@ def test_index_round_trip_and_folded_and_substring(spark, tmp_path):
     hits = lexical.substring_search(docs, F.col("id"), F.col("t"), q, F.col("q"), F.col("t"), 5).collect()
     assert [(r.id, r.rank) for r in hits] == [("a", 1)]
     assert lexical.substring_search(docs, F.col("id"), F.col("t"), q.limit(0), F.col("q"), F.col("t"), 5).count() == 0
+
+
+def test_interior_repetitions_differ_by_case():
+    long, tail = S + " Thêm vài chữ nữa cho đủ dài và rõ ràng hơn một chút.", "Phần sau cùng vẫn còn nội dung riêng đủ dài để giữ lại."
+    assert a.trim_interior(f"{long}\n{long.upper()}\n{tail}") == f"{long}\n{long.upper()}\n{tail}"
+    assert a.trim_interior(f"{long}\n{long.replace(' ', '  ')}\n{tail}") == f"{long} {tail}"
+
+
+def test_notice_without_blanks_goes():
+    notice = "Bạn phải đăng nhập hoặc đăng ký Thành Viên TVPL Pro để sử dụng được đầy đủ các tiện ích gia tăng liên quan đến nội dung TCVN.Mọi chi tiết xin liên hệ:ĐT:(028)3930 3279DĐ:0906 22 99 66"
+    assert clean_passage(f"Đầu\n{notice}\nCuối")[0] == "Đầu\n\n\nCuối".replace("\n\n\n", "\n\n") and clean_passage(notice)[2] == 1
+
+
+def test_questions_are_normalised_as_unicode_has_it(spark):
+    import unicodedata
+
+    texts = ["  Điều  5\x1f?", unicodedata.normalize("NFD", "Điều khoản ẾỆ"), "STRASSE ß ẞ", "ΣΊΣΥΦΟΣ ς", "İstanbul ŉ ﬁ ǰ", "ſ µ", "a 　b", "İ", "plain", "", None, "K Å", "q̣̇"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.n for r in df.select(c.normalize_question(F.col("t")).alias("n")).collect()]
+    assert got == [None if t is None else " ".join(unicodedata.normalize("NFC", t).casefold().split()) for t in texts]
