@@ -102,6 +102,38 @@ def forbidden_fields(df: DataFrame, names: set[str]) -> list[str]:
     return found
 
 
+def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``key, side``: keys that only one side has (an allowlist against what is there); nulls are none."""
+    a, b = (t.select(key).where(F.col(key).isNotNull()).distinct().withColumn(s, F.lit(True)) for t, s in ((left, "l"), (right, "r")))
+    return a.join(b, key, "full").where("l is null or r is null").select(key, F.when(F.col("r").isNull(), "left").otherwise("right").alias("side"))
+
+
+def manifest(tables: dict[str, DataFrame], key: dict[str, str]) -> DataFrame:
+    """``name, n_rows, n_columns, n_keys, sha256`` of each table: counts, and a hash of its keys that doesn't depend on order."""
+    out = None
+    for name, t in tables.items():
+        k = F.col(key[name]).cast("string")
+        row = t.agg(F.count("*").alias("n_rows"), F.countDistinct(k).alias("n_keys"), F.sum(F.conv(F.substring(F.sha2(k, 256), 1, 15), 16, 10).cast("decimal(38,0)")).alias("s"))
+        row = row.select(F.lit(name).alias("name"), "n_rows", F.lit(len(t.columns)).alias("n_columns"), "n_keys", F.sha2(F.coalesce(F.col("s").cast("string"), F.lit("0")), 256).alias("sha256"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def manifest_violations(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """``name, field, stored, found``: what a stored manifest says otherwise, a missing table in every field."""
+    fields = ["n_rows", "n_columns", "n_keys", "sha256"]
+    j = stored.alias("s").join(found.alias("f"), "name", "full")
+    pairs = F.array(*(F.struct(F.lit(x).alias("field"), F.col(f"s.{x}").cast("string").alias("stored"), F.col(f"f.{x}").cast("string").alias("found")) for x in fields))
+    return j.select("name", F.inline(pairs)).where("not (stored <=> found)")
+
+
+def group_members(df: DataFrame, group: Column, key: Column, value: Column) -> DataFrame:
+    """``group, position, key, n_rows, n_values``: members of groups of more than one row, numbered by key, with how many different values the group has. Rows, not lists, so that a group may be of any size."""
+    rows = df.select(group.alias("group"), key.alias("key"), value.alias("value")).where("group is not null")
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n_rows"), F.countDistinct("value").alias("n_values")).where("n_rows > 1")
+    return rows.join(sizes, "group").select("group", F.row_number().over(Window.partitionBy("group").orderBy("key")).alias("position"), "key", "n_rows", "n_values")
+
+
 def require_expected(df: DataFrame, expected: dict[str, object]) -> None:
     """A one-row table of identities (counts, hashes) equals what is expected."""
     row = df.first()

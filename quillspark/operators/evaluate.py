@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.answers import meteor_exact_udf, rouge_l_udf
 from quillspark.operators.audit import require_same_ids, require_unique
+from quillspark.session import cut_lineage
 
 
 def score_predictions(references: DataFrame, predictions: DataFrame, key: str = "question_id") -> DataFrame:
@@ -85,6 +86,53 @@ def poisson_bootstrap(deltas: DataFrame, key: str, resamples: int = 200) -> Data
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
+def bootstrap_by_rank(deltas: DataFrame, key: str, seed: str, resamples: int = 2_000) -> DataFrame:
+    """``n, mean_delta, low, high`` by :func:`bootstrap_seeded`: the sample in order of its key meets in one task, as the generator's sequence is one."""
+    src = deltas.select(F.lit("all").alias("by"), F.col(key).cast("string").alias("key"), F.col("delta").cast("double").alias("delta")).where("delta is not null")
+
+    def run(table: pa.Table) -> pa.Table:
+        v = table.sort_by("key")["delta"].to_pylist()
+        low, high = bootstrap_seeded(v, seed, resamples)
+        return pa.table({"n": pa.array([len(v)], pa.int64()), "mean_delta": [sum(v) / len(v)], "low": [low], "high": [high]})
+
+    return src.groupBy("by").applyInArrow(run, "n long, mean_delta double, low double, high double")
+
+
+def paired_gate(candidate: DataFrame, control: DataFrame, key: str, main: str, second: str, flag: str, least: float = 0.010, seed: int = 20260830, resamples: int = 10_000) -> DataFrame:
+    """One row of a paired comparison and its gate, over ids that both have.
+
+    Accepted if the mean difference of ``main`` is ``least`` or more, its 95 % interval lies above 0, the mean difference of
+    ``second`` isn't negative and ``flag`` (a boolean, such as an answer cut for length) is rarer than with the control.
+    """
+    a, b = (t.select(key, *(F.col(c).alias(f"{p}{i}") for i, c in enumerate((main, second, flag)))) for t, p in ((candidate, "a"), (control, "b")))
+    j = a.join(b, key).select(key, (F.col("a0") - F.col("b0")).alias("delta"), (F.col("a1") - F.col("b1")).alias("d1"), F.col("a2").cast("double").alias("fa"), F.col("b2").cast("double").alias("fb"))
+    j = cut_lineage(j)  # read by the summary and by the resampling
+    rest = j.agg(F.avg("d1").alias("mean_second"), F.avg("fa").alias("candidate_rate"), F.avg("fb").alias("control_rate"))
+    row = delta_summary(j, 1e-6).join(F.broadcast(rest)).join(F.broadcast(bootstrap(j, key, seed=seed, resamples=resamples).select("low", "high")), how="left")
+    c = F.col
+    return acceptance(row, {"mean_ok": c("mean_delta") >= least, "interval_ok": c("low") > 0, "second_ok": c("mean_second") >= 0, "rate_ok": c("candidate_rate") < c("control_rate")})
+
+
+def compare_rankings(rankings: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
+    """``system, n_queries, hit_rate, recall, reciprocal_rank`` of ``system, query, id, rank`` against ``query, id``, over queries with a relevant id.
+
+    All systems in one pass: a query that a system has no ranking for counts with 0.
+    """
+    want = relevant.select("query", "id").distinct()
+    sizes = want.groupBy("query").agg(F.count("*").alias("n_relevant"))
+    tops = rankings.where(F.col("rank") <= k).select("system", "query", "id", "rank").join(want, ["query", "id"], "left_semi")
+    per = tops.groupBy("system", "query").agg(F.countDistinct("id").alias("found"), F.min("rank").alias("best"))
+    grid = sizes.join(F.broadcast(rankings.select("system").distinct()))  # one row per system
+    j = grid.join(per, ["system", "query"], "left")
+    return j.groupBy("system").agg(F.count("*").alias("n_queries"), F.avg(F.when(F.col("found") > 0, 1.0).otherwise(0.0)).alias("hit_rate"), F.avg(F.coalesce(F.col("found") / F.col("n_relevant"), F.lit(0.0))).alias("recall"), F.avg(F.coalesce(1 / F.col("best"), F.lit(0.0))).alias("reciprocal_rank"))
+
+
+def positioned(references: DataFrame, results: DataFrame, key: str, position: str) -> DataFrame:
+    """``key, expected, found``: ids that don't stand at the same position in both, or are missing from one."""
+    a, b = references.select(key, F.col(position).alias("expected")), results.select(key, F.col(position).alias("found"))
+    return a.join(b, key, "full").where("not (expected <=> found)")
+
+
 def acceptance(summary: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """A one-row summary with each condition and ``accepted``, which holds if all do (null counts as failed)."""
     out = summary

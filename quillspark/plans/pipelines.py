@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
@@ -84,6 +85,41 @@ def run_resumable(prompts: DataFrame, model: Callable[[pd.DataFrame], pd.DataFra
     return spark.read.schema(schema).parquet(store)
 
 
+def run_until(prompts: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], path: str, identity: str, batch_rows: int, seconds: float, key: str = "query") -> tuple[DataFrame, bool]:
+    """:func:`run_resumable` batch after batch until all is stored or ``seconds`` are over: all records, and whether they are complete. The deadline is looked at between batches, so records are whole."""
+    ends, total = time.monotonic() + seconds, prompts.count()
+    while True:
+        records = run_resumable(prompts, model, path, identity, key, batch_rows)
+        complete = records.count() >= total
+        if complete or time.monotonic() >= ends:
+            return records, complete
+
+
+def contiguous_prefix(plan: DataFrame, records: DataFrame, key: str = "query") -> DataFrame:
+    """The records of the plan (``key, position`` from 0) up to the first position without one: what an ordered run can go on from."""
+    j = plan.join(records, key, "left").withColumn("_has", F.col("finish_reason").isNotNull())
+    first_gap = plan.join(records.select(key), key, "left_anti").agg(F.min("position").alias("_gap"))
+    return j.join(F.broadcast(first_gap)).where(F.col("_has") & (F.col("_gap").isNull() | (F.col("position") < F.col("_gap")))).drop("_has", "_gap")
+
+
+def worker_status(plan: DataFrame, records: DataFrame, stopped: bool = False, key: str = "query") -> DataFrame:
+    """``worker, assigned, completed, status, rerouted`` of ``key, worker`` and ``key, finish_reason``.
+
+    A worker with a record that failed is failed, with one out of memory oom, else complete if none is missing, else
+    stopped or running; ``rerouted`` counts what another worker must take: records out of memory or failed.
+    """
+    bad = lambda *w: F.sum(F.when(F.col("finish_reason").isin(*w), 1).otherwise(0))
+    per = plan.join(records.select(key, "finish_reason"), key, "left").groupBy("worker").agg(F.count("*").alias("assigned"), F.count("finish_reason").alias("done"), bad("oom").alias("oom"), bad("failed").alias("failed"))
+    status = F.when(F.col("failed") > 0, "failed").when(F.col("oom") > 0, "oom").when(F.col("done") == F.col("assigned"), "complete").otherwise("stopped" if stopped else "running")
+    return per.select("worker", "assigned", (F.col("done") - F.col("oom") - F.col("failed")).alias("completed"), status.alias("status"), (F.col("oom") + F.col("failed")).alias("rerouted"))
+
+
+def derive_variants(answers: DataFrame, variants: dict[str, Column], key: str = "query") -> DataFrame:
+    """``variant, key, answer, changed`` from saved answers, without generating again: each variant is an expression over ``answer``."""
+    rows = F.array(*(F.struct(F.lit(n).alias("variant"), c.alias("derived")) for n, c in variants.items()))
+    return answers.select(key, "answer", F.inline(rows)).select("variant", key, F.col("derived").alias("answer"), (~F.col("derived").eqNullSafe(F.col("answer"))).alias("changed"))
+
+
 def finalize_answers(first: DataFrame, second: DataFrame | None = None, key: str = "query") -> DataFrame:
     """``key, raw, answer, removed_characters``: second-pass answers where there are some, cleaned at the end."""
     rows = first.select(key, "answer") if second is None else evaluate.coalesce_passes(first, second, key)

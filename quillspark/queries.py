@@ -27,8 +27,10 @@ def query(f: Query) -> Query:
 
 
 def chunks_of(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """Chunks without redelivered rows."""
-    return balance(table(spark, sf, "legal_chunks").select("chunk_id", *columns), "chunk_id").dropDuplicates(["chunk_id"])
+    """Chunks without redelivered rows: of each id the row with the least index, then the least of the other columns."""
+    own = dict.fromkeys(("chunk_index", *columns))
+    rows = balance(table(spark, sf, "legal_chunks").select("chunk_id", *own), "chunk_id")
+    return rows.groupBy("chunk_id").agg(F.min(F.struct(*own)).alias("c")).select("chunk_id", *(f"c.{c}" for c in columns))
 
 
 def placed_chunks(spark: SparkSession, sf: str) -> DataFrame:

@@ -109,6 +109,36 @@ def read_passage_archives(spark: SparkSession, path: str, quarantine: bool = Fal
     return rows.drop("error")
 
 
+#: The member of a bundle that names the hashes of the others.
+MANIFEST = "manifest.json"
+
+
+def _unbundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import hashlib
+
+    for b in batches:
+        for content in b.column("content").to_pylist():
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                members = [i for i in archive.infolist() if not i.is_dir()]
+                names = [i.filename for i in members]
+                bad = [i.filename for i in members if unsafe_member(i) not in (None, "foreign name")]
+                if bad or len(set(names)) < len(names) or MANIFEST not in names:
+                    raise ValueError(f"unsafe bundle: {bad or names}")
+                hashes = strict_json(archive.read(MANIFEST))
+                if hashes.keys() != set(names) - {MANIFEST}:
+                    raise ValueError(f"bundle and manifest differ: {sorted(hashes.keys() ^ (set(names) - {MANIFEST}))}")
+                rows = [(n, archive.read(n)) for n in sorted(hashes)]
+            wrong = [n for n, payload in rows if hashlib.sha256(payload).hexdigest() != hashes[n]]
+            if wrong:
+                raise ValueError(f"changed members: {wrong}")
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.binary())], names=["name", "content"])
+
+
+def read_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """``name, content`` of a package of :func:`writers.write_bundle`. Unsafe, repeated, missing, additional or changed members are an error."""
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_unbundle, "name string, content binary")
+
+
 def content_identity(rows: DataFrame, name: str, digest: str) -> DataFrame:
     """One row: members and a hash of all names and digests that doesn't depend on order or layout.
 

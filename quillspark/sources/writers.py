@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
+import os
+import tempfile
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.audit import require_empty, require_same_ids, require_unique
+from quillspark.sources.readers import MANIFEST
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -53,11 +59,13 @@ def check_submission(predictions: DataFrame, expected: DataFrame, key: str = "qu
 def write_submission(predictions: DataFrame, expected: DataFrame, path: str, key: str = "question_id") -> None:
     """A ZIP with one JSON object ``id -> {"answer": ...}`` in order of ids: the same bytes for the same answers.
 
-    A submission is one object in one file by its definition, so it is streamed through the driver, sorted by Spark.
+    A submission is one object in one file by its definition, so it is streamed through the driver, sorted by Spark,
+    into a file there, and copied to ``path`` when it is whole.
     """
     check_submission(predictions, expected, key)
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+    handle, local = tempfile.mkstemp(suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as archive:
         info = zipfile.ZipInfo("submission.json", (1980, 1, 1, 0, 0, 0))
         info.compress_type = zipfile.ZIP_DEFLATED
         with archive.open(info, "w") as f:
@@ -65,11 +73,49 @@ def write_submission(predictions: DataFrame, expected: DataFrame, path: str, key
             for i, row in enumerate(predictions.select(key, "answer").orderBy(key).toLocalIterator()):
                 f.write(("," * bool(i) + f"\n  {json.dumps(str(row[0]), ensure_ascii=False)}: " + json.dumps({"answer": row.answer}, ensure_ascii=False)).encode())
             f.write(b"\n}\n")
-    with open(path, "wb") as f:
-        f.write(out.getvalue())
+    spark = predictions.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), target)
+
+
+def _submission(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for content in b.column("content").to_pylist():
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                rows = list(json.loads(archive.read("submission.json")).items())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v["answer"] for _, v in rows], pa.string())], names=["question_id", "answer"])
 
 
 def read_submission(spark: SparkSession, path: str) -> DataFrame:
-    with zipfile.ZipFile(path) as archive:
-        data = json.loads(archive.read("submission.json"))
-    return spark.createDataFrame([(k, v["answer"]) for k, v in data.items()], "question_id string, answer string")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_submission, "question_id string, answer string")
+
+
+def write_questions(df: DataFrame, path: str, key: str = "question_id") -> None:
+    """Files of one JSON object ``id -> {question, answer}`` each, one per partition: what :func:`readers.read_questions` reads. Ids must be unique."""
+    require_unique(df, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+        for b in batches:
+            for k, q, a in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held[k] = {"question": q, "answer": a}
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(held, ensure_ascii=False)], pa.string())], names=["value"])
+
+    df.select(F.col(key).cast("string"), "question", "answer").mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
+def write_bundle(files: DataFrame, path: str) -> None:
+    """A ZIP of ``name, content`` (binary) with a manifest of their hashes, in order of names: a checkpoint or result package, small by its nature (it passes through the driver)."""
+    spark = files.sparkSession
+    require_unique(files, "name")
+    handle, local = tempfile.mkstemp(suffix=".zip")
+    os.close(handle)
+    hashes = {}
+    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as archive:
+        for row in files.select("name", F.col("content").cast("binary").alias("content")).orderBy("name").toLocalIterator():
+            hashes[row.name] = hashlib.sha256(row.content).hexdigest()
+            archive.writestr(zipfile.ZipInfo(row.name, (1980, 1, 1, 0, 0, 0)), bytes(row.content))
+        archive.writestr(zipfile.ZipInfo(MANIFEST, (1980, 1, 1, 0, 0, 0)), json.dumps(hashes, sort_keys=True))
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), target)
