@@ -618,4 +618,8 @@ def ss_event_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return ev.sessions(table(spark, sf, "events"), "30 minutes")
 
 
+from quillspark import queries_files, sql_files  # noqa: E402, F401  (the first registers its queries)
+
+SQL = SQL | sql_files.SQL
+
 __all__ = ["QUERIES", "SQL"]
