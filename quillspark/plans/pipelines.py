@@ -30,7 +30,7 @@ def build_corpus(raw: DataFrame, bounds: chunking.Bounds | None = None) -> tuple
 def hybrid_retrieve(index: lexical.LexicalIndex, questions: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, candidates: int = 40, fused: int = 20, selected: int = 12) -> DataFrame:
     """``query, question, id, score, rank``: the best of either branch, fused with equal weights.
 
-    ``questions`` has ``query, question``; ``vectors`` has ``id, v`` and ``query_vectors`` ``query, v`` with numeric ids; without them only words count.
+    ``questions`` has ``query, question``; ``vectors`` has ``id, v`` and ``query_vectors`` ``query, v``, ids of any type; without them only words count.
     """
     hits = lexical.bm25_search(index, questions, F.col("query"), lexical.word_tokens(F.col("question")), candidates).select("query", F.lit("sparse").alias("branch"), F.col("id").cast("string").alias("id"), "rank")
     if vectors is not None and query_vectors is not None:

@@ -121,6 +121,18 @@ def rt06_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 12).select(F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "score", "rank")
 
 
+@query
+def rt06_retrieved(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid retrieval end to end: words and vectors of all chunks, by their own ids. The encoder is a stand-in of three counts."""
+    count = lambda c, mark: F.size(F.split(c, mark)).cast("double")
+    encode = lambda c: F.array(F.length(c).cast("double") / 1000, count(c, " ") / 100, count(c, "a") / 50)
+    chunks, items = cut_lineage(chunks_of(spark, sf, "text", "search_text")), table(spark, sf, "eval_items").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
+    index = lexical.build_index(chunks, F.col("chunk_id"), lexical.word_tokens(F.col("search_text")))
+    vectors = chunks.where("text is not null").select(F.col("chunk_id").alias("id"), encode(F.col("text")).alias("v"))
+    out = pipelines.hybrid_retrieve(index, items, vectors, items.where("question is not null").select("query", encode(F.col("question")).alias("v")))
+    return out.select(F.col("query").alias("item_id"), F.col("id").alias("chunk_id"), "score", "rank")
+
+
 @query
 def rt07_weight_grid(spark: SparkSession, sf: str) -> DataFrame:
     grid = {f"s{s}_d{d}": {"sparse": s / 10, "dense": d / 10} for s, d in ((6, 4), (5, 5), (4, 6))}
@@ -228,6 +240,13 @@ def rt16_packed_without_merge(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(balance(_units(spark, sf), "query"), packing.Budget(2000, 400), merge=False).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars")
 
 
+@query
+def rt16_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds alone, each a context of its own, under a budget that not all of them meet."""
+    out = packing.pack(balance(_units(spark, sf), "query"), packing.Budget(600), expand=False, merge=False)
+    return out.select(F.col("query").alias("question_id"), "n_tokens", "n_units")
+
+
 @query
 def rt17_selective_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Segments of widened units; here all consecutive articles of a document count as one."""

@@ -16,6 +16,17 @@ def _norm(x: str) -> str:
     return f"trim(regexp_replace(replace(lower(nfc_normalize({x})), 'ß', 'ss'), '{_WS}+', ' ', 'g'))"
 
 
+# Marks that take room stay where accents go: they are moved out of the way meanwhile.
+_SPACING_MARKS = "".join(chr(i) for i in (0x903, 0x93B, *range(0x93E, 0x941), *range(0x949, 0x94D), 0x94E, 0x94F))
+_ASIDE = "".join(chr(0xE000 + i) for i in range(len(_SPACING_MARKS)))
+
+
+def _fold(x: str) -> str:
+    """NFC, lower case, no accents, d for đ, blanks squeezed."""
+    bare = f"translate(strip_accents(translate(lower(nfc_normalize({x})), '{_SPACING_MARKS}', '{_ASIDE}')), '{_ASIDE}', '{_SPACING_MARKS}')"
+    return f"trim(regexp_replace(replace({bare}, 'đ', 'd'), '{_WS}+', ' ', 'g'))"
+
+
 _HITS = """
 SELECT query, branch, id, min(rank) AS rank FROM (
   SELECT query, f.chunk_id AS id, unnest(map_keys(f.branch_ranks)) AS branch, unnest(map_values(f.branch_ranks)) AS rank
@@ -82,9 +93,117 @@ def _percentile(p: float) -> str:
 
 _WINDOWS = "SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 6) AS total FROM ({}) GROUP BY 1, 2, 3"
 
+_BM25_FOLDED = _BM25.replace("lower(search_text)", _fold("search_text")).replace("lower(text)", _fold("text"))
+
+# Query terms: the eight longest folded words of three letters or more, earlier ones first among equals.
+_TERMS = rf"""
+SELECT item_id, w AS term, count(*) OVER (PARTITION BY item_id) AS n_terms FROM (
+  SELECT item_id, w FROM (SELECT item_id, w, min(i) AS i FROM (SELECT item_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT item_id, regexp_extract_all({_fold("text")}, '[\p{{L}}\p{{N}}]+') AS t FROM eval_items)) GROUP BY 1, 2)
+  WHERE length(w) >= 3 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, i) <= 8)
+"""
+# Occurrences that overlap are counted one by one only for words that can overlap themselves.
+_SUBSTRING = f"""
+WITH q AS ({_TERMS}), d AS (SELECT chunk_id AS id, coalesce({_fold("search_text")}, '') AS t FROM ({_CHUNKS})),
+n AS (SELECT count(*) AS n, avg(greatest(0, length(t) - 2)) AS avgdl FROM d),
+w AS (SELECT term, len(list_filter(range(1, length(term)), lambda k: left(term, k) = right(term, k))) > 0 AS bordered FROM (SELECT DISTINCT term FROM q)),
+tf AS (SELECT term, id, greatest(0, length(t) - 2) AS dl,
+         CASE WHEN bordered THEN len(list_filter(range(1, length(t) - length(term) + 2), lambda k: substr(t, k, length(term)) = term)) ELSE len(string_split(t, term)) - 1 END AS tf FROM w JOIN d ON contains(t, term)),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+idf AS (SELECT term, CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END AS idf FROM df, n),
+s AS (SELECT item_id, id AS chunk_id, round(sum(idf * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score
+      FROM q JOIN tf USING (term) JOIN idf USING (term), n GROUP BY 1, 2 HAVING count(*) >= least(2, max(n_terms)))
+SELECT item_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10
+"""
+
+_ASKED = "SELECT question_id AS query, min(question) AS question FROM training_records WHERE question IS NOT NULL GROUP BY 1"
+_CANDIDATES = f"SELECT f.query, f.id, f.rank, c.document_id, c.article_number, c.text, a.question FROM ({_FUSED}) f JOIN ({_CHUNKS}) c ON c.chunk_id = f.id JOIN ({_ASKED}) a ON a.query = f.query WHERE f.rank <= 20"
+
+# As in the operators.
+_STOPWORDS = "ai bao bi cac can co cua duoc gi hay hien khi la lam mot nao nhung phai quy ra sau the thi theo trong tren truoc tu va ve voi"
+_NUMBERS = r"\b[0-9]{1,4}/[0-9]{4}/[a-z0-9]+(?:-[a-z0-9]+)*\b"
+_ARTICLES = r"\bdieu\s+([0-9]+[a-z]?)\b"
+_CLAUSES = r"\bkhoan\s+([0-9]+[a-z]?)\b"
+_CITATIONS = f"""
+WITH r AS (SELECT query, id, rank - 1 AS rank, {_fold("question")} AS q, {_fold("concat(coalesce(document_id, ''), ' ', coalesce(article_number, ''), ' ', coalesce(text, ''))")} AS c, {_fold("coalesce(article_number, '')")} AS a FROM ({_CANDIDATES}) WHERE rank <= 12),
+t AS (SELECT *, list_distinct(regexp_extract_all(q, '{_NUMBERS}')) AS d, list_distinct(regexp_extract_all(q, '{_ARTICLES}', 1)) AS ar, list_distinct(regexp_extract_all(q, '{_CLAUSES}', 1)) AS cl,
+        list_filter(regexp_extract_all(q, '[a-z0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains(string_split('{_STOPWORDS}', ' '), w)) AS t,
+        regexp_extract_all(c, '{_ARTICLES}', 1) AS car, regexp_extract_all(c, '{_CLAUSES}', 1) AS ccl, regexp_extract_all(c, '[a-z0-9]+') AS ct FROM r),
+h AS (SELECT query, id, rank, len(list_filter(d, lambda x: contains(c, x))) AS document_hits, len(list_filter(ar, lambda x: list_contains(car, x) OR a = x)) AS article_hits, len(list_filter(cl, lambda x: list_contains(ccl, x))) AS clause_hits,
+        len(list_intersect(list_distinct(t), ct)) AS token_hits, len(list_filter(list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])), lambda x: contains(c, x))) AS bigram_hits,
+        len(d) + len(ar) + len(cl) > 0 AS has_reference FROM t),
+s AS (SELECT *, document_hits * 1000 + article_hits * 500 + clause_hits * 100 + token_hits + bigram_hits * 4 + (12 - rank) * 1.5::DOUBLE AS score, bool_or(has_reference) OVER (PARTITION BY query) OR rank < 6 AS inside FROM h)
+SELECT query AS question_id, id AS chunk_id, CAST(rank AS INTEGER) AS rank, document_hits::INTEGER AS document_hits, article_hits::INTEGER AS article_hits, clause_hits::INTEGER AS clause_hits, token_hits::INTEGER AS token_hits, bigram_hits::INTEGER AS bigram_hits, score::DOUBLE AS score,
+  CAST(row_number() OVER (PARTITION BY query ORDER BY inside DESC, CASE WHEN inside THEN -score END, rank) AS INTEGER) AS position FROM s
+"""
+
+_PAIRS = f"SELECT record_id, source, r, answer AS p FROM (SELECT * FROM ({_ANSWERED}) WHERE question_id IS NOT NULL) JOIN (SELECT question_id, min(answer) AS r FROM ({_ANSWERED}) WHERE question_id IS NOT NULL GROUP BY 1) USING (question_id)"
+_SCORES = rf"""
+WITH RECURSIVE pairs AS (SELECT record_id, regexp_extract_all(lower(r), '[a-z0-9]+') AS a, regexp_extract_all(lower(p), '[a-z0-9]+') AS b, regexp_extract_all(lower(r), '[^' || substr('{_WS}', 2) || '+') AS x, regexp_extract_all(lower(p), '[^' || substr('{_WS}', 2) || '+') AS y FROM ({_PAIRS})),
+-- longest common subsequences, a word of the candidate at a time; equal lists need none
+steps AS (
+  SELECT record_id, a, b, 0 AS i, list_transform(a, lambda w: 0) AS best FROM pairs WHERE a <> b AND len(a) > 0 AND len(b) > 0
+  UNION ALL
+  SELECT record_id, a, b, i + 1, list_transform(best, lambda v, j: greatest(v, coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: a[k] = b[i + 1]), lambda k: (CASE WHEN k = 1 THEN 0 ELSE best[k - 1] END) + 1)), 0))) FROM steps WHERE i < len(b)),
+common AS (SELECT record_id, best[len(a)] AS n FROM steps WHERE i = len(b) UNION ALL SELECT record_id, CASE WHEN a = b THEN len(a) ELSE 0 END FROM pairs WHERE a = b OR len(a) = 0 OR len(b) = 0),
+-- words of the candidate from its end, each to the last free place of the reference
+ref AS (SELECT *, row_number() OVER (PARTITION BY record_id, w ORDER BY j DESC) AS k FROM (SELECT record_id, unnest(x) AS w, generate_subscripts(x, 1) AS j FROM pairs)),
+cand AS (SELECT *, row_number() OVER (PARTITION BY record_id, w ORDER BY i DESC) AS k FROM (SELECT record_id, unnest(y) AS w, generate_subscripts(y, 1) AS i FROM pairs)),
+met AS (SELECT record_id, i, j, CASE WHEN i = lag(i) OVER o + 1 AND j = lag(j) OVER o + 1 THEN 0 ELSE 1 END AS fresh FROM ref JOIN cand USING (record_id, w, k) WINDOW o AS (PARTITION BY record_id ORDER BY i)),
+m AS (SELECT record_id, count(*)::DOUBLE AS m, sum(fresh)::DOUBLE AS chunks FROM met GROUP BY 1)
+SELECT record_id, round(CASE WHEN n > 0 THEN 2.0::DOUBLE * n / (len(a) + len(b)) ELSE 0 END, 9) AS rouge_l,
+  round(coalesce((m / len(y)) * (m / len(x)) / (0.9::DOUBLE * (m / len(y)) + 0.1::DOUBLE * (m / len(x))) * (1 - 0.5::DOUBLE * pow(chunks / m, 3)), 0), 9) AS meteor_exact
+FROM pairs JOIN common USING (record_id) LEFT JOIN m USING (record_id)
+"""
+
+_VISIBLE_WORDS = lambda x: f"len(regexp_extract_all({x}, '[^' || substr('{_WS}', 2) || '+'))"
+_LINE_WORDS = lambda label, x, n: f"CASE WHEN coalesce({x}, '') <> '' THEN {n} + {_VISIBLE_WORDS(x)} ELSE 0 END"
+# Words of each unit's context: its number, source, article, "Nội dung:" and text; then a greedy walk in rank order.
+_SEEDS = f"""
+WITH u AS (SELECT c.query, c.question, c.rank, 1 + 2 + {_LINE_WORDS("Tên nguồn:", "d.source_title", 2)} + {_LINE_WORDS("Số văn bản:", "d.document_number", 3)}
+             + CASE WHEN coalesce(k.article_number, '') <> '' THEN 1 + {_VISIBLE_WORDS("k.article_number")} ELSE 2 END + CASE WHEN coalesce(k.article_title, '') <> '' THEN {_VISIBLE_WORDS("k.article_title")} ELSE 0 END + {_VISIBLE_WORDS("c.text")} AS n
+           FROM ({_CANDIDATES}) c JOIN ({_CHUNKS}) k ON k.chunk_id = c.id JOIN documents d ON d.document_id = c.document_id WHERE c.rank <= 12),
+q AS (SELECT query, 4 + {_VISIBLE_WORDS("min(question)")} AS frame, list(n ORDER BY rank) AS sizes FROM u GROUP BY 1),
+w AS (SELECT query, list_reduce(list_prepend({{'used': frame::BIGINT, 'n': 0::BIGINT}}, list_transform(sizes, lambda x: {{'used': x::BIGINT, 'n': 1::BIGINT}})), lambda a, b: CASE WHEN a.used + b.used <= 600 THEN {{'used': a.used + b.used, 'n': a.n + 1}} ELSE a END) AS r FROM q)
+SELECT query AS question_id, CAST(r.used AS INTEGER) AS n_tokens, CAST(r.n AS INTEGER) AS n_units FROM w
+"""
+
+_VECTOR = lambda x: f"[length({x})::DOUBLE / 1000, len(string_split({x}, ' '))::DOUBLE / 100, len(string_split({x}, 'a'))::DOUBLE / 50]"
+_RETRIEVED = f"""
+WITH sparse AS (SELECT item_id AS query, chunk_id AS id, rank FROM ({_BM25.replace("rank <= 10", "rank <= 40")})),
+dense AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM (
+  SELECT i.item_id AS query, c.chunk_id AS id, round(list_inner_product({_VECTOR("i.text")}, {_VECTOR("c.text")}), 9) AS s FROM eval_items i, ({_CHUNKS}) c WHERE c.text IS NOT NULL AND i.text IS NOT NULL) QUALIFY rank <= 40),
+h AS (SELECT 'sparse' AS branch, * FROM sparse UNION ALL SELECT 'dense', * FROM dense),
+f AS (SELECT query, id, {_rrf()} AS score FROM h GROUP BY 1, 2)
+SELECT query AS item_id, id AS chunk_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM f QUALIFY rank <= 12
+"""
+
 SQL: dict[str, str] = {
     "rt01_bm25_word": _BM25,
     "jn01_bm25_postings": _BM25.replace("FROM eval_items)", "FROM (SELECT doc_id AS item_id, source_title AS text FROM documents WHERE doc_id % 50 = 0))").replace("SELECT item_id, chunk_id, score, CAST", "SELECT item_id AS doc_id, chunk_id, score, CAST"),
+    "rt02_bm25_folded": _BM25_FOLDED,
+    "rt03_bm25_substring": _SUBSTRING,
+    "rt04_fused_sparse": f"""
+        WITH h AS (SELECT 'word' AS branch, * FROM ({_BM25}) UNION ALL SELECT 'folded', * FROM ({_BM25_FOLDED}) UNION ALL SELECT 'substring', * FROM ({_SUBSTRING})),
+        f AS (SELECT item_id, chunk_id, round({_part('word', 0.5)} + {_part('folded', 0.3)} + {_part('substring', 0.2)}, 12) AS score, min(rank) AS best_rank FROM h GROUP BY 1, 2)
+        SELECT item_id, chunk_id, score, best_rank, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, best_rank, chunk_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""",
+    "rt06_retrieved": _RETRIEVED,
+    "rt11_citation_order": _CITATIONS,
+    "rt16_seeds": _SEEDS,
+    "rt26_scores": _SCORES,
+    "tk11_lowest_scores": f"SELECT record_id, meteor_exact FROM ({_SCORES}) ORDER BY meteor_exact, record_id LIMIT 40",
+    "rt24_group_holdout": f"""
+        WITH g AS (SELECT {_norm("question")} AS g, count(*) AS n FROM ({_ANSWERED}) WHERE split = 'train' AND question IS NOT NULL GROUP BY 1),
+        o AS (SELECT list({{'left': n::BIGINT, 'took': [g]}} ORDER BY sha256('holdout-1' || g), g) AS o FROM g WHERE n <= 50),
+        r AS (SELECT list_reduce(list_prepend({{'left': 50::BIGINT, 'took': CAST([] AS VARCHAR[])}}, o), lambda a, b: CASE WHEN b."left" <= a."left" THEN {{'left': a."left" - b."left", 'took': list_concat(a.took, b.took)}} ELSE a END).took AS took FROM o),
+        t AS (SELECT unnest(took) AS g, generate_subscripts(took, 1) - 1 AS position FROM r)
+        SELECT g AS "group", n AS n_rows, CAST(position AS INTEGER) AS position FROM t JOIN g USING (g)""",
+    "tx02_folded_titles": f"SELECT doc_id, {_fold('source_title')} AS folded_title FROM documents",
+    "tx24_answer_evidence": rf"""
+        WITH a AS (SELECT question_id AS query, min(answer) AS answer FROM ({_ANSWERED}) WHERE question_id IS NOT NULL GROUP BY 1),
+        t AS (SELECT query, list_distinct(regexp_extract_all({_fold('answer')}, '[\p{{L}}\p{{N}}]+')) AS a, list_distinct(regexp_extract_all({_fold('text')}, '[\p{{L}}\p{{N}}]+')) AS c,
+                list_distinct(regexp_extract_all({_fold('answer')}, '{_ARTICLES}', 1)) AS ra, list_distinct(regexp_extract_all({_fold('text')}, '{_ARTICLES}', 1)) AS rc FROM a JOIN ({_CANDIDATES}) USING (query) WHERE rank = 1)
+        SELECT query AS question_id, CASE WHEN len(a) > 0 THEN len(list_intersect(a, c)) / len(a)::DOUBLE END AS token_coverage, CASE WHEN len(ra) > 0 THEN len(list_intersect(ra, rc)) > 0 END AS any_reference,
+          CASE WHEN len(ra) > 0 THEN len(list_intersect(ra, rc)) = len(ra) END AS all_references FROM t""",
     "rt05_dense_exact": """
         SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (
           SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM (
