@@ -177,6 +177,65 @@ f AS (SELECT query, id, {_rrf()} AS score FROM h GROUP BY 1, 2)
 SELECT query AS item_id, id AS chunk_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM f QUALIFY rank <= 12
 """
 
+_NUMBER_KEY = lambda x: f"regexp_replace({_fold(x)}, '[^a-z0-9]+', '', 'g')"
+_WORD_LINE = lambda x: f"array_to_string(regexp_extract_all({_fold(x)}, '[a-z0-9]+'), ' ')"
+_SOURCES = f"""
+WITH pool AS (SELECT c.query, c.id, c.rank, c.document_id, c.question, d.document_number AS number, d.source_title AS title FROM ({_CANDIDATES}) c JOIN documents d USING (document_id)),
+d AS (SELECT query, document_id, any_value(question) AS question, any_value(number) AS number, any_value(title) AS title FROM pool GROUP BY 1, 2),
+w AS (SELECT *, coalesce(list_contains(list_transform(regexp_extract_all({_fold("question")}, '{_NUMBERS}'), lambda x: regexp_replace(x, '[^a-z0-9]+', '', 'g')), {_NUMBER_KEY("number")}), false) AS by_number, {_WORD_LINE("question")} AS q, {_WORD_LINE("coalesce(title, '')")} AS t FROM d),
+x AS (SELECT *, list_distinct(list_filter(string_split(t, ' '), lambda x: length(x) >= 2 AND NOT list_contains(string_split('cac cho cua duoc so theo trong va ve', ' '), x))) AS words FROM w),
+y AS (SELECT *, list_intersect(words, string_split(q, ' ')) AS shared, len(words) AS n FROM x),
+k AS (SELECT *, CASE WHEN n > 0 AND len(shared) >= 2 AND len(shared) >= 0.5 * n AND list_has_any(shared, ['bo', 'luat', 'nghi', 'dinh', 'thong', 'tu', 'quyet', 'phap', 'lenh'])
+        THEN {{'phrase': contains(q, t)::INTEGER, 'overlap': len(shared), 'share': floor(len(shared) * 10000.0 / n), 'n': n}} END AS key FROM y),
+b AS (SELECT *, coalesce(key = max(key) OVER (PARTITION BY query), false) AS is_best FROM k),
+r AS (SELECT query, CASE WHEN count(*) FILTER (WHERE by_number) = 1 THEN max(document_id) FILTER (WHERE by_number) WHEN count(*) FILTER (WHERE by_number) = 0 AND count(*) FILTER (WHERE is_best) = 1 THEN max(document_id) FILTER (WHERE is_best) END AS want FROM b GROUP BY 1),
+m AS (SELECT query, id, rank, document_id, coalesce(document_id = want, false) AS mine, rank <= 12 AS head FROM pool JOIN r USING (query)),
+t AS (SELECT *, NOT head AND mine AND row_number() OVER (PARTITION BY query, mine, head ORDER BY rank) <= 2 AS tail, row_number() OVER (PARTITION BY query, mine, head ORDER BY rank DESC) AS from_end FROM m),
+n AS (SELECT *, count(*) FILTER (WHERE tail) OVER (PARTITION BY query) AS tails, count(*) FILTER (WHERE head AND NOT mine) OVER (PARTITION BY query) AS free FROM t),
+c AS (SELECT *, CASE WHEN free >= tails THEN tails ELSE 0 END AS moved FROM n),
+s AS (SELECT * FROM c WHERE head AND NOT (NOT mine AND from_end <= moved) OR tail AND moved > 0),
+p AS (SELECT *, CASE WHEN tail THEN coalesce(max(CASE WHEN head AND mine THEN rank END) OVER (PARTITION BY query), 0) + 0.5 ELSE rank END AS place FROM s)
+SELECT query AS question_id, id AS chunk_id, rank, CAST(row_number() OVER (PARTITION BY query ORDER BY place, rank) AS INTEGER) AS position, tail AS promoted FROM p
+"""
+
+# A reference begins after what is no letter, digit or underscore and ends before it; the text before it is taken as short as can be.
+_CORE = rf"(?:khoản{_WS}+(?:[0-9]+[a-zđ]?){_WS}*,?{_WS}*(?:của{_WS}+)?)?điều{_WS}+[0-9]+[a-zđ]?"
+_FIRST = rf"(?is)^((?:.*?[^\p{{L}}\p{{N}}_])?)({_CORE})(?:[^\p{{L}}\p{{N}}_].*)?$"
+_KINDS = "bo luat|luat|nghi dinh|thong tu|quyet dinh|nghi quyet|phap lenh"
+_REFERENCES = rf"""
+WITH RECURSIVE m AS (
+  SELECT record_id, question, 0 AS upto, CAST(NULL AS VARCHAR) AS found FROM training_records WHERE question IS NOT NULL
+  UNION ALL
+  SELECT record_id, question, upto + length(regexp_extract(rest, '{_FIRST}', 1)) + length(regexp_extract(rest, '{_FIRST}', 2)), regexp_extract(rest, '{_FIRST}', 2)
+  FROM (SELECT *, substr(question, upto + 1) AS rest FROM m) WHERE regexp_matches(rest, '{_FIRST}')),
+r AS (SELECT record_id, found, upto - length(found) AS start, upto AS "end", list_distinct(regexp_extract_all({_fold("question")}, '{_NUMBERS}')) AS everywhere,
+        list_distinct(regexp_extract_all({_fold("substr(question, greatest(upto - length(found) - 120, 0) + 1, upto + 180 - greatest(upto - length(found) - 120, 0))")}, '{_NUMBERS}')) AS close, {_fold("substr(question, upto + 1, 100)")} AS after FROM m WHERE found IS NOT NULL),
+n AS (SELECT *, CASE WHEN len(close) > 0 THEN close ELSE everywhere END AS near FROM r)
+SELECT CAST(record_id AS VARCHAR) AS record_id, lower(regexp_extract(found, '(?i)điều{_WS}+([0-9]+[a-zđ]?)$', 1)) AS article_number, nullif(lower(regexp_extract(found, '(?i)^khoản{_WS}+([0-9]+[a-zđ]?)', 1)), '') AS clause_number,
+  CASE WHEN len(near) = 1 THEN near[1] END AS document_number,
+  CASE WHEN len(near) > 1 THEN 'ambiguous_document_numbers' WHEN len(near) = 1 THEN 'exact_document_number'
+       WHEN regexp_matches(after, '\b(?:{_KINDS})\b') AND NOT regexp_matches(after, '\b(?:van ban|{_KINDS})\s+nay\b') THEN 'unresolved_external_document' ELSE 'question_without_exact_document_number' END AS resolution,
+  CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end" FROM n
+"""
+
+# As in the operator. Of entities the tables hold only the non-breaking space.
+_HINT = r"(?i)<\s*/?\s*(?:br|p|div|span|table|thead|tbody|tr|td|th|strong|em|b|i|img|script|style)\b"
+_CODE = r"(?is)<\s*script\b[^>]*>.*?<\s*/\s*script\s*>|<\s*style\b[^>]*>.*?<\s*/\s*style\s*>"
+_BLOCK = r"(?i)<\s*/?\s*(?:br|p|div|li|table|thead|tbody|tr|h[1-6])\b[^>]*>"
+_INLINE = r"(?i)<\s*/?\s*(?:span|td|th|strong|em|b|i|u|font|a)\b[^>]*>"
+_PORTAL = r"(?i)Bạn\s+phải\s+đăng\s+nhập\s+hoặc\s+đăng\s+ký\s+Thành\s+Viên\s+TVPL\s+Pro\s+để\s+sử\s+dụng\s+được\s+đầy\s+đủ\s+các\s+tiện\s+ích\s+gia\s+tăng\s+liên\s+quan\s+đến\s+nội\s+dung\s+TCVN\.\s*Mọi\s+chi\s+tiết\s+xin\s+liên\s+hệ:\s*ĐT:\s*\(028\)\s*3930\s*3279\s*DĐ:\s*0906\s*22\s*99\s*66"
+_CLEANED = rf"""
+WITH a AS (SELECT doc_id, text, regexp_replace(regexp_replace(nfc_normalize(regexp_replace(text, '\r\n?', chr(10), 'g')), '[\x{{feff}}\x{{200b}}-\x{{200d}}\x{{2060}}]', '', 'g'), '[\x{{a0}}\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g') AS t FROM documents),
+h AS (SELECT *, regexp_matches(t, '{_HINT}') AS hint FROM a),
+b AS (SELECT *, CASE WHEN hint THEN regexp_replace(t, '{_CODE}', '', 'g') ELSE t END AS t1, CASE WHEN hint THEN len(regexp_extract_all(t, '{_CODE}')) ELSE 0 END AS n1 FROM h),
+c AS (SELECT *, CASE WHEN hint THEN regexp_replace(t1, '{_BLOCK}', chr(10), 'g') ELSE t1 END AS t2, CASE WHEN hint THEN len(regexp_extract_all(t1, '{_BLOCK}')) ELSE 0 END AS n2 FROM b),
+d AS (SELECT *, CASE WHEN hint THEN regexp_replace(t2, '{_INLINE}', '', 'g') ELSE t2 END AS t3, CASE WHEN hint THEN len(regexp_extract_all(t2, '{_INLINE}')) ELSE 0 END AS n3 FROM c),
+e AS (SELECT *, regexp_replace(t3, '{_PORTAL}', chr(10), 'g') AS t4, len(regexp_extract_all(t3, '{_PORTAL}')) AS k FROM d),
+f AS (SELECT *, array_to_string(list_transform(string_split(t4, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g')), chr(10)) AS t5 FROM e)
+SELECT doc_id, replace(regexp_replace(regexp_replace(t5, '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g'), '&nbsp;', chr(160)) AS cleaned_text,
+  CAST(CASE WHEN text IS NOT NULL THEN n1 + n2 + n3 END AS INTEGER) AS markup_removed, CAST(CASE WHEN text IS NOT NULL THEN k END AS INTEGER) AS notices_removed, text <> nfc_normalize(text) AS was_not_nfc, contains(text, chr(13)) AS had_cr FROM f
+"""
+
 SQL: dict[str, str] = {
     "rt01_bm25_word": _BM25,
     "jn01_bm25_postings": _BM25.replace("FROM eval_items)", "FROM (SELECT doc_id AS item_id, source_title AS text FROM documents WHERE doc_id % 50 = 0))").replace("SELECT item_id, chunk_id, score, CAST", "SELECT item_id AS doc_id, chunk_id, score, CAST"),
@@ -188,6 +247,9 @@ SQL: dict[str, str] = {
         SELECT item_id, chunk_id, score, best_rank, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, best_rank, chunk_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""",
     "rt06_retrieved": _RETRIEVED,
     "rt11_citation_order": _CITATIONS,
+    "rt12_source_aware": _SOURCES,
+    "tx06_cleaned": _CLEANED,
+    "tx17_references": _REFERENCES,
     "rt16_seeds": _SEEDS,
     "rt26_scores": _SCORES,
     "tk11_lowest_scores": f"SELECT record_id, meteor_exact FROM ({_SCORES}) ORDER BY meteor_exact, record_id LIMIT 40",
