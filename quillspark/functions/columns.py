@@ -160,10 +160,10 @@ def label_mask(prompt_ids: Column, answer_ids: Column, ignore: int = -100) -> Co
 
 
 def section_score(section: Column, question: Column, source: Column) -> Column:
-    """2 precision + 1.5 recall + 0.5 source recall + 0.4 shared terms, rounded to 6 digits; 0 with fewer than two shared terms."""
+    """2 precision + 1.5 recall + 0.5 source recall + 0.4 shared terms, rounded to 6 digits; 0 with fewer than two shared terms. Both recalls are shares of the question's terms."""
     shared = F.size(F.array_intersect(section, question))
     share = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
-    score = 2 * share(shared, F.size(section)) + 1.5 * share(shared, F.size(question)) + 0.5 * share(F.size(F.array_intersect(source, question)), F.size(source)) + 0.4 * shared
+    score = 2 * share(shared, F.size(section)) + 1.5 * share(shared, F.size(question)) + 0.5 * share(F.size(F.array_intersect(source, question)), F.size(question)) + 0.4 * shared
     return F.when(shared < 2, 0.0).otherwise(F.round(score, 6))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
 from quillspark.functions.unicode_text import fold_accents
+from quillspark.operators.chunking import article_spans
+from quillspark.operators.packing import UNIT
 
 # Words that carry no content in a question, that titles share, and kinds of legal documents (folded).
 STOPWORDS = "ai bao bi cac can co cua duoc gi hay hien khi la lam mot nao nhung phai quy ra sau the thi theo trong tren truoc tu va ve voi".split()
@@ -190,6 +193,102 @@ def triggered(refs: DataFrame, spans: DataFrame) -> DataFrame:
     return refs.where("origin = 'question'").unionByName(refs.where("origin <> 'question'").join(s, on, "left_semi"))
 
 
+# Words that say nothing of a section, and how a procedure's heading and a numbered line begin.
+SECTION_STOPWORDS = "ai bao cac can chi cho co cua da de den dieu duoc gi khi la lam mot nao nay nguoi nhieu nhu nhung quy dinh sao sau se theo thi tren trong tu va ve voi phap luat hien tai thuc hien truong hop doi tuong thanh pho nam bao gom noi dung".split()
+PROCEDURE = r"(?:PHẪU THUẬT|KỸ THUẬT|QUY TRÌNH|ĐIỀU TRỊ)\b"
+NUMBERED_LINE = r"(?:[IVX]+|\d+)\s*[.)-]\s+"
+_PROCEDURE, _NUMBERED_LINE = re.compile(PROCEDURE, re.I), re.compile(NUMBERED_LINE, re.I)
+#: Lines that a procedure's heading may take besides its first, and characters of a whole heading.
+HEADING_LINES, HEADING_CHARS = 3, 220
+
+
+def _upper(line: str) -> bool:
+    letters = [c for c in line if c.isalpha()]
+    return len(letters) >= 12 and sum(map(str.isupper, letters)) >= 0.9 * len(letters)
+
+
+def procedure_headings(text: str) -> list[tuple[int, str]]:
+    """Starts and titles of procedures: an upper-case line that names one, with the upper-case lines that go on with it."""
+    lines = [(m.start(), m[0].strip()) for m in re.finditer("[^\n]+", text)]
+    opens = [bool(_PROCEDURE.match(x)) and _upper(x) for _, x in lines]
+    goes_on = [_upper(x) and not _PROCEDURE.match(x) and not _NUMBERED_LINE.match(x) for _, x in lines]
+    out = []
+    for i in (i for i, o in enumerate(opens) if o):
+        title = [lines[i][1], *(x for (_, x), _ in takewhile(lambda p: p[1], zip(lines[i + 1 : i + 1 + HEADING_LINES], goes_on[i + 1 :], strict=False)))]
+        if len(" ".join(title)) <= HEADING_CHARS:
+            out.append((lines[i][0], " ".join(title)))
+    return out
+
+
+def text_sections(text: str) -> list[dict]:
+    """Articles, and procedures up to the next one or the end of their article."""
+    articles, found = article_spans(text), procedure_headings(text)
+    out = [{"kind": "article", "start": a["start"], "end": a["end"], "heading": a["heading"], "article_number": a["number"], "article_title": a["title"]} for a in articles]
+    for (start, title), following in zip(found, [*(s for s, _ in found[1:]), len(text)], strict=False):
+        end = min([following, *(a["end"] for a in articles if a["start"] <= start < a["end"])])
+        out.append({"kind": "procedure", "start": start, "end": end, "heading": title, "article_number": None, "article_title": title})
+    return out
+
+
+def document_sections(documents: DataFrame, max_chars: int = 6000) -> DataFrame:
+    """``document_id, source_title, kind, start, end, heading, article_number, article_title, text`` of sections that aren't longer than ``max_chars`` or blank; null texts have none."""
+    names = ("kind", "start", "end", "heading", "article_number", "article_title")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, rows, texts = [], [], []
+            for i, text in enumerate(b.column("cleaned_text").to_pylist()):
+                for s in text_sections(text):
+                    part = text[s["start"] : s["end"]]
+                    if len(part) <= max_chars and part.strip():
+                        keep.append(i)
+                        rows.append(s)
+                        texts.append(part)
+            at = pa.array(keep, pa.int64())
+            cols = [pa.array([r[n] for r in rows], pa.int32() if n in ("start", "end") else pa.string()) for n in names]
+            yield pa.RecordBatch.from_arrays([b.column("document_id").take(at), b.column("source_title").take(at), *cols, pa.array(texts, pa.string())], names=["document_id", "source_title", *names, "text"])
+
+    src = documents.where("cleaned_text is not null").select(F.col("document_id").cast("string").alias("document_id"), "source_title", "cleaned_text")
+    return src.mapInArrow(run, "document_id string, source_title string, kind string, start int, end int, heading string, article_number string, article_title string, text string")
+
+
+def section_terms(text: Column) -> Column:
+    """Distinct folded a-z and 0-9 words that say something of a section; hyphens and underscores part words."""
+    words = F.coalesce(F.regexp_extract_all(C.fold_accents(text), F.lit("[a-z0-9]+"), F.lit(0)), F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(SECTION_STOPWORDS)))
+
+
+def resolve_sections(spans: DataFrame, documents: DataFrame, least: float = 2.0, margin: float = 0.25, top: int = 2) -> DataFrame:
+    """``query``, the section that its question points to among the documents of its ``spans``, and ``score``: if there is one that is certain.
+
+    ``spans``: ``query, question, rank, document_id, start, end`` of the packed evidence, ranks from 0. A section that a
+    span of rank ``top`` or better holds already is none. See :func:`best_sections`.
+    """
+    per = spans.groupBy("query", "document_id").agg(F.min("rank").alias("first_rank"), F.first("question").alias("question"))
+    wanted = documents.join(per.select("document_id").distinct(), "document_id", "left_semi")
+    sections = document_sections(wanted).withColumn("section", section_terms(F.col("heading"))).withColumn("source", section_terms(F.coalesce("source_title", F.lit(""))))
+    asked = per.withColumn("terms", section_terms(F.col("question")))
+    rows = asked.join(sections, "document_id").where(F.arrays_overlap("section", "terms")).withColumnRenamed("question", "asked").withColumnRenamed("terms", "question")
+    best = best_sections(rows, least, margin)
+    held = spans.where(F.col("rank") <= top).select(F.col("query").alias("_q"), F.col("document_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    inside = (F.col("query") == F.col("_q")) & (F.col("document_id") == F.col("_d")) & (F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end"))
+    return best.join(held, inside, "left_anti").select("query", "document_id", "source_title", "kind", "start", "end", "article_number", "article_title", "text", "score")
+
+
+def replacement_units(units: DataFrame, sections: DataFrame) -> DataFrame:
+    """``query, question, units`` with each query's resolved section, first of all, in place of its units of the same document."""
+    s = sections.select(F.col("query").alias("_q"), F.struct("document_id", "start", "end", "article_number", "article_title", "source_title", "text").alias("_s"))
+    j = units.join(s, F.col("query") == F.col("_q"), "left")
+    c = lambda name: F.col("_s")[name]
+    same, others = F.filter("units", lambda u: u["document_id"] == c("document_id")), F.filter("units", lambda u: u["document_id"] != c("document_id"))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda u: u["chunk_ids"]))))
+    number = F.element_at(F.transform(F.array_sort(F.transform(same, lambda u: F.struct(u["rank"].alias("r"), u["document_number"].alias("n")))), lambda x: x["n"]), 1)
+    fields = {"rank": F.lit(-1), "document_id": c("document_id"), "block_id": F.concat(F.lit("section:"), c("document_id"), F.lit(":"), c("start").cast("string")), "article_number": c("article_number"), "article_title": c("article_title"), "source_title": c("source_title"), "document_number": number, "start": c("start"), "end": c("end"), "text": c("text"), "chunk_ids": ids, "expansions": F.lit(None)}
+    first = F.array(F.struct(*(v.alias(k) for k, v in fields.items())).cast(UNIT))
+    own = F.col("units").cast(f"array<{UNIT}>")
+    return j.select("query", "question", F.when(F.col("_s").isNull() | (F.size(same) == 0), own).otherwise(F.concat(first, others.cast(f"array<{UNIT}>"))).alias("units"))
+
+
 def best_sections(sections: DataFrame, least: float = 2.0, margin: float = 0.25) -> DataFrame:
     """Per query the one section whose score (``query, document_id, start, first_rank, section, question, source``: arrays of terms) is high enough and beats the second by a margin."""
     scored = sections.withColumn("score", C.section_score(F.col("section"), F.col("question"), F.col("source"))).where(F.col("score") >= least)

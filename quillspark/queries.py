@@ -222,47 +222,102 @@ def dq04_provenance(spark: SparkSession, sf: str) -> DataFrame:
     return audit.provenance_violations(spans, table(spark, sf, "documents")).select("chunk_id", "document_id")
 
 
-def _units(spark: SparkSession, sf: str) -> DataFrame:
+def _units(spark: SparkSession, sf: str, run: bool = False) -> DataFrame:
+    """Each question's 12 best chunks as units with their expansions; with ``run`` all consecutive articles of a document count as one, as most articles here are a single chunk."""
     docs = table(spark, sf, "documents").select("document_id", "source_title", "document_number", "cleaned_text")
-    blocks = cut_lineage(context.article_blocks(located_chunks(spark, sf).drop("text")).where("start_char is not null"))
+    chunks = located_chunks(spark, sf).drop("text")
+    if run:
+        chunks = chunks.where("article_number is not null").withColumn("article_number", F.lit("run")).withColumn("article_title", F.lit(None).cast("string"))
+    blocks = cut_lineage(context.article_blocks(chunks).where("start_char is not null"))
     hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 12)
     asked = table(spark, sf, "training_records").where("question is not null").groupBy(F.col("question_id").alias("query")).agg(F.min("question").alias("question"))
-    return context.seed_units(hits.join(asked, "query").select("query", "question", "id", "rank"), blocks, docs)
+    return balance(context.seed_units(hits.join(asked, "query").select("query", "question", "id", "rank"), blocks, docs), "query")
 
 
 @query
 def rt14_packed_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack(balance(_units(spark, sf), "query"), packing.Budget(2000, 400)).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars", F.sha2("prompt", 256).alias("prompt_sha256"))
+    return packing.pack(_units(spark, sf), packing.Budget(2000, 400)).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 @query
 def rt16_packed_without_merge(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack(balance(_units(spark, sf), "query"), packing.Budget(2000, 400), merge=False).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars")
+    return packing.pack(_units(spark, sf), packing.Budget(2000, 400), merge=False).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars")
 
 
 @query
 def rt16_seeds(spark: SparkSession, sf: str) -> DataFrame:
     """Seeds alone, each a context of its own, under a budget that not all of them meet."""
-    out = packing.pack(balance(_units(spark, sf), "query"), packing.Budget(600), expand=False, merge=False)
+    out = packing.pack(_units(spark, sf), packing.Budget(600), expand=False, merge=False)
     return out.select(F.col("query").alias("question_id"), "n_tokens", "n_units")
 
 
 @query
 def rt17_selective_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Segments of widened units; here all consecutive articles of a document count as one."""
-    docs = table(spark, sf, "documents").select("document_id", "source_title", "document_number", "cleaned_text")
-    c = located_chunks(spark, sf).drop("text").where("article_number is not null").withColumn("article_number", F.lit("run")).withColumn("article_title", F.lit(None).cast("string"))
-    blocks = cut_lineage(context.article_blocks(c).where("start_char is not null"))
-    hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 12).select("query", F.col("query").alias("question"), "id", "rank")
-    out = context.selective_segments(balance(context.seed_units(hits, blocks, docs), "query"))
+    out = context.selective_segments(_units(spark, sf, run=True))
     return out.select(F.col("query").alias("question_id"), "segment.rank", "segment.document_id", "segment.start", "segment.end", F.sha2("segment.text", 256).alias("text_sha256"))
 
 
+@query
+def rt17_packed_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds and up to three segments of the widened units, ordered by a stand-in for a reranker: those of better seeds first, then the longest."""
+    units = cut_lineage(_units(spark, sf, run=True))
+    s = F.col("segment")
+    order = Window.partitionBy("query").orderBy(s["rank"], F.length(s["text"]).desc(), s["document_id"], s["start"])
+    ranked = context.selective_segments(units).withColumn("position", F.row_number().over(order))
+    out = packing.pack_segments(units, ranked, packing.Budget(2000, 400), 3)
+    return out.select(F.col("query").alias("question_id"), "n_tokens", "n_units", F.size("added").alias("n_added"), "body_chars", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@query
+def rt19_packed_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Widened evidence and up to two articles that the question or the evidence refers to, where one document and one article of it answer to the reference."""
+    units, chunks = cut_lineage(_units(spark, sf)), cut_lineage(located_chunks(spark, sf))
+    numbers = table(spark, sf, "documents").select("document_id", "document_number", "source_title", "cleaned_text")
+    articles = context.article_blocks(chunks).where("article_number is not null and start_char is not null").groupBy("document_id", "block_id", F.col("article_number").alias("number")).agg(F.min("article_title").alias("title"), F.min("start_char").alias("start"), F.max("end_char").alias("end"), F.array_sort(F.collect_list("chunk_id")).alias("ids"))
+    seeds = units.select("query", "question", F.explode("units").alias("u")).select("query", "question", "u.rank", "u.document_id", "u.start", "u.end", F.explode("u.chunk_ids").alias("id"))
+    asked = references.extract_references(units, F.col("query"), F.col("question"), True).withColumn("query", F.col("id")).withColumn("rank", F.lit(-1)).withColumn("trigger_document", F.lit(None).cast("string"))
+    hit = chunks.join(seeds.select("id").distinct(), chunks["chunk_id"] == F.col("id"), "left_semi").where("start_char is not null")
+    said = references.extract_references(hit, F.col("chunk_id"), F.col("text"), False, F.col("document_id"), F.col("start_char"))
+    said = said.join(seeds.select("query", "rank", "id"), "id").withColumn("trigger_document", F.col("document_id"))
+    refs = references.resolve_targets(asked.unionByName(said.select(asked.columns)), numbers.where("document_number is not null").select("document_id", "document_number"), articles)
+    a, d = articles.toDF("td", "block_id", "number", "title", "target_start", "target_end", "ids"), numbers.toDF("td", "number_", "source", "t")
+    j = refs.where("target_start is not null").withColumnRenamed("target_document", "td").join(a, ["td", "target_start", "target_end"]).join(d, "td")
+    span = F.struct(
+        F.lit(100).alias("rank"), F.col("td").alias("document_id"), "block_id", F.col("number").alias("article_number"), F.col("title").alias("article_title"), F.col("source").alias("source_title"), F.col("number_").alias("document_number"),
+        F.col("target_start").alias("start"), F.col("target_end").alias("end"), F.expr("substring(t, target_start + 1, target_end - target_start)").alias("text"), F.col("ids").alias("chunk_ids"),
+    )
+    own = lambda c: F.when(F.col("trigger_document").isNotNull(), F.col(c))
+    rows = j.select("query", "trigger_document", own("start").alias("trigger_start"), own("end").alias("trigger_end"), F.array(span).alias("options"), "rank", F.col("start").alias("_s"), "id")
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy("rank", "id", "_s", F.col("options")[0]["document_id"], F.col("options")[0]["start"]))).drop("rank", "_s", "id")
+    out = packing.pack_references(units, rows, packing.Budget(2000, 400), 2)
+    return out.select(F.col("query").alias("question_id"), "n_tokens", "n_units", F.array_join("added", ",").alias("added"), "body_chars")
+
+
+@query
+def rt20_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """The section of a retrieved document that a question points to, and the prompt with it in place of the document's hits."""
+    units = cut_lineage(_units(spark, sf))
+    spans = units.select("query", "question", F.explode("units").alias("u")).select("query", "question", (F.col("u.rank") - 1).alias("rank"), "u.document_id", "u.start", "u.end")
+    found = cut_lineage(references.resolve_sections(spans, table(spark, sf, "documents").select("document_id", "source_title", "cleaned_text")))
+    packed = packing.pack(references.replacement_units(units.join(found.select("query"), "query", "left_semi"), found), packing.Budget(2000, 400), expand=False)
+    return found.join(packed.select("query", "n_tokens", "n_units"), "query").select(F.col("query").alias("question_id"), "document_id", "kind", "start", "end", "score", "n_tokens", "n_units")
+
+
 @query
 def rt22_training_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """All gates: records of the answered training questions against their answers, their seeds, their documents, a second run with other answers, and the settings."""
     gold = answered(spark, sf).where("split = 'train'").groupBy(F.col("question_id").alias("query")).agg(F.min("answer").alias("answer"))
-    records = training.training_records(balance(_units(spark, sf), "query"), gold, packing.Budget(2000, 400), _word_ids, 2)
-    return training.gates(cut_lineage(records), 2048)
+    units, budget = cut_lineage(_units(spark, sf)), packing.Budget(2000, 400)
+    make = lambda answers: cut_lineage(training.training_records(units, answers, budget, _word_ids, 2))
+    records, other = make(gold), make(gold.withColumn("answer", F.regexp_replace("answer", r"\S+", "khác")))
+    stored = training.identities(records)
+    answers = records.select("query").join(gold, "query").select("query", C.text_udf(lambda t: [*_word_ids(t), 2], "array<int>")(F.col("answer")).alias("answer_ids"))
+    seeds = records.select("query").join(units.select("query", F.flatten("units.chunk_ids").alias("seed_ids")), "query")
+    spans = units.select(F.explode("units").alias("u")).select("u.document_id", F.col("u.start").alias("start_char"), F.col("u.end").alias("end_char"), "u.text")
+    violations = audit.provenance_violations(spans, table(spark, sf, "documents"))
+    settings = {"max_input_tokens": budget.max_input_tokens, "max_parent_tokens": budget.max_parent_tokens, "order": context.EXPANSION_ORDER}
+    return training.gates(records, 2048, stored=stored, answers=answers, seeds=seeds, provenance=violations, mutated=other, contract=(settings, {"max_input_tokens": 2000, "max_parent_tokens": 400, "order": context.EXPANSION_ORDER}))
 
 
 def _word_ids(text: str) -> list[int]:
@@ -506,14 +561,6 @@ def rt27_failure_audit(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.failure_audit(s, r, "question_id", "metric", 50)
 
 
-@query
-def rt20_sections(spark: SparkSession, sf: str) -> DataFrame:
-    c = _candidates(spark, sf)
-    rows = c.groupBy("query", "document_id", "article_number").agg(F.first("question").alias("q"), F.min("rank").alias("first_rank"), F.min("id").alias("start"), F.array_join(F.array_sort(F.collect_list("text")), " ").alias("t"))
-    t = rows.select("query", "document_id", "start", "first_rank", C.distinct_tokens(F.col("t")).alias("section"), C.distinct_tokens(F.col("q")).alias("question"), F.array().cast("array<string>").alias("source"))
-    return references.best_sections(t).select(F.col("query").alias("question_id"), "document_id", "start", "score")
-
-
 # --- answers and scores ---
 
 
@@ -567,9 +614,14 @@ def ag14_paired_deltas(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("n", F.round("mean_delta", 9).alias("mean_delta"), F.round("min_delta", 9).alias("min_delta"), F.round("max_delta", 9).alias("max_delta"), "improved", "worsened", "tied")
 
 
+@query
+def ag15_ranked_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.bootstrap_by_rank(_deltas(spark, sf), "question_id", "sample-1", 2000)
+
+
 @query
 def ag16_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.bootstrap(_deltas(spark, sf), "question_id", resamples=2000)
+    return evaluate.bootstrap(_deltas(spark, sf), "question_id")
 
 
 @query
@@ -609,7 +661,20 @@ def ag26_cleanup_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rt28_resampled(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.poisson_bootstrap(_deltas(spark, sf), "question_id", 100)
+    return evaluate.poisson_bootstrap(_deltas(spark, sf), "question_id")
+
+
+@query
+def rt28_paired_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned answers against raw ones, both scored against the question's least answer; the flag is an answer that ends without a mark."""
+    r = answered(spark, sf).where("question_id is not null")
+    gold = r.groupBy("question_id").agg(F.min("answer").alias("r"))
+    rows = cut_lineage(r.join(gold, "question_id").select("record_id", "r", F.col("answer").alias("raw"), clean_answer_udf(F.col("answer")).alias("cleaned")))
+    sides = []
+    for c in ("cleaned", "raw"):
+        flag = rows.select("record_id", F.coalesce(C.answer_diagnostics(F.col(c))["non_sentence_ending"], F.lit(True)).alias("unended"))
+        sides.append(evaluate.score_columns(rows.select("record_id", "r", F.col(c).alias("p")), "record_id").join(flag, "record_id"))
+    return evaluate.paired_gate(*sides, "record_id", "meteor_exact", "rouge_l", "unended")
 
 
 @query

@@ -162,6 +162,14 @@ def test_training_records(spark):
     assert g.passed, g
     row = rec.where("query = '1'").first()
     assert row.labels[: len(row.prompt_ids)] == [-100] * len(row.prompt_ids) and row.labels[len(row.prompt_ids) :] == [3, 2, 0] or row.labels[-1] == 0
+    encoded = spark.createDataFrame([("1", [3, 2, 0]), ("2", [4, 0])], "query string, answer_ids array<int>")
+    stored, seeds = training.identities(rec), rec.select("query", "seed_ids")
+    same = dict(stored=stored, answers=encoded.where("query in ('1', '2')"), seeds=seeds, provenance=df.limit(0), mutated=rec, contract=({"a": 1}, {"a": 1}))
+    good = training.gates(rec, 100, **same).first()
+    assert not good.answer_complete or good.passed
+    wrong = dict(stored={"ids_sha256": "x", "records_sha256": "y"}, answers=encoded.where("query = '1'"), seeds=seeds.withColumn("seed_ids", F.array(F.lit("z"))), provenance=df, mutated=rec.withColumn("prompt_sha256", F.lit("other")), contract=({"a": 1}, {"a": 2}))
+    failed = training.gates(rec.withColumn("gold_evidence", F.lit(1)), 100, **wrong).first()
+    assert not any((failed.ordered_ids, failed.records_as_stored, failed.answer_complete, failed.seeds_as_retrieved, failed.exact_provenance, failed.answer_blind, failed.settings_agree, failed.no_reference_fields, failed.passed))
     changed = training.training_records(df, gold.withColumn("answer", F.concat("answer", F.lit(" khác hẳn"))), packing.Budget(100, 50), encode, 0)
     assert changed.where("query = '2'").first().prompt == rec.where("query = '2'").first().prompt
     padded = training.pad_batch(rec, 90, 7).first()
@@ -224,3 +232,59 @@ def test_cut_lineage_and_release(spark):
 
     df = cut_lineage(spark.range(5).withColumn("x", F.lit(None).cast("string")))
     assert df.count() == 5 and shared_folder(spark) in df.inputFiles()[0].replace("file://", "")
+
+
+def test_runs_with_a_deadline_states_and_variants(spark, tmp_path):
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(5)], "query long, prompt string")
+    model = lambda b: b.assign(answer=b["prompt"], finish_reason="eos")
+    records, complete = pipelines.run_until(prompts, model, str(tmp_path / "r"), "i", 2, 0)
+    assert records.count() == 2 and not complete
+    records, complete = pipelines.run_until(prompts, model, str(tmp_path / "r"), "i", 2, 600)
+    assert records.count() == 5 and complete
+    plan = spark.createDataFrame([(i, i, f"w{i // 2}") for i in range(6)], "query long, position long, worker string")
+    done = spark.createDataFrame([(0, "eos"), (1, "oom"), (2, "eos"), (3, "eos"), (5, "eos")], "query long, finish_reason string")
+    assert sorted(r["query"] for r in pipelines.contiguous_prefix(plan, done).collect()) == [0, 1, 2, 3]
+    assert {(r.worker, r.completed, r.status, r.rerouted) for r in pipelines.worker_status(plan, done).collect()} == {("w0", 1, "oom", 1), ("w1", 2, "complete", 0), ("w2", 1, "running", 0)}
+    out = pipelines.derive_variants(spark.createDataFrame([(1, " a"), (2, None)], "query long, answer string"), {"x": F.col("answer"), "y": F.trim("answer")})
+    assert {(r.variant, r["query"], r.answer, r.changed) for r in out.collect()} == {("x", 1, " a", False), ("y", 1, "a", True), ("x", 2, None, False), ("y", 2, None, False)}
+
+
+def test_bundles_are_safe(spark, tmp_path):
+    files = spark.createDataFrame([("a/b.txt", b"x"), ("c.txt", b"")], "name string, content binary")
+    path = str(tmp_path / "b.zip")
+    writers.write_bundle(files, path)
+    assert {(r.name, bytes(r.content)) for r in readers.read_bundle(spark, path).collect()} == {("a/b.txt", b"x"), ("c.txt", b"")}
+    for bad in ({"../x": b"1"}, {"extra": b"1"}):
+        broken = str(tmp_path / f"{len(str(bad))}.zip")
+        with zipfile.ZipFile(path) as old, zipfile.ZipFile(broken, "w") as new:
+            for i in old.infolist():
+                new.writestr(i.filename, old.read(i))
+            for n, c in bad.items():
+                new.writestr(n, c)
+        with pytest.raises(Exception, match="bundle"):
+            readers.read_bundle(spark, broken).collect()
+
+
+def test_paired_gate_and_rankings(spark):
+    rows = lambda m, s, f: spark.createDataFrame([(i, m + i % 3 * 0.001, s, f and i < 9) for i in range(30)], "k long, m double, s double, f boolean")
+    good = evaluate.paired_gate(rows(0.5, 0.4, False), rows(0.4, 0.4, True), "k", "m", "s", "f", resamples=200).first()
+    assert good.accepted and good.n == 30 and good.low > 0
+    assert not evaluate.paired_gate(rows(0.5, 0.3, False), rows(0.4, 0.4, True), "k", "m", "s", "f", resamples=200).first().accepted
+    assert not evaluate.paired_gate(rows(0.5, 0.4, True), rows(0.4, 0.4, True), "k", "m", "s", "f", resamples=200).first().rate_ok
+    r = spark.createDataFrame([("a", 1, "x", 2), ("a", 2, "y", 1), ("b", 1, "z", 1)], "system string, query long, id string, rank int")
+    rel = spark.createDataFrame([(1, "x"), (1, "w"), (2, "q")], "query long, id string")
+    assert {(x.system, x.n_queries, x.hit_rate, x.recall, x.reciprocal_rank) for x in evaluate.compare_rankings(r, rel).collect()} == {("a", 2, 0.5, 0.25, 0.25), ("b", 2, 0.0, 0.0, 0.0)}
+    one = evaluate.bootstrap_by_rank(spark.createDataFrame([(str(i), float(i)) for i in range(9)], "k string, delta double"), "k", "s", 100).first()
+    assert one.n == 9 and one.low <= one.mean_delta <= one.high
+
+
+def test_dense_search_over_string_ids(spark):
+    from quillspark.operators import dense
+
+    v = spark.createDataFrame([("ctx-1::00000::ab", [1.0, 0.0]), ("ctx-2", [0.0, 1.0]), ("ctx-3", [1.0, 0.0])], "id string, v array<double>")
+    out = dense.dense_search(v, F.col("id"), F.col("v"), v, F.col("id"), F.col("v"), 2, skip_self=True)
+    got = {(r["query"], r.id, r.score, r["rank"]) for r in out.collect()}
+    assert ("ctx-1::00000::ab", "ctx-3", 1.0, 1) in got and ("ctx-2", "ctx-1::00000::ab", 0.0, 1) in got and len(got) == 6
+    mixed = v.unionByName(spark.createDataFrame([("x", [1.0, 2.0, 3.0]), ("y", [4.0])], "id string, v array<double>"))
+    with pytest.raises(Exception, match="length"):
+        dense.dense_search(mixed, F.col("id"), F.col("v"), v, F.col("id"), F.col("v"), 2).collect()

@@ -293,3 +293,29 @@ def test_stale_chunks_are_located_for_units_segments_and_references(spark, tmp_p
     assert sum(r.n for r in queries.rt19_cross_references(spark, str(tmp_path)).collect()) == 3
     segments = queries.rt17_selective_segments(spark, str(tmp_path)).collect()
     assert {(r.start, r.end) for r in segments} == {(a, a + len(p)) for k, (a, p) in enumerate(zip(at, parts)) if k == 2}  # the others are seeds
+
+
+PROCEDURES = "Điều 1. Phạm vi\nNội dung.\nKỸ THUẬT TIÊM KHỚP GỐI DƯỚI SIÊU ÂM\nCỦA BỆNH VIỆN TRUNG ƯƠNG\n1. CHỈ ĐỊNH VÀ CHỐNG CHỈ ĐỊNH\nViêm khớp.\nQUY TRÌNH CHĂM SÓC NGƯỜI BỆNH\nTheo dõi.\nĐiều 2. Hiệu lực\nCó hiệu lực."
+
+
+def test_sections_of_a_text():
+    found = references.text_sections(PROCEDURES)
+    assert [(s["kind"], s["heading"]) for s in found] == [("article", "Điều 1. Phạm vi"), ("article", "Điều 2. Hiệu lực"), ("procedure", "KỸ THUẬT TIÊM KHỚP GỐI DƯỚI SIÊU ÂM CỦA BỆNH VIỆN TRUNG ƯƠNG"), ("procedure", "QUY TRÌNH CHĂM SÓC NGƯỜI BỆNH")]
+    assert PROCEDURES[found[2]["start"] : found[2]["end"]].endswith("Viêm khớp.\n") and found[3]["end"] == found[0]["end"]
+    assert references.procedure_headings("Quy trình thường\nQUY TRÌNH " + "DÀI " * 60) == [] and references.text_sections("") == []
+
+
+def test_resolved_section_takes_the_place_of_its_document(spark):
+    docs = spark.createDataFrame([("d", "Bệnh viện", PROCEDURES), ("e", None, None), ("f", "Luật", "Điều 1. Khác hẳn\nX")], "document_id string, source_title string, cleaned_text string")
+    span = lambda q, text, rank, doc, s, e: (q, text, rank, doc, s, e)
+    asked = "Quy trình chăm sóc người bệnh gồm gì?"
+    spans = [span("q", asked, 0, "f", 0, 5), span("q", asked, 1, "d", 0, 20), span("r", asked, 0, "d", 0, len(PROCEDURES)), span("s", "Không liên quan", 0, "d", 0, 5), span("t", None, 0, "e", 0, 1)]
+    df = spark.createDataFrame(spans, "query string, question string, rank int, document_id string, start int, end int")
+    out = references.resolve_sections(df, docs)
+    (row,) = out.collect()
+    assert (row["query"], row.document_id, row.kind, row.text[:30]) == ("q", "d", "procedure", "QUY TRÌNH CHĂM SÓC NGƯỜI BỆNH\n"[:30])
+    seeds = [{k: v for k, v in dict(unit(i, t, doc), expansions=[]).items()} for i, (t, doc) in enumerate([("khác", "f"), ("một", "d"), ("hai", "d")])]
+    units = spark.createDataFrame([("q", asked, seeds), ("r", asked, seeds)], f"query string, question string, units array<{packing.UNIT}>")
+    got = {r["query"]: [(u.rank, u.document_id, u.chunk_ids) for u in r.units] for r in references.replacement_units(units, out).collect()}
+    assert got["q"] == [(-1, "d", ["c1", "c2"]), (0, "f", ["c0"])] and [u[1] for u in got["r"]] == ["f", "d", "d"]
+    assert packing.pack(references.replacement_units(units, out), packing.Budget(200)).count() == 2

@@ -44,7 +44,7 @@ def test_small_functions(spark):
     ).first()
     assert (row.j, row.e, row.m, row.s, row.h, row.u, row.v) == (0.5, 1.0, [-100, -100, 7], "T\nx", True, True, False)
     assert row.id.startswith("ctx-9::00003::") and len(row.id) == 14 + 12 and row.f == "eos" and row.d is None
-    assert row.sc == 2 + 1.5 * 0.5 + 0.5 + 0.8 and row.n == "12/2020/QĐ-ABC" and row.n2 is None
+    assert row.sc == 2 + 1.5 * 0.5 + 0.5 * 0.25 + 0.8 and row.n == "12/2020/QĐ-ABC" and row.n2 is None
 
 
 def test_answer_diagnostics(spark):
