@@ -20,9 +20,14 @@ def _total(parts: list[Column]) -> Column:
     return F.round(out, 12)
 
 
+def _reciprocal(branch: str, constant: float, weight: float = 1.0) -> Column:
+    """Aggregate: what a branch's best rank of an id gives; 0 without one."""
+    return F.coalesce(F.lit(weight) / (constant + F.min(F.when(F.col("branch") == branch, F.col("rank")))), F.lit(0.0))
+
+
 def fuse(hits: DataFrame, branches: dict[str, float], constant: float = 60.0, top_k: int | None = None) -> DataFrame:
-    """``query, id, score, rank`` from ``query, branch, id, rank``: score descending, then id."""
-    scored = hits.where(F.col("branch").isin(list(branches))).groupBy("query", "id").agg(_total(_parts(branches, constant)).alias("score"))
+    """``query, id, score, rank`` from ``query, branch, id, rank``: score descending, then id. Of several ranks of an id in one branch the best counts, so hits of many runs need no aggregate before."""
+    scored = hits.where(F.col("branch").isin(list(branches))).groupBy("query", "id").agg(_total([_reciprocal(b, constant, w) for b, w in branches.items()]).alias("score"))
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id")))
     return out.where(F.col("rank") <= top_k) if top_k else out
 
@@ -37,9 +42,9 @@ def fuse_with_trace(hits: DataFrame, branches: dict[str, float], constant: float
 
 
 def weight_grid(hits: DataFrame, grid: dict[str, dict[str, float]], constant: float = 60.0, top_k: int = 20) -> DataFrame:
-    """:func:`fuse` for every named set of weights in one aggregation; ``variant`` names the set."""
+    """:func:`fuse` for every named set of weights in one aggregation; ``variant`` names the set. Repeated ranks as there."""
     names = sorted({b for w in grid.values() for b in w})
-    sums = hits.where(F.col("branch").isin(names)).groupBy("query", "id").agg(*(F.sum(F.when(F.col("branch") == b, 1.0 / (constant + F.col("rank"))).otherwise(0.0)).alias(f"_{b}") for b in names))
+    sums = hits.where(F.col("branch").isin(names)).groupBy("query", "id").agg(*(_reciprocal(b, constant).alias(f"_{b}") for b in names))
     variants = F.array(*(F.struct(F.lit(v).alias("variant"), _total([F.lit(w.get(b, 0.0)) * F.col(f"_{b}") for b in names]).alias("score")) for v, w in grid.items()))
     rows = sums.select("query", "id", F.inline(variants))
     out = rows.withColumn("rank", F.row_number().over(Window.partitionBy("variant", "query").orderBy(F.col("score").desc(), "id")))

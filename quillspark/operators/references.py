@@ -72,39 +72,46 @@ def extract_references(df: DataFrame, key: Column, text: Column, from_question:
     return src.mapInArrow(run, f"id string, document_id string, {_REF}")
 
 
-def content_tokens(text: Column, shortest: int = 3) -> Column:
-    """Folded a-z and 0-9 words of some length that aren't stopwords, in order, with repetitions."""
-    words = F.coalesce(F.regexp_extract_all(C.fold_accents(text), F.lit("[a-z0-9]+"), F.lit(0)), F.array().cast("array<string>"))
-    return F.filter(words, lambda w: (F.length(w) >= shortest) & ~w.isin(STOPWORDS))
+def _found(text: Column, pattern: str, group: int) -> Column:
+    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
+
+
+def citation_contexts(chunks: DataFrame, key: str = "id") -> DataFrame:
+    """What :func:`citation_scores` needs of each chunk (``key, document_id, article_number, text``), folded once however many questions hit it."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    rows = chunks.select(key, "document_id", C.fold_accents(F.concat_ws(" ", blank("document_id"), blank("article_number"), blank("text"))).alias("_c"), C.fold_accents(blank("article_number")).alias("_a"))
+    return rows.select(key, "document_id", "_c", "_a", _found(F.col("_c"), C.ARTICLE_REFERENCE, 1).alias("_ctx_ar"), _found(F.col("_c"), C.CLAUSE_REFERENCE, 1).alias("_ctx_cl"), F.array_distinct(_found(F.col("_c"), "[a-z0-9]+", 0)).alias("_ctx_t"))
+
 
+def citation_questions(questions: DataFrame) -> DataFrame:
+    """What :func:`citation_scores` needs of each question (``query, question``)."""
+    rows = questions.select("query", C.fold_accents(F.col("question")).alias("_q")).withColumn("_t", F.filter(_found(F.col("_q"), "[a-z0-9]+", 0), lambda w: (F.length(w) >= 3) & ~w.isin(STOPWORDS)))
+    rest = F.greatest(F.size("_t") - 1, F.lit(0))
+    pairs = F.array_distinct(F.zip_with(F.slice("_t", F.lit(1), rest), F.slice("_t", F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b)))
+    named = lambda pattern, group: F.array_distinct(_found(F.col("_q"), pattern, group))
+    return rows.select("query", F.array_distinct("_t").alias("_t"), pairs.alias("_pairs"), named(C.DOCUMENT_NUMBER, 0).alias("_d"), named(C.ARTICLE_REFERENCE, 1).alias("_ar"), named(C.CLAUSE_REFERENCE, 1).alias("_cl"))
 
-def citation_scores(candidates: DataFrame, weights: dict[str, float] | None = None, limit: int = 12) -> DataFrame:
-    """Relevance of ``query, question, rank, document_id, article_number, text`` rows (rank from 0) by references and shared words.
 
-    Adds hits of documents, articles, clauses, distinct words and word pairs, ``has_reference`` and ``score``.
+def citation_scores(hits: DataFrame, contexts: DataFrame, questions: DataFrame, weights: dict[str, float] | None = None, limit: int = 12) -> DataFrame:
+    """Relevance of ``query, id, rank`` hits (rank from 0) by references and shared words, with :func:`citation_contexts` and :func:`citation_questions`.
+
+    Gives ``query, id, rank, document_id``, hits of documents, articles, clauses, distinct words and word pairs,
+    ``has_reference`` and ``score``. Hits without a context or question are left out.
     """
     w = {"document": 1000.0, "article": 500.0, "clause": 100.0, "token": 1.0, "bigram": 4.0, "rank": 1.5} | (weights or {})
-    none = F.array().cast("array<string>")
-    q, c = F.col("_q"), F.col("_c")
-    rows = candidates.withColumn("_q", C.fold_accents(F.col("question"))).withColumn("_c", C.fold_accents(F.concat_ws(" ", F.coalesce("document_id", F.lit("")), F.coalesce("article_number", F.lit("")), F.coalesce("text", F.lit("")))))
-    rows = rows.withColumn("_a", C.fold_accents(F.coalesce("article_number", F.lit(""))))
-    found = lambda pattern, group: F.array_distinct(F.coalesce(F.regexp_extract_all(q, F.lit(pattern), F.lit(group)), none))
-    rows = rows.withColumn("_d", found(C.DOCUMENT_NUMBER, 0)).withColumn("_ar", found(C.ARTICLE_REFERENCE, 1)).withColumn("_cl", found(C.CLAUSE_REFERENCE, 1)).withColumn("_t", content_tokens(F.col("question")))
-    # words of the context as they are referred to
-    refs = lambda pattern: F.coalesce(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), none)
+    rows, c = hits.select("query", "id", "rank").join(contexts, "id").join(questions, "query"), F.col("_c")
     count = lambda items, test: F.size(F.filter(items, test))
-    pairs = F.array_distinct(F.zip_with(F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))), F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
-    rows = rows.withColumn("_ctx_ar", refs(C.ARTICLE_REFERENCE)).withColumn("_ctx_cl", refs(C.CLAUSE_REFERENCE)).withColumn("_ctx_t", F.coalesce(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0)), none)).withColumn("_pairs", pairs)
-    rows = (
-        rows.withColumn("document_hits", count(F.col("_d"), lambda x: F.contains(c, x)))
-        .withColumn("article_hits", count(F.col("_ar"), lambda x: F.array_contains("_ctx_ar", x) | (F.col("_a") == x)))
-        .withColumn("clause_hits", count(F.col("_cl"), lambda x: F.array_contains("_ctx_cl", x)))
-        .withColumn("token_hits", F.size(F.array_intersect(F.array_distinct("_t"), "_ctx_t")))
-        .withColumn("bigram_hits", count(F.col("_pairs"), lambda x: F.contains(c, x)))
-        .withColumn("has_reference", F.size("_d") + F.size("_ar") + F.size("_cl") > 0)
-    )
-    score = F.col("document_hits") * w["document"] + F.col("article_hits") * w["article"] + F.col("clause_hits") * w["clause"] + F.col("token_hits") * w["token"] + F.col("bigram_hits") * w["bigram"] + (limit - F.col("rank")) * w["rank"]
-    return rows.withColumn("score", score.cast("double")).drop(*[x for x in rows.columns if x.startswith("_")])
+    rows = rows.select(
+        "query", "id", "rank", "document_id",
+        count(F.col("_d"), lambda x: F.contains(c, x)).alias("document_hits"),
+        count(F.col("_ar"), lambda x: F.array_contains("_ctx_ar", x) | (F.col("_a") == x)).alias("article_hits"),
+        count(F.col("_cl"), lambda x: F.array_contains("_ctx_cl", x)).alias("clause_hits"),
+        F.size(F.array_intersect("_t", "_ctx_t")).alias("token_hits"),
+        count(F.col("_pairs"), lambda x: F.contains(c, x)).alias("bigram_hits"),
+        (F.size("_d") + F.size("_ar") + F.size("_cl") > 0).alias("has_reference"),
+    )
+    score = sum((F.col(f"{k}_hits") * w[k] for k in ("document", "article", "clause", "token", "bigram")), F.lit(0.0)) + (limit - F.col("rank")) * w["rank"]
+    return rows.withColumn("score", score.cast("double"))
 
 
 def citation_order(scored: DataFrame, window: int = 6) -> DataFrame:
@@ -116,16 +123,19 @@ def citation_order(scored: DataFrame, window: int = 6) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(order)).drop("_in", "_by")
 
 
-def title_key(question: Column, title: Column, least: int = 2, coverage: float = 0.5) -> Column:
-    """``(phrase, overlap, overlap * 10000 // n, n)`` of a title whose words a question names, or null if the cue is weak."""
-    norm = lambda c: F.array_join(F.coalesce(F.regexp_extract_all(C.fold_accents(c), F.lit("[a-z0-9]+"), F.lit(0)), F.array().cast("array<string>")), " ")
-    q, t = norm(question), norm(F.coalesce(title, F.lit("")))
-    words = F.array_distinct(F.filter(F.split(t, " "), lambda x: (F.length(x) >= 2) & ~x.isin(TITLE_STOPWORDS)))
-    shared = F.array_intersect(words, F.split(q, " "))
+def _line(text: Column) -> Column:
+    """Folded a-z and 0-9 words on one line."""
+    return F.array_join(_found(C.fold_accents(text), "[a-z0-9]+", 0), " ")
+
+
+def title_key(question_line: Column, title_line: Column, least: int = 2, coverage: float = 0.5) -> Column:
+    """``(phrase, overlap, overlap * 10000 // n, n)`` of a title whose words a question names, both as folded lines, or null if the cue is weak."""
+    words = F.array_distinct(F.filter(F.split(title_line, " "), lambda x: (F.length(x) >= 2) & ~x.isin(TITLE_STOPWORDS)))
+    shared = F.array_intersect(words, F.split(question_line, " "))
     kinds = sorted({w for k in LEGAL_TYPES for w in k.split()})
     n, m = F.size(words), F.size(shared)
     ok = (n > 0) & (m >= least) & (m >= coverage * n) & F.arrays_overlap(shared, F.array(*map(F.lit, kinds)))
-    return F.when(ok, F.struct(F.contains(q, t).cast("int").alias("phrase"), m.alias("overlap"), F.floor(m * 10_000 / n).alias("share"), n.alias("n")))
+    return F.when(ok, F.struct(F.contains(question_line, title_line).cast("int").alias("phrase"), m.alias("overlap"), F.floor(m * 10_000 / n).alias("share"), n.alias("n")))
 
 
 def number_key(number: Column) -> Column:
@@ -133,17 +143,19 @@ def number_key(number: Column) -> Column:
     return F.regexp_replace(C.fold_accents(number), "[^a-z0-9]+", "")
 
 
-def resolve_sources(pool: DataFrame) -> DataFrame:
+def resolve_sources(pool: DataFrame, questions: DataFrame, documents: DataFrame) -> DataFrame:
     """``query, document_id, resolution``: the one document that a question points to among its candidates, if it is certain.
 
-    ``pool`` has ``query, question, document_id, document_number, source_title``. First by number, then by the best
-    title; two equal candidates are ambiguous and resolve to none.
+    ``pool`` has ``query, document_id``, ``questions`` ``query, question`` and ``documents`` ``document_id, document_number,
+    source_title``; each text is folded once. First by number, then by the best title; two equal candidates are
+    ambiguous and resolve to none.
     """
-    docs = pool.groupBy("query", "document_id").agg(F.first("question").alias("question"), F.first("document_number").alias("number"), F.first("source_title").alias("title"))
-    named = F.transform(F.coalesce(F.regexp_extract_all(C.fold_accents(F.col("question")), F.lit(C.DOCUMENT_NUMBER), F.lit(0)), F.array().cast("array<string>")), lambda x: F.regexp_replace(x, "[^a-z0-9]+", ""))
-    docs = docs.withColumn("by_number", F.coalesce(F.array_contains(named, number_key(F.col("number"))), F.lit(False))).withColumn("key", title_key(F.col("question"), F.col("title")))
-    best = docs.groupBy("query").agg(F.max("key").alias("best"))
-    docs = docs.join(best, "query").withColumn("is_best", F.coalesce(F.col("key") == F.col("best"), F.lit(False)))
+    numbers = F.transform(_found(C.fold_accents(F.col("question")), C.DOCUMENT_NUMBER, 0), lambda x: F.regexp_replace(x, "[^a-z0-9]+", ""))
+    asked = questions.select("query", numbers.alias("named"), _line(F.col("question")).alias("q"))
+    known = documents.select("document_id", number_key(F.col("document_number")).alias("number"), _line(F.coalesce("source_title", F.lit(""))).alias("t"))
+    docs = pool.select("query", "document_id").distinct().join(known, "document_id").join(asked, "query")
+    docs = docs.select("query", "document_id", F.coalesce(F.array_contains("named", F.col("number")), F.lit(False)).alias("by_number"), title_key(F.col("q"), F.col("t")).alias("key"))
+    docs = docs.withColumn("is_best", F.coalesce(F.col("key") == F.max("key").over(Window.partitionBy("query")), F.lit(False)))
     only = lambda c: F.when(F.sum(c.cast("int")) == 1, F.max(F.when(c, F.col("document_id"))))
     n = lambda c: F.sum(c.cast("int"))
     out = docs.groupBy("query").agg(only(F.col("by_number")).alias("d1"), n(F.col("by_number")).alias("n1"), only(F.col("is_best")).alias("d2"), n(F.col("is_best")).alias("n2"))

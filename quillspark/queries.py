@@ -43,11 +43,15 @@ def located_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.relocate(chunks_of(spark, sf, *_PLACE), table(spark, sf, "documents"))
 
 
+def branch_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """``query, branch, id, rank`` of all runs of a question."""
+    rows = table(spark, sf, "retrieval_results").where("question_id is not null").select(F.col("question_id").alias("query"), F.explode("fused").alias("f"))
+    return rows.select("query", F.col("f.chunk_id").alias("id"), F.explode("f.branch_ranks").alias("branch", "rank")).where("id is not null and rank is not null").select("query", "branch", "id", "rank")
+
+
 def branch_hits(spark: SparkSession, sf: str) -> DataFrame:
     """``query, branch, id, rank``: the best rank of each chunk per branch over all runs of a question."""
-    rows = table(spark, sf, "retrieval_results").where("question_id is not null").select(F.col("question_id").alias("query"), F.explode("fused").alias("f"))
-    rows = rows.select("query", F.col("f.chunk_id").alias("id"), F.explode("f.branch_ranks").alias("branch", "rank")).where("id is not null and rank is not null")
-    return rows.groupBy("query", "branch", "id").agg(F.min("rank").alias("rank"))
+    return branch_rows(spark, sf).groupBy("query", "branch", "id").agg(F.min("rank").alias("rank"))
 
 
 def answered(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,7 +122,7 @@ def tx40_vector_norms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rt06_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 12).select(F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "score", "rank")
+    return fusion.fuse(branch_rows(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 12).select(F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "score", "rank")
 
 
 @query
@@ -136,7 +140,7 @@ def rt06_retrieved(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rt07_weight_grid(spark: SparkSession, sf: str) -> DataFrame:
     grid = {f"s{s}_d{d}": {"sparse": s / 10, "dense": d / 10} for s, d in ((6, 4), (5, 5), (4, 6))}
-    return fusion.weight_grid(branch_hits(spark, sf), grid, 60, 5).select("variant", F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "score", "rank")
+    return fusion.weight_grid(branch_rows(spark, sf), grid, 60, 5).select("variant", F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "score", "rank")
 
 
 @query
@@ -156,14 +160,14 @@ def ag11_articles(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def wn02_diverse_order(spark: SparkSession, sf: str) -> DataFrame:
     where = chunks_of(spark, sf, "document_id", "article_number").withColumnRenamed("chunk_id", "id")
-    hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 20).join(where, "id")
+    hits = fusion.fuse(branch_rows(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 20).join(where, "id")
     return fusion.diverse_order(hits, 12).select(F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "rank", "position")
 
 
 @query
 def rt32_context_variants(spark: SparkSession, sf: str) -> DataFrame:
     where = chunks_of(spark, sf, "document_id", "article_number").withColumnRenamed("chunk_id", "id")
-    hits = cut_lineage(fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 20).join(where, "id"))
+    hits = cut_lineage(fusion.fuse(branch_rows(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 20).join(where, "id"))
     plain = hits.withColumn("position", F.col("rank"))
     variants = [("top20", plain), ("top12", plain.where("rank <= 12")), ("diverse12", fusion.diverse_order(hits, 12))]
     rows = None
@@ -229,8 +233,8 @@ def _units(spark: SparkSession, sf: str, run: bool = False) -> DataFrame:
     if run:
         chunks = chunks.where("article_number is not null").withColumn("article_number", F.lit("run")).withColumn("article_title", F.lit(None).cast("string"))
     blocks = cut_lineage(context.article_blocks(chunks).where("start_char is not null"))
-    hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 12)
-    asked = table(spark, sf, "training_records").where("question is not null").groupBy(F.col("question_id").alias("query")).agg(F.min("question").alias("question"))
+    hits = fusion.fuse(branch_rows(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 12)
+    asked = _asked(spark, sf)
     return balance(context.seed_units(hits.join(asked, "query").select("query", "question", "id", "rank"), blocks, docs), "query")
 
 
@@ -526,31 +530,37 @@ def rt19_cross_references(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("resolution").agg(F.count("*").alias("n"), F.count("target_document").alias("n_document"), F.count("target_start").alias("n_article"))
 
 
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 20)
-    asked = table(spark, sf, "training_records").where("question is not null").groupBy(F.col("question_id").alias("query")).agg(F.min("question").alias("question"))
-    return balance(hits.select("query", "id", "rank"), "id").join(chunks_of(spark, sf, "document_id", "article_number", "text").withColumnRenamed("chunk_id", "id"), "id").join(asked, "query")
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "training_records").where("question is not null").groupBy(F.col("question_id").alias("query")).agg(F.min("question").alias("question"))
+
+
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 best of each question that has a text."""
+    return fusion.fuse(branch_rows(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 20).select("query", "id", "rank")
 
 
 @query
 def rt11_citation_order(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _candidates(spark, sf).where("rank <= 12").withColumn("rank", F.col("rank") - 1)
-    out = references.citation_order(references.citation_scores(rows))
+    contexts = references.citation_contexts(chunks_of(spark, sf, "document_id", "article_number", "text").withColumnRenamed("chunk_id", "id"))
+    hits = _hits(spark, sf).where("rank <= 12").withColumn("rank", F.col("rank") - 1)
+    out = references.citation_order(references.citation_scores(hits, contexts, references.citation_questions(_asked(spark, sf))))
     return out.select(F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "rank", "document_hits", "article_hits", "clause_hits", "token_hits", "bigram_hits", "score", "position")
 
 
 @query
 def rt12_source_aware(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("document_id", "source_title", "document_number")
-    pool = balance(cut_lineage(_candidates(spark, sf).drop("text").join(docs, "document_id")), "query")
-    out = references.source_aware_selection(pool, references.resolve_sources(pool))
+    docs, asked = table(spark, sf, "documents").select("document_id", "source_title", "document_number"), _asked(spark, sf)
+    place = chunks_of(spark, sf, "document_id").withColumnRenamed("chunk_id", "id").join(docs.select("document_id"), "document_id", "left_semi")
+    pool = cut_lineage(_hits(spark, sf).join(asked.select("query"), "query", "left_semi").join(place, "id"))
+    out = references.source_aware_selection(pool, references.resolve_sources(pool, asked, docs))
     return out.select(F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "rank", "position", "promoted")
 
 
 @query
 def tx24_answer_evidence(spark: SparkSession, sf: str) -> DataFrame:
     a = answered(spark, sf).where("question_id is not null").groupBy(F.col("question_id").alias("query")).agg(F.min("answer").alias("answer"))
-    best = _candidates(spark, sf).where("rank = 1").select("query", F.col("text").alias("context"))
+    texts = chunks_of(spark, sf, "text").select(F.col("chunk_id").alias("id"), F.col("text").alias("context"))
+    best = _hits(spark, sf).where("rank = 1").join(_asked(spark, sf).select("query"), "query", "left_semi").join(texts, "id").select("query", "context")
     return references.answer_evidence(a.join(best, "query")).withColumnRenamed("query", "question_id")
 
 

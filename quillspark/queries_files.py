@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import columns as C
 from quillspark.operators import audit, chunking, evaluate, fusion, lexical, packing, references, splits, training
 from quillspark.plans import pipelines
-from quillspark.queries import answered, branch_hits, chunks_of, query
+from quillspark.queries import answered, branch_hits, branch_rows, chunks_of, query
 from quillspark.session import cut_lineage, shared_folder, table
 from quillspark.sources import readers, writers
 
@@ -248,7 +248,7 @@ def _shortest_first(question: pd.Series, text: pd.Series) -> pd.Series:
 
 @query
 def rt09_reranked(spark: SparkSession, sf: str) -> DataFrame:
-    hits = fusion.fuse(branch_hits(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 20).join(chunks_of(spark, sf, "text").withColumnRenamed("chunk_id", "id").where("text is not null"), "id")
+    hits = fusion.fuse(branch_rows(spark, sf), {"sparse": 0.5, "dense": 0.5}, 60, 20).join(chunks_of(spark, sf, "text").withColumnRenamed("chunk_id", "id").where("text is not null"), "id")
     out = pipelines.rerank(hits.withColumn("question", F.col("query")), _shortest_first, 12)
     return out.select(F.col("query").alias("question_id"), F.col("id").alias("chunk_id"), "old_rank", "new_rank")
 

@@ -213,13 +213,14 @@ def test_references():
 
 def test_citation_and_sources(spark):
     rows = [("q", "Điều 5 của 12/2020/nđ-cp về quyền thuê đất", i, f"d{i}", a, t) for i, (a, t) in enumerate([("1", "quyền thuê"), ("5", "nội dung"), ("2", "12/2020/NĐ-CP khác")])]
-    scored = references.citation_scores(spark.createDataFrame(rows, "query string, question string, rank int, document_id string, article_number string, text string"))
+    rows = spark.createDataFrame(rows, "query string, question string, rank int, document_id string, article_number string, text string").withColumn("id", F.col("rank").cast("string"))
+    scored = references.citation_scores(rows, references.citation_contexts(rows), references.citation_questions(rows.select("query", "question").distinct()))
     by = {r["rank"]: r for r in scored.collect()}
     assert by[2].document_hits == 1 and by[1].article_hits == 1 and by[0].token_hits == 2 and by[0].bigram_hits == 1 and by[0].has_reference
     assert [r["rank"] for r in references.citation_order(scored).orderBy("position").collect()] == [2, 1, 0]
     pool = [("q", "Luật Đất đai quy định gì", f"c{r}", r, d, None, {"a": "Luật Đất đai", "b": "Nghị định thuế", "z": None}[d]) for r, d in enumerate("bbabzzbbzzbbaaab", 1)]
     df = spark.createDataFrame(pool, "query string, question string, id string, rank int, document_id string, document_number string, source_title string")
-    got = references.resolve_sources(df)
+    got = references.resolve_sources(df, df.select("query", "question").distinct(), df.select("document_id", "document_number", "source_title").distinct())
     assert [(r.document_id, r.resolution) for r in got.collect()] == [("a", "source_title")]
     out = [(r.id, r.promoted) for r in references.source_aware_selection(df, got).orderBy("position").collect()]
     assert len(out) == 12 and [i for i, p in out if p] == ["c13", "c14"] and out[2][0] == "c3" and out[3][0] == "c13" and {"c11", "c12"}.isdisjoint(i for i, _ in out)
