@@ -150,8 +150,9 @@ def resolve_sources(pool: DataFrame, questions: DataFrame, documents: DataFrame)
     source_title``; each text is folded once. First by number, then by the best title; two equal candidates are
     ambiguous and resolve to none.
     """
-    numbers = F.transform(_found(C.fold_accents(F.col("question")), C.DOCUMENT_NUMBER, 0), lambda x: F.regexp_replace(x, "[^a-z0-9]+", ""))
-    asked = questions.select("query", numbers.alias("named"), _line(F.col("question")).alias("q"))
+    folded = questions.select("query", C.fold_accents(F.col("question")).alias("f"))
+    numbers = F.transform(_found(F.col("f"), C.DOCUMENT_NUMBER, 0), lambda x: F.regexp_replace(x, "[^a-z0-9]+", ""))
+    asked = folded.select("query", numbers.alias("named"), F.array_join(_found(F.col("f"), "[a-z0-9]+", 0), " ").alias("q"))
     known = documents.select("document_id", number_key(F.col("document_number")).alias("number"), _line(F.coalesce("source_title", F.lit(""))).alias("t"))
     docs = pool.select("query", "document_id").distinct().join(known, "document_id").join(asked, "query")
     docs = docs.select("query", "document_id", F.coalesce(F.array_contains("named", F.col("number")), F.lit(False)).alias("by_number"), title_key(F.col("q"), F.col("t")).alias("key"))

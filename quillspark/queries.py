@@ -531,7 +531,9 @@ def rt19_cross_references(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "training_records").where("question is not null").groupBy(F.col("question_id").alias("query")).agg(F.min("question").alias("question"))
+    """Each question's text, spread for the folding that follows."""
+    rows = table(spark, sf, "training_records").where("question is not null").select(F.col("question_id").alias("query"), "question")
+    return balance(rows, "query").groupBy("query").agg(F.min("question").alias("question"))
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
