@@ -193,7 +193,57 @@ def folded_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(C.fold_accents(text), F.lit(C.TOKEN_PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _substrings(terms: list[str], first: int):
+# --- substrings ---
+
+
+@dataclass(frozen=True)
+class TrigramIndex:
+    """``texts`` (id, folded text, number of trigrams) and ``grams`` (gram, id): which rows hold which three characters."""
+
+    texts: DataFrame
+    grams: DataFrame
+
+    def write(self, path: str, buckets: int = 64) -> None:
+        """Parquet tables under ``path``; grams are clustered so that a lookup prunes files by their statistics."""
+        self.texts.write.mode("overwrite").parquet(f"{path}/texts")
+        self.grams.repartitionByRange(buckets, "gram").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{path}/grams")
+
+    @staticmethod
+    def read(spark, path: str) -> TrigramIndex:
+        return TrigramIndex(spark.read.parquet(f"{path}/texts"), spark.read.parquet(f"{path}/grams"))
+
+
+def _grams(text: Column) -> Column:
+    starts = F.when(F.length(text) >= 3, F.sequence(F.lit(1), F.length(text) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(3))))
+
+
+def build_trigram_index(rows: DataFrame, key: Column, text: Column) -> TrigramIndex:
+    """Rows without a key are left out, null texts count as empty; a repeated key must be removed before. Texts are folded once and written."""
+    src = cut_lineage(rows.select(key.cast("string").alias("id"), F.coalesce(C.fold_accents(text), F.lit("")).alias("text")).where("id is not null").select("id", "text", F.greatest(F.lit(0), F.length("text") - 2).cast("long").alias("dl")))
+    return TrigramIndex(src, src.select("id", F.explode(_grams(F.col("text"))).alias("gram")))
+
+
+def trigram_search(index: TrigramIndex, queries: DataFrame, query: Column, query_text: Column, k: int, most_terms: int = 8) -> DataFrame:
+    """The result of :func:`substring_search` by an index: only rows that hold all trigrams of a term are looked at.
+
+    For queries that name few of the rows; a block of many queries over all rows is cheaper by the scan. Terms have three characters or more.
+    """
+    asked = queries.select(query.cast("string").alias("query"), C.longest_terms(F.array_distinct(folded_tokens(query_text)), 3, most_terms).alias("terms")).where("query is not null")
+    terms = cut_lineage(asked.select("query", F.least(F.lit(2), F.size("terms")).alias("need"), F.explode("terms").alias("term")))
+    grams = terms.select("term").distinct().select("term", _grams(F.col("term")).alias("g")).select("term", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    # a row's grams are distinct, so it holds all of a term's exactly if as many meet
+    may = index.grams.join(grams, "gram").groupBy("term", "id").agg(F.count("*").alias("m"), F.max("n").alias("n")).where("m = n").select("term", "id")
+    found = may.join(index.texts, "id").select("term", "id", "dl", F.regexp_count("text", F.concat(F.lit("(?="), "term", F.lit(")"))).alias("tf")).where("tf > 0")
+    found = cut_lineage(found)  # counted per term, then scored
+    totals = index.texts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    freq = found.groupBy("term").agg(F.count("*").alias("df"))
+    hits = found.join(freq, "term").join(F.broadcast(totals)).select("term", "id", bm25_score(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n"), F.col("df")).alias("part"))
+    scored = terms.join(hits, "term").groupBy("query", "id").agg(F.round(F.sum("part"), 9).alias("score"), F.count("*").alias("met"), F.max("need").alias("need"))
+    return ranked(scored.where("met >= need").select("query", "id", "score"), "query", "score", "id", k)
+
+
+def _substrings(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
@@ -202,7 +252,7 @@ def _substrings(terms: list[str], first: int):
             scan.add_word(t, t)
         scan.make_automaton()
         for b in batches:
-            folded = [(fold_accents(t) or "")[:first] for t in b.column("text").to_pylist()]
+            folded = [fold_accents(t) or "" for t in b.column("text").to_pylist()]
             found = [[t for _, t in scan.iter(x)] if terms else [] for x in folded]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.list_(pa.string())), pa.array([max(0, len(x) - 2) for x in folded], pa.int64())], names=["id", "tokens", "dl"])
 
@@ -213,18 +263,18 @@ def _substrings(terms: list[str], first: int):
 TERMS_PER_SCAN = 50_000
 
 
-def substring_search(rows: DataFrame, key: Column, text: Column, queries: DataFrame, query: Column, query_text: Column, k: int, shortest: int = 3, most_terms: int = 8, first: int = 1 << 30) -> DataFrame:
+def substring_search(rows: DataFrame, key: Column, text: Column, queries: DataFrame, query: Column, query_text: Column, k: int, shortest: int = 3, most_terms: int = 8) -> DataFrame:
     """BM25 over substrings of the accent-folded text: rows that hold at least two of the query's longest terms (one, if it has one).
 
     Term frequency counts overlapping occurrences, a row's length is its number of trigrams. All terms of a
-    block of queries are found in one scan per text by one automaton; texts are scanned to ``first`` characters.
+    block of queries are found in one scan per text by one automaton, over whole texts.
     """
     asked = queries.select(query.cast("string").alias("query"), C.longest_terms(F.array_distinct(folded_tokens(query_text)), shortest, most_terms).alias("terms")).where("query is not null")
     terms = sorted({r.t for r in asked.select(F.explode("terms").alias("t")).distinct().toLocalIterator()})
     src, out = rows.select(key.cast("string").alias("id"), text.alias("text")).where("id is not null"), None
     for i in range(0, len(terms), TERMS_PER_SCAN):
         block = terms[i : i + TERMS_PER_SCAN]
-        part = src.mapInArrow(_substrings(block, first), "id string, tokens array<string>, dl long")
+        part = src.mapInArrow(_substrings(block), "id string, tokens array<string>, dl long")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return rows.sparkSession.createDataFrame([], "query string, id string, score double, rank int")

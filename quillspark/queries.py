@@ -243,6 +243,13 @@ def rt14_packed_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_units(spark, sf), packing.Budget(2000, 400)).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
+@query
+def rt14_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """What packing promises: no hit is forgotten, and the prompt fits."""
+    out = packing.pack(_units(spark, sf), packing.Budget(2000, 400))
+    return out.select(F.col("query").alias("question_id"), (F.col("n_units") + F.col("n_skipped")).alias("n_hits"), (F.col("n_tokens") <= 2000).alias("fits"))
+
+
 @query
 def rt16_packed_without_merge(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_units(spark, sf), packing.Budget(2000, 400), merge=False).select(F.col("query").alias("question_id"), "n_tokens", "n_units", "n_expanded", "body_chars")
@@ -312,7 +319,7 @@ def rt20_sections(spark: SparkSession, sf: str) -> DataFrame:
 def rt22_training_gates(spark: SparkSession, sf: str) -> DataFrame:
     """All gates: records of the answered training questions against their answers, their seeds, their documents, a second run with other answers, and the settings."""
     gold = answered(spark, sf).where("split = 'train'").groupBy(F.col("question_id").alias("query")).agg(F.min("answer").alias("answer"))
-    units, budget = cut_lineage(_units(spark, sf)), packing.Budget(2000, 400)
+    units, budget = cut_lineage(_units(spark, sf)), packing.Budget(8192, 1200)
     make = lambda answers: cut_lineage(training.training_records(units, answers, budget, _word_ids, 2))
     records, other = make(gold), make(gold.withColumn("answer", F.regexp_replace("answer", r"\S+", "khác")))
     stored = training.identities(records)
@@ -321,7 +328,7 @@ def rt22_training_gates(spark: SparkSession, sf: str) -> DataFrame:
     spans = units.select(F.explode("units").alias("u")).select("u.document_id", F.col("u.start").alias("start_char"), F.col("u.end").alias("end_char"), "u.text")
     violations = audit.provenance_violations(spans, table(spark, sf, "documents"))
     settings = {"max_input_tokens": budget.max_input_tokens, "max_parent_tokens": budget.max_parent_tokens, "order": context.EXPANSION_ORDER}
-    return training.gates(records, 2048, stored=stored, answers=answers, seeds=seeds, provenance=violations, mutated=other, contract=(settings, {"max_input_tokens": 2000, "max_parent_tokens": 400, "order": context.EXPANSION_ORDER}))
+    return training.gates(records, 8192, stored=stored, answers=answers, seeds=seeds, provenance=violations, mutated=other, contract=(settings, {"max_input_tokens": 8192, "max_parent_tokens": 1200, "order": context.EXPANSION_ORDER}))
 
 
 def _word_ids(text: str) -> list[int]:

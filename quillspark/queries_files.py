@@ -148,6 +148,15 @@ def sk01_stored_index(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select(F.col("query").alias("doc_id"), F.col("id").alias("chunk_id"), "score", "rank")
 
 
+@query
+def sk02_trigram_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Substring search by a stored index of trigrams."""
+    path = _path(spark)
+    lexical.build_trigram_index(chunks_of(spark, sf, "search_text"), F.col("chunk_id"), F.col("search_text")).write(path, 8)
+    hits = lexical.trigram_search(lexical.TrigramIndex.read(spark, path), table(spark, sf, "eval_items"), F.col("item_id"), F.col("text"), 10)
+    return hits.select(F.col("query").cast("long").alias("item_id"), F.col("id").alias("chunk_id"), "score", "rank")
+
+
 @query
 def sk07_submission(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{_path(spark)}.zip"

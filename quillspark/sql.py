@@ -200,7 +200,7 @@ SELECT query AS question_id, id AS chunk_id, rank, CAST(row_number() OVER (PARTI
 
 # A reference begins after what is no letter, digit or underscore and ends before it; the text before it is taken as short as can be.
 _CORE = rf"(?:khoản{_WS}+(?:[0-9]+[a-zđ]?){_WS}*,?{_WS}*(?:của{_WS}+)?)?điều{_WS}+[0-9]+[a-zđ]?"
-_FIRST = rf"(?is)^((?:.*?[^\p{{L}}\p{{N}}_])?)({_CORE})(?:[^\p{{L}}\p{{N}}_].*)?$"
+_FIRST = rf"(?is)^((?:.*?[^\p{{L}}\p{{N}}_])??)({_CORE})(?:[^\p{{L}}\p{{N}}_].*)?$"
 _KINDS = "bo luat|luat|nghi dinh|thong tu|quyet dinh|nghi quyet|phap lenh"
 _REFERENCES = rf"""
 WITH RECURSIVE m AS (
@@ -218,6 +218,24 @@ SELECT CAST(record_id AS VARCHAR) AS record_id, lower(regexp_extract(found, '(?i
   CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end" FROM n
 """
 
+# The same in chunks: a number must stand near, and what points nowhere else means the chunk's own document.
+_CROSS = rf"""
+WITH RECURSIVE c AS ({_CHUNKS}), m AS (
+  SELECT chunk_id, document_id, text, 0 AS upto, CAST(NULL AS VARCHAR) AS found FROM c WHERE text IS NOT NULL
+  UNION ALL
+  SELECT chunk_id, document_id, text, upto + length(regexp_extract(rest, '{_FIRST}', 1)) + length(regexp_extract(rest, '{_FIRST}', 2)), regexp_extract(rest, '{_FIRST}', 2)
+  FROM (SELECT *, substr(text, upto + 1) AS rest FROM m) WHERE regexp_matches(rest, '{_FIRST}')),
+r AS (SELECT document_id, found, list_distinct(regexp_extract_all({_fold("substr(text, greatest(upto - length(found) - 120, 0) + 1, upto + 180 - greatest(upto - length(found) - 120, 0))")}, '{_NUMBERS}')) AS near, {_fold("substr(text, upto + 1, 100)")} AS after FROM m WHERE found IS NOT NULL),
+k AS (SELECT document_id, lower(regexp_extract(found, '(?i)điều{_WS}+([0-9]+[a-zđ]?)$', 1)) AS article_number, CASE WHEN len(near) = 1 THEN regexp_replace(near[1], '[^a-z0-9]+', '', 'g') END AS key,
+        CASE WHEN len(near) > 1 THEN 'ambiguous_document_numbers' WHEN len(near) = 1 THEN 'exact_document_number'
+             WHEN regexp_matches(after, '\b(?:{_KINDS})\b') AND NOT regexp_matches(after, '\b(?:van ban|{_KINDS})\s+nay\b') THEN 'unresolved_external_document' ELSE 'same_document' END AS resolution FROM r),
+d AS (SELECT key, max(document_id) AS only FROM (SELECT DISTINCT {_NUMBER_KEY("document_number")} AS key, document_id FROM documents WHERE document_number IS NOT NULL) WHERE key <> '' GROUP BY 1 HAVING count(*) = 1),
+t AS (SELECT k.*, CASE WHEN resolution = 'same_document' THEN k.document_id WHEN resolution = 'exact_document_number' THEN d.only END AS target FROM k LEFT JOIN d ON d.key = k.key),
+b AS (SELECT document_id, article_number, count(DISTINCT block_id) AS n FROM ({_BLOCKS.replace(_PLACED, _CHUNKS)}) WHERE article_number IS NOT NULL GROUP BY 1, 2),
+a AS (SELECT document_id, lower(article_number) AS number FROM b GROUP BY 1, 2 HAVING sum(n) = 1)
+SELECT resolution, count(*) AS n, count(target) AS n_document, count(a.number) AS n_article FROM t LEFT JOIN a ON a.document_id = t.target AND a.number = t.article_number GROUP BY 1
+"""
+
 # As in the operator. Of entities the tables hold only the non-breaking space.
 _HINT = r"(?i)<\s*/?\s*(?:br|p|div|span|table|thead|tbody|tr|td|th|strong|em|b|i|img|script|style)\b"
 _CODE = r"(?is)<\s*script\b[^>]*>.*?<\s*/\s*script\s*>|<\s*style\b[^>]*>.*?<\s*/\s*style\s*>"
@@ -248,6 +266,7 @@ SQL: dict[str, str] = {
     "rt06_retrieved": _RETRIEVED,
     "rt11_citation_order": _CITATIONS,
     "rt12_source_aware": _SOURCES,
+    "rt19_cross_references": _CROSS,
     "tx06_cleaned": _CLEANED,
     "tx17_references": _REFERENCES,
     "rt16_seeds": _SEEDS,

