@@ -32,7 +32,13 @@ def hybrid_retrieve(index: lexical.LexicalIndex, questions: DataFrame, vectors:
 
     ``questions`` has ``query, question``; ``vectors`` has ``id, v`` and ``query_vectors`` ``query, v``, ids of any type; without them only words count.
     """
-    hits = lexical.bm25_search(index, questions, F.col("query"), lexical.word_tokens(F.col("question")), candidates).select("query", F.lit("sparse").alias("branch"), F.col("id").cast("string").alias("id"), "rank")
+    sparse = lexical.bm25_search(index, questions, F.col("query"), lexical.word_tokens(F.col("question")), candidates)
+    return fuse_branches(sparse, questions, vectors, query_vectors, candidates, fused, selected)
+
+
+def fuse_branches(sparse: DataFrame, questions: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, candidates: int = 40, fused: int = 20, selected: int = 12) -> DataFrame:
+    """:func:`hybrid_retrieve` from word hits (``query, id, rank``) that are there already, as those of :func:`lexical.bm25_scan` for a block of many questions."""
+    hits = sparse.select(F.col("query").cast(dict(questions.dtypes)["query"]).alias("query"), F.lit("sparse").alias("branch"), F.col("id").cast("string").alias("id"), "rank")
     if vectors is not None and query_vectors is not None:
         near = dense.dense_search(vectors, F.col("id"), F.col("v"), query_vectors, F.col("query"), F.col("v"), candidates)
         hits = hits.unionByName(near.select(F.col("query").cast(dict(questions.dtypes)["query"]).alias("query"), F.lit("dense").alias("branch"), F.col("id").cast("string").alias("id"), "rank"))

@@ -131,9 +131,9 @@ def rt06_retrieved(spark: SparkSession, sf: str) -> DataFrame:
     count = lambda c, mark: F.size(F.split(c, mark)).cast("double")
     encode = lambda c: F.array(F.length(c).cast("double") / 1000, count(c, " ") / 100, count(c, "a") / 50)
     chunks, items = cut_lineage(chunks_of(spark, sf, "text", "search_text")), table(spark, sf, "eval_items").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
-    index = lexical.build_index(chunks, F.col("chunk_id"), lexical.word_tokens(F.col("search_text")))
+    sparse = lexical.bm25_scan(chunks, F.col("chunk_id"), lexical.word_tokens(F.col("search_text")), items, F.col("query"), lexical.word_tokens(F.col("question")), 40)
     vectors = chunks.where("text is not null").select(F.col("chunk_id").alias("id"), encode(F.col("text")).alias("v"))
-    out = pipelines.hybrid_retrieve(index, items, vectors, items.where("question is not null").select("query", encode(F.col("question")).alias("v")))
+    out = pipelines.fuse_branches(sparse, items, vectors, items.where("question is not null").select("query", encode(F.col("question")).alias("v")))
     return out.select(F.col("query").alias("item_id"), F.col("id").alias("chunk_id"), "score", "rank")
 
 

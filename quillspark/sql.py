@@ -199,7 +199,7 @@ SELECT query AS question_id, id AS chunk_id, rank, CAST(row_number() OVER (PARTI
 """
 
 # A reference begins after what is no letter, digit or underscore and ends before it; the text before it is taken as short as can be.
-_CORE = rf"(?:khoản{_WS}+(?:[0-9]+[a-zđ]?){_WS}*,?{_WS}*(?:của{_WS}+)?)?điều{_WS}+[0-9]+[a-zđ]?"
+_CORE = rf"(?:khoản{_WS}+(?:\p{{Nd}}+[a-zđ]?){_WS}*,?{_WS}*(?:của{_WS}+)?)?điều{_WS}+\p{{Nd}}+[a-zđ]?"
 _FIRST = rf"(?is)^((?:.*?[^\p{{L}}\p{{N}}_])??)({_CORE})(?:[^\p{{L}}\p{{N}}_].*)?$"
 _KINDS = "bo luat|luat|nghi dinh|thong tu|quyet dinh|nghi quyet|phap lenh"
 _REFERENCES = rf"""
@@ -211,7 +211,7 @@ WITH RECURSIVE m AS (
 r AS (SELECT record_id, found, upto - length(found) AS start, upto AS "end", list_distinct(regexp_extract_all({_fold("question")}, '{_NUMBERS}')) AS everywhere,
         list_distinct(regexp_extract_all({_fold("substr(question, greatest(upto - length(found) - 120, 0) + 1, upto + 180 - greatest(upto - length(found) - 120, 0))")}, '{_NUMBERS}')) AS close, {_fold("substr(question, upto + 1, 100)")} AS after FROM m WHERE found IS NOT NULL),
 n AS (SELECT *, CASE WHEN len(close) > 0 THEN close ELSE everywhere END AS near FROM r)
-SELECT CAST(record_id AS VARCHAR) AS record_id, lower(regexp_extract(found, '(?i)điều{_WS}+([0-9]+[a-zđ]?)$', 1)) AS article_number, nullif(lower(regexp_extract(found, '(?i)^khoản{_WS}+([0-9]+[a-zđ]?)', 1)), '') AS clause_number,
+SELECT CAST(record_id AS VARCHAR) AS record_id, lower(regexp_extract(found, '(?i)điều{_WS}+(\p{{Nd}}+[a-zđ]?)$', 1)) AS article_number, nullif(lower(regexp_extract(found, '(?i)^khoản{_WS}+(\p{{Nd}}+[a-zđ]?)', 1)), '') AS clause_number,
   CASE WHEN len(near) = 1 THEN near[1] END AS document_number,
   CASE WHEN len(near) > 1 THEN 'ambiguous_document_numbers' WHEN len(near) = 1 THEN 'exact_document_number'
        WHEN regexp_matches(after, '\b(?:{_KINDS})\b') AND NOT regexp_matches(after, '\b(?:van ban|{_KINDS})\s+nay\b') THEN 'unresolved_external_document' ELSE 'question_without_exact_document_number' END AS resolution,
@@ -226,7 +226,7 @@ WITH RECURSIVE c AS ({_CHUNKS}), m AS (
   SELECT chunk_id, document_id, text, upto + length(regexp_extract(rest, '{_FIRST}', 1)) + length(regexp_extract(rest, '{_FIRST}', 2)), regexp_extract(rest, '{_FIRST}', 2)
   FROM (SELECT *, substr(text, upto + 1) AS rest FROM m) WHERE regexp_matches(rest, '{_FIRST}')),
 r AS (SELECT document_id, found, list_distinct(regexp_extract_all({_fold("substr(text, greatest(upto - length(found) - 120, 0) + 1, upto + 180 - greatest(upto - length(found) - 120, 0))")}, '{_NUMBERS}')) AS near, {_fold("substr(text, upto + 1, 100)")} AS after FROM m WHERE found IS NOT NULL),
-k AS (SELECT document_id, lower(regexp_extract(found, '(?i)điều{_WS}+([0-9]+[a-zđ]?)$', 1)) AS article_number, CASE WHEN len(near) = 1 THEN regexp_replace(near[1], '[^a-z0-9]+', '', 'g') END AS key,
+k AS (SELECT document_id, lower(regexp_extract(found, '(?i)điều{_WS}+(\p{{Nd}}+[a-zđ]?)$', 1)) AS article_number, CASE WHEN len(near) = 1 THEN regexp_replace(near[1], '[^a-z0-9]+', '', 'g') END AS key,
         CASE WHEN len(near) > 1 THEN 'ambiguous_document_numbers' WHEN len(near) = 1 THEN 'exact_document_number'
              WHEN regexp_matches(after, '\b(?:{_KINDS})\b') AND NOT regexp_matches(after, '\b(?:van ban|{_KINDS})\s+nay\b') THEN 'unresolved_external_document' ELSE 'same_document' END AS resolution FROM r),
 d AS (SELECT key, max(document_id) AS only FROM (SELECT DISTINCT {_NUMBER_KEY("document_number")} AS key, document_id FROM documents WHERE document_number IS NOT NULL) WHERE key <> '' GROUP BY 1 HAVING count(*) = 1),
