@@ -78,19 +78,15 @@ def group_holdout(groups: DataFrame, salt: str, size: int) -> DataFrame:
     """Whole groups (``group, n_rows``) in hash order until exactly ``size`` rows are taken; groups that would go beyond are skipped, later ones may fit.
     Fewer come out where no later group fits; callers that need the exact size check it.
 
-    The greedy walk is sequential, but it needs only a bounded part of the order: groups larger than ``size`` can't
-    be taken, and once ``size`` single-row groups have come up the walk is over. It reads sorted groups up to there.
+    The greedy walk is sequential: it streams the groups in order through the driver, a partition of the sorted table at a
+    time, and ends as soon as ``size`` rows are taken. Groups that can't be taken at all never leave the executors.
     """
     ordered = groups.where((F.col("n_rows") > 0) & (F.col("n_rows") <= size)).withColumn("h", F.sha2(F.concat(F.lit(salt), F.col("group")), 256)).select("h", "group", "n_rows")
-    limit, total = max(4 * size, 1000), None
-    while True:
-        head = ordered.orderBy("h", "group").limit(limit).collect()
-        left, taken = size, []
-        for r in head:
-            if r.n_rows <= left:
-                taken.append((r.group, int(r.n_rows), len(taken)))
-                left -= r.n_rows
-        total = ordered.count() if total is None else total
-        if left == 0 or limit >= total:
-            return groups.sparkSession.createDataFrame(taken, "group string, n_rows long, position int")
-        limit *= 4
+    left, taken = size, []
+    for r in ordered.orderBy("h", "group").toLocalIterator():
+        if r.n_rows <= left:
+            taken.append((r.group, int(r.n_rows), len(taken)))
+            left -= r.n_rows
+        if left == 0:
+            break
+    return groups.sparkSession.createDataFrame(taken, "group string, n_rows long, position int")

@@ -576,7 +576,8 @@ def tx24_answer_evidence(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rt27_failure_audit(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "retrieval_results").where("question_id is not null").groupBy("question_id").agg(F.count("*").alias("n_contexts"))
-    s = answered(spark, sf).where("question_id is not null").groupBy("question_id").agg(F.min(F.length("answer")).alias("metric"))
+    scored = _scored(spark, sf).join(answered(spark, sf).select("record_id", "question_id"), "record_id")
+    s = scored.groupBy("question_id").agg(F.min(F.round("meteor_exact", 9)).alias("metric"))
     return evaluate.failure_audit(s, r, "question_id", "metric", 50)
 
 

@@ -14,6 +14,7 @@ from quillspark.plans import pipelines
 from quillspark.queries import answered, branch_hits, branch_rows, chunks_of, query
 from quillspark.session import cut_lineage, shared_folder, table
 from quillspark.sources import readers, writers
+from quillspark.streaming import events
 
 
 def _path(spark: SparkSession) -> str:
@@ -56,6 +57,16 @@ def sc06_questions(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_questions(spark, path).select("question_id", F.sha2("question", 256).alias("question_sha256"), F.sha2("answer", 256).alias("answer_sha256"))
 
 
+@query
+def sc01_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents with a text and an address, by way of ZIP archives of strict JSON members."""
+    path = _path(spark)
+    docs = table(spark, sf, "documents").where("text is not null").where(C.is_https(F.col("source_url"))).select("document_id", "source_title", "source_url", F.col("text").alias("raw_text"))
+    writers.write_passage_archives(docs.repartition(4, "document_id"), path)
+    rows = readers.read_passage_archives(spark, path)
+    return rows.select("document_id", "source_title", "source_url", F.sha2("raw_text", 256).alias("text_sha256"), "source_name")
+
+
 @query
 def sc12_registry(spark: SparkSession, sf: str) -> DataFrame:
     path = _path(spark)
@@ -247,6 +258,28 @@ def pf07_route(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.route(p, "n", 100).select("item_id", "n", "route")
 
 
+@query
+def ss06_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of event files, of which half come twice, appended once: two runs over the same checkpoint, the second after more files came."""
+    folder, target, checkpoint = _path(spark), _path(spark), _path(spark)
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    e.where("event_type <> 'purchase'").repartition(3).write.parquet(folder)
+    events.start_upsert(events.read_event_stream(spark, folder), target, checkpoint, "event_id").awaitTermination()
+    e.repartition(3).write.mode("append").parquet(folder)
+    events.start_upsert(events.read_event_stream(spark, folder), target, checkpoint, "event_id").awaitTermination()
+    return spark.read.schema(events.EVENTS).parquet(target).select("event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@query
+def ss06_stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly counts by a stream with a watermark, in complete mode."""
+    folder, name = _path(spark), f"windows_{uuid.uuid4().hex}"
+    table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props").where("ts is not null").repartition(2).write.parquet(folder)
+    stream = events.window_counts(events.read_event_stream(spark, folder), "1 hour")
+    stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _path(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 # --- rankings ---
 
 

@@ -105,6 +105,32 @@ def write_questions(df: DataFrame, path: str, key: str = "question_id") -> None:
     df.select(F.col(key).cast("string"), "question", "answer").mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
+def write_passage_archives(df: DataFrame, path: str) -> int:
+    """ZIP archives of ``context_<document_id>.json`` members, one per partition of ``document_id, source_title, source_url, raw_text``: what :func:`readers.read_passage_archives` reads. Gives the number of members.
+
+    Tasks write files, so ``path`` must be on a file system that all nodes have mounted. A task that runs again writes its archive anew.
+    """
+    folder = path.removeprefix("file://")
+    if "://" in folder:
+        raise ValueError("archives are written to mounted file systems only")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        os.makedirs(folder, exist_ok=True)
+        target, n = f"{folder}/part-{TaskContext.get().partitionId():05}.zip", 0
+        with zipfile.ZipFile(f"{target}.{os.getpid()}.new", "w", zipfile.ZIP_DEFLATED) as archive:
+            for b in batches:
+                for doc, title, url, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    archive.writestr(f"context_{doc}.json", json.dumps({"id": doc, "name": title, "link": url, "passage": text} if title is not None else {"id": doc, "link": url, "passage": text}, ensure_ascii=False))
+                    n += 1
+        os.replace(f"{target}.{os.getpid()}.new", target)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows = df.select(F.col("document_id").cast("string"), "source_title", "source_url", "raw_text")
+    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_bundle(files: DataFrame, path: str) -> None:
     """A ZIP of ``name, content`` (binary) with a manifest of their hashes, in order of names: a checkpoint or result package, small by its nature (it passes through the driver)."""
     spark = files.sparkSession

@@ -354,7 +354,7 @@ SQL: dict[str, str] = {
         FROM (SELECT len(regexp_extract_all(text, '[^' || substr('{_WS_JAVA}', 2) || '+')) AS w FROM ({_CHUNKS}))""",
     "ag25_metadata_coverage": "SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE trim({c}) <> '') AS n_{c}" for c in ("source_title", "document_number", "source", "lang", "source_name")) + " FROM documents",
     "rt27_failure_audit": f"""
-        SELECT question_id, metric, coalesce(n, 0) AS n_contexts FROM (SELECT question_id, CAST(min(length(answer)) AS INTEGER) AS metric FROM ({_ANSWERED}) WHERE question_id IS NOT NULL GROUP BY 1 ORDER BY metric, question_id LIMIT 50)
+        SELECT question_id, metric, coalesce(n, 0) AS n_contexts FROM (SELECT question_id, min(meteor_exact) AS metric FROM ({_SCORES}) JOIN training_records USING (record_id) GROUP BY 1 ORDER BY metric, question_id LIMIT 50)
         LEFT JOIN (SELECT question_id, count(*) AS n FROM retrieval_results WHERE question_id IS NOT NULL GROUP BY 1) USING (question_id)""",
     "tx25_answer_diagnostics": rf"""
         WITH a AS (SELECT record_id, answer,

@@ -31,6 +31,9 @@ SQL: dict[str, str] = {
     "sk03_json_lines": "SELECT doc_id, source_title, lang, sha256(text) AS text_sha256 FROM documents",
     "sc07_chunk_lines": f"SELECT chunk_id, document_id, article_number, array_to_string(clause_numbers, ',') AS clauses, chunk_index, start_char, sha256(text) AS text_sha256 FROM ({_CHUNKS})",
     "sc06_questions": f"SELECT CAST(record_id AS VARCHAR) AS question_id, sha256(question) AS question_sha256, sha256(answer) AS answer_sha256 FROM ({_ANSWERED}) WHERE NOT {_BLANK('question')}",
+    "sc01_archives": r"SELECT document_id, nullif(trim(source_title), '') AS source_title, trim(source_url) AS source_url, sha256(text) AS text_sha256, 'context_' || document_id || '.json' AS source_name FROM documents WHERE text IS NOT NULL AND regexp_matches(source_url, '^(?i:https)://[^/?#\s]+')",
+    "ss06_upsert": "SELECT event_id, event_type, round(value, 6) AS value FROM events",
+    "ss06_stream_windows": _CORE["ss_event_windows"],
     "sc12_registry": "SELECT DISTINCT regexp_replace(trim(source_url), '/+$', '') AS url FROM documents WHERE source_url IS NOT NULL",
     "sc13_vectors": "SELECT vec_id, len(embedding)::INTEGER AS n, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings",
     "sc08_selected": """
