@@ -12,7 +12,7 @@ from quillspark.functions.answers import clean_answer_udf, trim_answer_udf, trim
 from quillspark.functions.cleaning import clean_passages
 from quillspark.operators import audit, chunking, context, dense, evaluate, fusion, lexical, packing, references, splits, training
 from quillspark.plans import pipelines
-from quillspark.session import balance, cut_lineage, spread, table
+from quillspark.session import balance, cut_lineage, spread, spread_by, table
 from quillspark.sql import SQL
 from quillspark.streaming import events as ev
 
@@ -29,7 +29,7 @@ def query(f: Query) -> Query:
 def chunks_of(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """Chunks without redelivered rows: of each id the row with the least index, then the least of the other columns."""
     own = dict.fromkeys(("chunk_index", *columns))
-    rows = balance(table(spark, sf, "legal_chunks").select("chunk_id", *own), "chunk_id")
+    rows = spread_by(table(spark, sf, "legal_chunks").select("chunk_id", *own), "chunk_id")
     return rows.groupBy("chunk_id").agg(F.min(F.struct(*own)).alias("c")).select("chunk_id", *(f"c.{c}" for c in columns))
 
 
@@ -540,7 +540,7 @@ def rt19_cross_references(spark: SparkSession, sf: str) -> DataFrame:
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
     """Each question's text, spread for the folding that follows."""
     rows = table(spark, sf, "training_records").where("question is not null").select(F.col("question_id").alias("query"), "question")
-    return balance(rows, "query").groupBy("query").agg(F.min("question").alias("question"))
+    return spread_by(rows, "query").groupBy("query").agg(F.min("question").alias("question"))
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:

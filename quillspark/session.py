@@ -37,20 +37,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SPREAD_BYTES = 1 << 30
 
 
+def _is_small(scan: DataFrame) -> bool:
+    return int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES
+
+
+def _partitions(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A file scan over all cores where its files give fewer tasks than that, for work that outweighs a shuffle; scans beyond SPREAD_BYTES stay as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
-        return scan
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if _is_small(scan) and scan.rdd.getNumPartitions() < cores else scan
+
+
+def spread_by(scan: DataFrame, *keys: str) -> DataFrame:
+    """A small scan by hash of the keys, before an aggregate by them whose result goes on to Python: adaptive execution would put it into one task. Larger scans
+    stay as they are, so that rows of a hot key are combined before they are shuffled."""
+    return scan.repartition(_partitions(scan.sparkSession), *keys) if _is_small(scan) else scan
 
 
 def balance(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows by hash of the keys into the configured number of shuffle partitions (or the cores, if more): before heavy work on rows
+    """Rows by hash of keys that are unique in them into the configured number of shuffle partitions (or the cores, if more): before heavy work on rows
     that are few in bytes, which adaptive execution would put into one task."""
-    spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys)
+    return df.repartition(_partitions(df.sparkSession), *keys)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -288,3 +288,27 @@ def test_dense_search_over_string_ids(spark):
     mixed = v.unionByName(spark.createDataFrame([("x", [1.0, 2.0, 3.0]), ("y", [4.0])], "id string, v array<double>"))
     with pytest.raises(Exception, match="length"):
         dense.dense_search(mixed, F.col("id"), F.col("v"), v, F.col("id"), F.col("v"), 2).collect()
+
+
+def test_only_small_scans_are_spread(spark, tmp_path, monkeypatch):
+    from quillspark import session
+
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan(session.spread_by(t, "id")) and "Repartition" in plan(session.spread(t.coalesce(1)))
+    monkeypatch.setattr(session, "SPREAD_BYTES", 1)
+    assert "Repartition" not in plan(session.spread_by(t, "id")) and session.spread(t) is t
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from quillspark import session
+
+    fake = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: named, set=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="a"))
+    assert session.shared_folder(fake("spark://host:7077", "hdfs:///x/")) == "hdfs:///x/quillspark-a"
+    assert "quillspark-" in session.shared_folder(fake("local[4]", None)) and "quillspark-" in session.shared_folder(fake("local", None))
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_folder(fake(master, None))
