@@ -19,6 +19,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.least("train_id", "other_id").alias("record_id_a"), F.greatest("train_id", "other_id").alias("record_id_b"))
 
 
+def p1_links(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spread(table(spark, sf, "training_records").select("record_id", "question", "split"))
+    links = split_overlap.overlap_links(rows, F.col("record_id"), F.col("question"), F.col("split"))
+    return links.select(F.col("id").alias("record_id"), "is_train", F.hex("class_id").alias("class_id"), "n_links")
+
+
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = spread(table(spark, sf, "training_records").select("record_id", "question", "split", "source"))
     return split_overlap.overlap_report(rows, F.col("record_id"), F.col("question"), F.col("split"), F.col("source"))
@@ -119,4 +125,4 @@ def p8_model(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.learn(_texts(spark, sf), F.col("text"), F.col("lang"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_top_chunks, p3_found, p3_pieces, p4_found, p5_found, p5_links, p5_forms, p6_found, p6_report, p7_mix, p7_shares, p7_kept, p8_found, p8_model)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_links, p1_report, p2_found, p2_top_chunks, p3_found, p3_pieces, p4_found, p5_found, p5_links, p5_forms, p6_found, p6_report, p7_mix, p7_shares, p7_kept, p8_found, p8_model)}

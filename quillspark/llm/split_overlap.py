@@ -289,6 +289,24 @@ def question_overlaps(records: DataFrame, record_id: Column, question: Column, s
     return class_pairs(parts, threshold).join(left, "class_a").join(right, "class_b").select("train_id", "other_id", "common_words", "all_words").distinct()
 
 
+def overlap_links(records: DataFrame, record_id: Column, question: Column, split: Column, train: str = "train", threshold: float = 0.8) -> DataFrame:
+    """``id, is_train, class_id, n_links`` of every record that overlaps: with how many records of the other side it shares its question.
+
+    The form for groups of any size: nothing is expanded, links are sums of the sizes of paired classes. A record with
+    several questions has a row for each; nulls and repetitions count as in :func:`question_overlaps`.
+    """
+    parts = question_texts(records, record_id.cast("long"), question, split, train)
+    owned = parts.select("id", "is_train", "class_id").distinct()
+    pairs = cut_lineage(class_pairs(parts, threshold).select("class_a", "class_b"))
+    sizes = cut_lineage(owned.groupBy("class_id", "is_train").agg(F.count("*").alias("n")))
+    links = None
+    for mine, theirs, is_train in (("class_a", "class_b", True), ("class_b", "class_a", False)):
+        n = sizes.where(~F.col("is_train") if is_train else F.col("is_train")).select(F.col("class_id").alias(theirs), "n")
+        part = pairs.join(n, theirs).groupBy(F.col(mine).alias("class_id")).agg(F.sum("n").alias("n_links")).withColumn("is_train", F.lit(is_train))
+        links = part if links is None else links.unionByName(part)
+    return owned.join(links, ["class_id", "is_train"]).select("id", "is_train", "class_id", "n_links")
+
+
 # --- coverage and report ---
 
 

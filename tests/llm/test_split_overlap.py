@@ -90,6 +90,20 @@ def test_spelling_digits_nulls_and_copies(spark):
     assert run(spark, []) == set()
 
 
+def test_links_count_what_pairs_would_show(spark):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(90)}" for _ in range(rng.choice([2, 5, 12, 30]))] for _ in range(12)]
+    rows = [(i, noisy(rng, rng.choice(base)), rng.choice(["train", "dev", "public"])) for i in range(200)] + [(0, None, "train"), (None, "w1 w2", "dev")]
+    pairs = brute(rows)
+    want = {}
+    for i, j in pairs:
+        want[i, True] = want.get((i, True), 0) + 1
+        want[j, False] = want.get((j, False), 0) + 1
+    out = o.overlap_links(frame(spark, rows), F.col("record_id"), F.col("question"), F.col("split")).collect()
+    assert {(r.id, r.is_train): r.n_links for r in out} == want and len(out) == len(want) > 50
+    assert o.overlap_links(frame(spark, []), F.col("record_id"), F.col("question"), F.col("split")).count() == 0
+
+
 def report(df):
     out = o.overlap_report(df, F.col("record_id"), F.col("question"), F.col("split"), F.col("source")).collect()
     return sorted((r.split, r.source, r.n_records, r.n_overlapping, r.n_pairs, r.mean_coverage) for r in out)
