@@ -259,7 +259,7 @@ def rt16_packed_without_merge(spark: SparkSession, sf: str) -> DataFrame:
 def rt16_seeds(spark: SparkSession, sf: str) -> DataFrame:
     """Seeds alone, each a context of its own, under a budget that not all of them meet."""
     out = packing.pack(_units(spark, sf), packing.Budget(600), expand=False, merge=False)
-    return out.select(F.col("query").alias("question_id"), "n_tokens", "n_units")
+    return out.select(F.col("query").alias("question_id"), "n_tokens", "n_units", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 @query

@@ -318,7 +318,7 @@ def ag28_order_changes(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rt15_whole_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """Whole contexts of each result row under a budget of 300 words."""
-    return packing.pack_contexts(_contexts(spark, sf), packing.Budget(300)).select(F.col("query").alias("row_id"), "n_tokens", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
+    return packing.pack_contexts(_contexts(spark, sf), packing.Budget(300)).select(F.col("query").alias("row_id"), "n_tokens", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 @query

@@ -157,14 +157,18 @@ FROM pairs JOIN common USING (record_id) LEFT JOIN m USING (record_id)
 
 _VISIBLE_WORDS = lambda x: f"len(regexp_extract_all({x}, '[^' || substr('{_WS}', 2) || '+'))"
 _LINE_WORDS = lambda label, x, n: f"CASE WHEN coalesce({x}, '') <> '' THEN {n} + {_VISIBLE_WORDS(x)} ELSE 0 END"
+# The text of a prompt, from its contexts and question.
+_PROMPT = lambda texts, question: f"sha256('Ngữ cảnh:' || chr(10) || array_to_string(list_transform({texts}, lambda x, i: '[' || i || '] ' || x), chr(10) || chr(10)) || chr(10) || chr(10) || 'Câu hỏi: ' || {question})"
 # Words of each unit's context: its number, source, article, "Nội dung:" and text; then a greedy walk in rank order.
 _SEEDS = f"""
 WITH u AS (SELECT c.query, c.question, c.rank, 1 + 2 + {_LINE_WORDS("Tên nguồn:", "d.source_title", 2)} + {_LINE_WORDS("Số văn bản:", "d.document_number", 3)}
-             + CASE WHEN coalesce(k.article_number, '') <> '' THEN 1 + {_VISIBLE_WORDS("k.article_number")} ELSE 2 END + CASE WHEN coalesce(k.article_title, '') <> '' THEN {_VISIBLE_WORDS("k.article_title")} ELSE 0 END + {_VISIBLE_WORDS("c.text")} AS n
+             + CASE WHEN coalesce(k.article_number, '') <> '' THEN 1 + {_VISIBLE_WORDS("k.article_number")} ELSE 2 END + CASE WHEN coalesce(k.article_title, '') <> '' THEN {_VISIBLE_WORDS("k.article_title")} ELSE 0 END + {_VISIBLE_WORDS("c.text")} AS n,
+             concat_ws(chr(10), CASE WHEN coalesce(d.source_title, '') <> '' THEN 'Tên nguồn: ' || regexp_replace(d.source_title, '^{_WS}+|{_WS}+$', '', 'g') END, CASE WHEN coalesce(d.document_number, '') <> '' THEN 'Số văn bản: ' || regexp_replace(d.document_number, '^{_WS}+|{_WS}+$', '', 'g') END,
+               CASE WHEN coalesce(k.article_number, '') <> '' THEN 'Điều ' || k.article_number ELSE 'Trích đoạn' END || CASE WHEN coalesce(k.article_title, '') <> '' THEN ': ' || k.article_title ELSE '' END, 'Nội dung:', c.text) AS t
            FROM ({_CANDIDATES}) c JOIN ({_CHUNKS}) k ON k.chunk_id = c.id JOIN documents d ON d.document_id = c.document_id WHERE c.rank <= 12),
-q AS (SELECT query, 4 + {_VISIBLE_WORDS("min(question)")} AS frame, list(n ORDER BY rank) AS sizes FROM u GROUP BY 1),
-w AS (SELECT query, list_reduce(list_prepend({{'used': frame::BIGINT, 'n': 0::BIGINT}}, list_transform(sizes, lambda x: {{'used': x::BIGINT, 'n': 1::BIGINT}})), lambda a, b: CASE WHEN a.used + b.used <= 600 THEN {{'used': a.used + b.used, 'n': a.n + 1}} ELSE a END) AS r FROM q)
-SELECT query AS question_id, CAST(r.used AS INTEGER) AS n_tokens, CAST(r.n AS INTEGER) AS n_units FROM w
+q AS (SELECT query, min(question) AS question, 4 + {_VISIBLE_WORDS("min(question)")} AS frame, list({{'used': n::BIGINT, 'texts': [t]}} ORDER BY rank) AS own FROM u GROUP BY 1),
+w AS (SELECT query, question, list_reduce(list_prepend({{'used': frame::BIGINT, 'texts': CAST([] AS VARCHAR[])}}, own), lambda a, b: CASE WHEN a.used + b.used <= 600 THEN {{'used': a.used + b.used, 'texts': list_concat(a.texts, b.texts)}} ELSE a END) AS r FROM q)
+SELECT query AS question_id, CAST(r.used AS INTEGER) AS n_tokens, len(r.texts)::INTEGER AS n_units, {_PROMPT("r.texts", "question")} AS prompt_sha256 FROM w
 """
 
 _VECTOR = lambda x: f"[length({x})::DOUBLE / 1000, len(string_split({x}, ' '))::DOUBLE / 100, len(string_split({x}, 'a'))::DOUBLE / 50]"

@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries for sources, sinks, state and audits. Every statement runs over whole tables."""
 
-from quillspark.sql import _ANSWERED, _CANDIDATES, _CHUNKS, _FUSED, _HITS, _SUBSTRING, _WS_JAVA, SQL as _CORE, _norm
+from quillspark.sql import _ANSWERED, _CANDIDATES, _CHUNKS, _FUSED, _HITS, _PROMPT, _SUBSTRING, _WS_JAVA, SQL as _CORE, _norm
 
 _VISIBLE = f"'[^' || substr('{_WS_JAVA}', 2)"
 _BLANK = lambda x: f"({x} IS NULL OR NOT regexp_matches({x}, {_VISIBLE}))"
@@ -16,10 +16,10 @@ FROM retrieval_results WHERE question_id IS NOT NULL AND len(contexts) > 0 GROUP
 def _greedy(budget: int) -> str:
     """Contexts kept whole: a fold over their words; the frame has four words and the question's, each context one for its number."""
     return f"""
-    SELECT row_id, c, frame, list_reduce(list_prepend({{'used': frame, 'kept': CAST([] AS VARCHAR[]), 'i': 0::BIGINT, 'w': 0::BIGINT}},
+    SELECT row_id, question, c, frame, list_reduce(list_prepend({{'used': frame, 'kept': CAST([] AS VARCHAR[]), 'i': 0::BIGINT, 'w': 0::BIGINT}},
         list_transform(c, lambda x, i: {{'used': 0::BIGINT, 'kept': CAST([] AS VARCHAR[]), 'i': i::BIGINT, 'w': ({_WORDS('x')} + 1)::BIGINT}})),
         lambda a, b: CASE WHEN a.used + b.w <= {budget} THEN {{'used': a.used + b.w, 'kept': list_append(a.kept, CAST(b.i - 1 AS VARCHAR)), 'i': b.i, 'w': b.w}} ELSE {{'used': a.used, 'kept': a.kept, 'i': b.i, 'w': b.w}} END) AS r
-    FROM (SELECT row_id, c, (4 + {_WORDS('question')})::BIGINT AS frame FROM ({_CONTEXTS}))"""
+    FROM (SELECT row_id, question, c, (4 + {_WORDS('question')})::BIGINT AS frame FROM ({_CONTEXTS}))"""
 
 
 _RANKINGS = f"""
@@ -76,7 +76,7 @@ SQL: dict[str, str] = {
         WITH f AS (SELECT list_transform(fused, lambda x: x.chunk_id) AS b, list_transform(list_sort(list_transform(fused, lambda x: {'s': -x.rrf_score, 'id': x.chunk_id})), lambda x: x.id) AS a
                    FROM retrieval_results WHERE len(fused) > 0 AND len(list_filter(fused, lambda x: x IS NULL OR x.chunk_id IS NULL OR x.rrf_score IS NULL OR isnan(x.rrf_score))) = 0)
         SELECT count(*) AS n, count(*) FILTER (WHERE a <> b) AS n_changed, count(*) FILTER (WHERE a[1] <> b[1]) AS n_top_changed, round(avg((a <> b)::INTEGER), 9) AS rate_changed FROM f""",
-    "rt15_whole_contexts": f"SELECT row_id, CAST(r.used AS INTEGER) AS n_tokens, array_to_string(r.kept, ',') AS kept FROM ({_greedy(300)})",
+    "rt15_whole_contexts": f"SELECT row_id, CAST(r.used AS INTEGER) AS n_tokens, array_to_string(r.kept, ',') AS kept, {_PROMPT('list_transform(r.kept, lambda k: c[k::INTEGER + 1])', 'question')} AS prompt_sha256 FROM ({_greedy(300)})",
     "rt31_context_prefix": f"SELECT row_id, array_to_string(r.kept, ',') AS kept, CASE WHEN len(r.kept) > 0 THEN r.used ELSE frame END <= 60 AS fits, len(r.kept) = 0 AND frame + 1 < 60 AND length(c[1]) > 0 AS is_cut FROM ({_greedy(60)})",
     "st05_merged_shards": "SELECT question_id, CAST((row_number() OVER (ORDER BY question_id) - 1) % 3 AS INTEGER) AS shard, n FROM (SELECT question_id, count(*) AS n FROM training_records WHERE split = 'public' AND question_id IS NOT NULL GROUP BY 1)",
     "st06_differences": """
