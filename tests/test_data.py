@@ -175,6 +175,10 @@ def test_training_records(spark):
     padded = training.pad_batch(rec, 90, 7).first()
     assert len(padded.input_ids) == len(padded.labels) == len(padded.attention_mask) == 90 and padded.labels[-1] == -100
     assert not training.gates(rec.withColumn("labels", F.col("input_ids")), 100).first().passed
+    dropped = training.gates(rec.withColumn("n_kept", F.col("n_chosen") - 1), 100).first()
+    assert not dropped.seeds_kept and not dropped.passed
+    tight = training.training_records(df, gold.withColumn("answer", F.lit("dài " * 60)), packing.Budget(100, 50), encode, 0)
+    assert not training.gates(tight, 200).first().seeds_kept
     budget = training.parameter_budget(spark.createDataFrame([("a", 5.0), ("b", 7.0)], "model_key string, parameters double"), spark.createDataFrame([("s", ["a", "b"]), ("t", ["a", "z"])], "stack string, model_keys array<string>"), 12.0)
     assert {(r.stack, r.valid) for r in budget.collect()} == {("s", True), ("t", False)}
 
